@@ -47,8 +47,8 @@ KEYWORDS = {
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Digits and hex letters fold to class symbols; what breaks a run of them folds to a blank.
 _FOLD_HEX = {**dict.fromkeys(map(ord, "0123456789abcdef"), "h"), ord("h"): "."}
-_FOLD_DIGIT = {**dict.fromkeys(map(ord, "0123456789"), "d"), ord("d"): "."}
-_RUN = {"hex": 16, "digit": 4}
+_FOLD_ID = {**dict.fromkeys(map(ord, "0123456789"), "d"), **dict.fromkeys(range(65, 91), "c"), ord("c"): ".", ord("d"): "."}
+_HEX_RUN = 16
 
 
 def _automaton(words: dict[str, object]) -> ahocorasick.Automaton:
@@ -85,9 +85,9 @@ class Scanner:
 
     def __init__(self) -> None:
         self.words = _automaton(KEYWORDS)
-        self.hex_runs = _automaton({"h" * _RUN["hex"]: "hex"})
+        self.hex_runs = _automaton({"h" * _HEX_RUN: "hex"})
         # four digits begin every card number; two capitals and two digits every bank account
-        self.digit_runs = _automaton({"d" * _RUN["digit"]: "card"})
+        self.ids = _automaton({"dddd": "card", "ccdd": "iban"})
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         found: list[tuple[int, int, int]] = []
@@ -128,16 +128,17 @@ class Scanner:
                 stop = _HEX.match(text, start).end()
                 after[kind] = stop
                 keep(kind, start, stop)
-        for end, (size, kind) in self.digit_runs.iter(text.translate(_FOLD_DIGIT)):
+        for end, (size, kind) in self.ids.iter(text.translate(_FOLD_ID)):
             start = end - size + 1
-            if start >= after[kind] and not text[start - 1 : start].isdigit() and (m := _CARD.match(text, start)):
-                if not text[m.end() : m.end() + 1].isdigit() and luhn(re.sub("[ -]", "", m[0])):
+            if start < after[kind] or text[start - 1 : start].isalnum():
+                continue
+            if kind == "card":
+                if (m := _CARD.match(text, start)) and not text[m.end() : m.end() + 1].isdigit() and luhn(re.sub("[ -]", "", m[0])):
                     after[kind] = m.end()
                     keep(kind, start, m.end())
-            at = max(0, start - 2)
-            if at >= after["iban"] and (m := _IBAN.match(text, at)) and not text[at - 1 : at].isalnum() and iban_ok(m[0]):
-                after["iban"] = m.end()
-                keep("iban", at, m.end())
+            elif (m := _IBAN.match(text, start)) and iban_ok(m[0]):
+                after[kind] = m.end()
+                keep(kind, start, m.end())
         return sorted(found, key=lambda s: (s[0], s[2]))
 
 
