@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm._store import table
+from seqloom.llm.html_crf import extract_main_text
 from seqloom.llm.secrets import secret_digests
 from seqloom.llm.simhash import simhash_components
 
@@ -13,10 +14,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=3, max_bits=3)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op5_secrets": op5_secrets}
+QUERIES = {"op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op5_secrets": op5_secrets}
 
 ORACLES: dict[str, str] = {}
