@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm._store import table
 from seqloom.llm.html_crf import extract_main_text
+from seqloom.llm.quality import quality_posteriors
 from seqloom.llm.secrets import secret_digests
 from seqloom.llm.simhash import simhash_components
 
@@ -22,6 +23,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op5_secrets": op5_secrets}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op5_secrets": op5_secrets, "op7_quality": op7_quality}
 
 ORACLES: dict[str, str] = {}
