@@ -9,6 +9,12 @@ from seqloom.llm.html_crf import extract_main_text
 from seqloom.llm.quality import quality_posteriors
 from seqloom.llm.secrets import secret_digests
 from seqloom.llm.simhash import simhash_components
+from seqloom.llm.syncmers import edit_fingerprints
+from seqloom.llm.tokens import count_tokens
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +33,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op5_secrets": op5_secrets, "op7_quality": op7_quality}
+def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers}
 
 ORACLES: dict[str, str] = {}
