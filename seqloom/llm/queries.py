@@ -11,6 +11,8 @@ from seqloom.llm.secrets import secret_digests
 from seqloom.llm.simhash import simhash_components
 from seqloom.llm.syncmers import edit_fingerprints
 from seqloom.llm.tokens import count_tokens
+from seqloom.llm.toolcalls import ORACLE as TOOL_CALL_SQL
+from seqloom.llm.toolcalls import conversation_calls
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,10 @@ def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers}
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_calls(table(spark, sf_dir, "conversations"))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers, "op9_tool_calls": op9_tool_calls}
+
+ORACLES: dict[str, str] = {"op9_tool_calls": TOOL_CALL_SQL}
