@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm._store import table
 from seqloom.llm.html_crf import extract_main_text
+from seqloom.llm.lsa import find_leaks
 from seqloom.llm.quality import quality_posteriors
 from seqloom.llm.secrets import secret_digests
 from seqloom.llm.simhash import simhash_components
@@ -27,6 +28,10 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,6 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_calls(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers, "op9_tool_calls": op9_tool_calls}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers, "op9_tool_calls": op9_tool_calls}
 
 ORACLES: dict[str, str] = {"op9_tool_calls": TOOL_CALL_SQL}
