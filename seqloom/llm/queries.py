@@ -10,6 +10,7 @@ from seqloom.llm.lsa import find_leaks
 from seqloom.llm.quality import quality_posteriors
 from seqloom.llm.secrets import secret_digests
 from seqloom.llm.simhash import simhash_components
+from seqloom.llm.suffixes import remove_repeats
 from seqloom.llm.syncmers import edit_fingerprints
 from seqloom.llm.tokens import count_tokens
 from seqloom.llm.toolcalls import ORACLE as TOOL_CALL_SQL
@@ -48,6 +49,10 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_calls(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers, "op9_tool_calls": op9_tool_calls}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers, "op9_tool_calls": op9_tool_calls, "op10_suffix_dedup": op10_suffix_dedup}
 
 ORACLES: dict[str, str] = {"op9_tool_calls": TOOL_CALL_SQL}
