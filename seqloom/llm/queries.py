@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from seqloom.llm._store import table
 from seqloom.llm.html_crf import extract_main_text
 from seqloom.llm.lsa import find_leaks
+from seqloom.llm.pieces import encode_samples
 from seqloom.llm.quality import quality_posteriors
 from seqloom.llm.secrets import secret_digests
 from seqloom.llm.simhash import simhash_components
@@ -37,6 +38,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_samples(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +58,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers, "op9_tool_calls": op9_tool_calls, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op6_sampled_pieces": op6_sampled_pieces, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers, "op9_tool_calls": op9_tool_calls, "op10_suffix_dedup": op10_suffix_dedup}
 
 ORACLES: dict[str, str] = {"op9_tool_calls": TOOL_CALL_SQL}
