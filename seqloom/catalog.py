@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from seqloom.plans import distance_queries, graph_queries, record_queries
+
+QUERIES = record_queries.QUERIES | graph_queries.QUERIES | distance_queries.QUERIES
+ORACLES = record_queries.ORACLES | graph_queries.ORACLES | distance_queries.ORACLES
 FLAGSHIP = "dist_seq"
