@@ -34,11 +34,13 @@ def numbered(records: DataFrame, *order: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(name, seq, quality)`` of four-line records."""
-    whole = spark.read.option("lineSep", "\n@").text(paths)
-    lines = F.split(F.regexp_replace("value", r"^@", ""), r"\r?\n")
-    rows = whole.select(lines.alias("l")).where(F.size("l") >= 4)
-    return rows.select(F.regexp_extract(F.col("l")[0], r"^\S*", 0).alias("name"), F.col("l")[1].alias("seq"), F.col("l")[3].alias("quality"))
+    """``(name, seq, quality)`` of four-line records.  Lines are numbered over ranges, since a quality may begin like a name."""
+    from seqloom.operators.prefix import running_sum
+
+    lines = _lines(spark, paths).where("value <> ''").withColumn("_one", F.lit(1))
+    numbered_lines = running_sum(lines, ["file", "line_no"], "_one", "_n").withColumns({"_r": F.floor((F.col("_n") - 1) / 4), "_k": (F.col("_n") - 1) % 4})
+    pick = lambda k: F.max(F.when(F.col("_k") == k, F.col("value")))
+    return numbered_lines.groupBy("_r").agg(F.regexp_extract(pick(0), r"^@?(\S*)", 1).alias("name"), pick(1).alias("seq"), pick(3).alias("quality")).drop("_r")
 
 
 def read_gff(spark: SparkSession, paths: str | list[str]) -> DataFrame:
