@@ -54,39 +54,76 @@ def messages_to_calls(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked.unionByName(made), answered.unionByName(returned)
 
 
+def _anchors(single: DataFrame) -> DataFrame:
+    """``(conv_id, call_id, anchor, dist)`` for calls with one dependency: the first call up the chain that has none or several, and how far it is; null anchors on and behind a cycle.
+
+    Pointer doubling: each round joins every open pointer with its target's, so a chain of any length takes a logarithmic number of rounds.
+    """
+    known = single.select("conv_id", F.col("call_id").alias("anchor"), F.lit(True).alias("goes_on"))
+    state = materialise(
+        single.select("conv_id", "call_id", F.col("dep").alias("anchor"), F.lit(1).cast("long").alias("dist"))
+        .join(known, ["conv_id", "anchor"], "left")
+        .select("conv_id", "call_id", "anchor", "dist", F.coalesce("goes_on", F.lit(False)).alias("open"))
+    )
+    reach = 1
+    while True:
+        counts = state.agg(F.count("*").alias("n"), F.count_if("open").alias("open")).first()
+        if not counts["open"] or reach > counts["n"]:
+            break
+        target = state.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("dist").alias("more"), F.col("open").alias("next_open"))
+        moved = state.where("open").join(target, ["conv_id", "anchor"]).select("conv_id", "call_id", F.col("next").alias("anchor"), (F.col("dist") + F.col("more")).alias("dist"), F.col("next_open").alias("open"))
+        following = materialise(state.where("not open").unionByName(moved))
+        discard(state)
+        state, reach = following, reach * 2
+    return state.select("conv_id", "call_id", F.when(~F.col("open"), F.col("anchor")).alias("anchor"), "dist")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """``(conv_id, call_id, level)`` for each distinct call: 0 without known dependencies, else one more than the highest of them; null on or behind a cycle.
 
-    Kahn's rounds: each gives a level to the calls whose dependencies all have one, so there are as many rounds as the longest chain is long,
-    and each touches only what still waits.
+    Chains of calls with one dependency each are followed by pointer doubling.  What is left are calls with several dependencies, each some steps behind
+    a call without any or another of their kind; those get their levels in Kahn's rounds, as many as such calls lie behind one another.
     """
-    nodes = calls.where("call_id is not null").select("conv_id", "call_id").distinct()
-    edges = (
+    nodes = materialise(calls.where("call_id is not null").select("conv_id", "call_id").distinct())
+    edges = materialise(
         calls.where("call_id is not null")
         .select("conv_id", "call_id", F.explode("depends_on").alias("dep"))
         .where("dep is not null")
         .distinct()
         .join(nodes.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_semi")
-        .withColumn("dep_level", F.lit(None).cast("int"))
+        .select("conv_id", "call_id", "dep")
     )
-    waiting = materialise(edges)
-    ready = materialise(nodes.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    done = [ready]
-    while not ready.isEmpty():
-        known = ready.select("conv_id", F.col("call_id").alias("dep"), F.col("level").alias("new_level"))
-        told = materialise(
-            waiting.join(known, ["conv_id", "dep"], "left").select("conv_id", "call_id", "dep", F.coalesce("dep_level", "new_level").alias("dep_level"))
+    degree = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"))
+    several = materialise(degree.where("n > 1").drop("n"))
+    single = edges.join(several, ["conv_id", "call_id"], "left_anti")
+    chains = materialise(_anchors(single))
+    roots = nodes.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long"))
+    done = roots
+    if not several.isEmpty():
+        via = chains.select("conv_id", F.col("call_id").alias("dep"), "anchor", "dist", F.lit(True).alias("chained"))
+        waiting = materialise(
+            edges.join(several, ["conv_id", "call_id"], "left_semi")
+            .join(via, ["conv_id", "dep"], "left")
+            .select("conv_id", "call_id", F.when(F.col("chained"), F.col("anchor")).otherwise(F.col("dep")).alias("dep"), (F.coalesce("dist", F.lit(0)) + 1).alias("step"), F.lit(None).cast("long").alias("top"))
         )
-        state = told.groupBy("conv_id", "call_id").agg(F.max("dep_level").alias("top"), F.count_if(F.col("dep_level").isNull()).alias("open"))
-        ready = materialise(state.where("open = 0").select("conv_id", "call_id", (F.col("top") + 1).alias("level")))
-        following = materialise(told.join(ready, ["conv_id", "call_id"], "left_anti"))
-        discard(waiting, told)
-        waiting = following
-        done.append(ready)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.unionByName(waiting.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int")))
+        ready = materialise(roots)
+        done = ready
+        while True:
+            known = ready.select("conv_id", F.col("call_id").alias("dep"), F.col("level").alias("base"))
+            told = materialise(
+                waiting.join(known, ["conv_id", "dep"], "left").select("conv_id", "call_id", "dep", "step", F.coalesce("top", F.col("base") + F.col("step")).alias("top"))
+            )
+            state = told.groupBy("conv_id", "call_id").agg(F.max("top").alias("level"), F.count_if(F.col("top").isNull()).alias("open"))
+            ready = materialise(state.where("open = 0").select("conv_id", "call_id", "level"))
+            if ready.isEmpty():
+                break
+            following = materialise(told.join(ready, ["conv_id", "call_id"], "left_anti"))
+            discard(waiting, told)
+            waiting = following
+            done = done.unionByName(ready)
+    anchored = chains.join(done.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("base")), ["conv_id", "anchor"], "left")
+    levelled = done.unionByName(anchored.select("conv_id", "call_id", (F.col("base") + F.col("dist")).alias("level")))
+    return nodes.join(levelled, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.col("level").cast("int").alias("level"))
 
 
 def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict[str, dict]]) -> Column:

@@ -24,8 +24,32 @@ def test_levels_and_cycles(spark):
 
 
 def test_long_chain(spark):
-    rows = [(1, i, f"n{i}", "t", "{}", [f"n{i - 1}"], "") for i in range(12)]
-    assert {r.call_id: r.level for r in levels(spark.createDataFrame(rows, CALLS)).collect()} == {f"n{i}": i for i in range(12)}
+    rows = [(1, i, f"n{i}", "t", "{}", [f"n{i - 1}"], "") for i in range(300)] + [(2, i, f"m{i}", "t", "{}", [f"m{(i + 1) % 5}"], "") for i in range(5)]
+    want = {f"n{i}": i for i in range(300)} | {f"m{i}": None for i in range(5)}
+    assert {r.call_id: r.level for r in levels(spark.createDataFrame(rows, CALLS)).collect()} == want
+
+
+def test_levels_of_random_graphs(spark):
+    import random
+
+    rng = random.Random(6)
+    rows, want = [], {}
+    for conv in range(60):
+        n = rng.randrange(1, 12)
+        deps = {i: [rng.randrange(n) if rng.random() < 0.1 else rng.randrange(i) for _ in range(rng.choice([0, 1, 1, 2]))] if i else [] for i in range(n)}
+
+        def level(i, seen=(), deps=deps):
+            if i in seen:
+                raise RecursionError
+            return max((level(d, (*seen, i)) + 1 for d in deps[i]), default=0)
+
+        for i in range(n):
+            try:
+                want[conv, f"k{i}"] = level(i)
+            except RecursionError:
+                want[conv, f"k{i}"] = None
+            rows.append((conv, i, f"k{i}", "t", "{}", [f"k{d}" for d in deps[i]], ""))
+    assert {(r.conv_id, r.call_id): r.level for r in levels(spark.createDataFrame(rows, CALLS)).collect()} == want
 
 
 def test_schemas_and_canonical_json(spark):
