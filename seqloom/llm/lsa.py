@@ -83,31 +83,6 @@ def _emit(total: np.ndarray, pieces: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array(range(pieces), pa.int32()), pa.array([salt] * pieces, pa.int32()), pa.array(data)], ["piece", "salt", "data"])
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, float]:
-    """Passages (three whole blocks, none shared) that have each term, over all documents, and the number of passages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TERMS + 8)
-        width = STEP * SPAN
-        for batch in batches:
-            for part in slabs(batch, "text", _SLAB):
-                for text in as_bytes(part.column(0)):
-                    ids = term_ids(words_of(text))
-                    n = -(-len(ids) // width)
-                    grid = np.full(n * width, TERMS + 1)
-                    grid[: len(ids)] = ids
-                    grid = np.sort(grid.reshape(n, width), axis=1)
-                    new = np.ones(grid.shape, bool)
-                    new[:, 1:] = grid[:, 1:] != grid[:, :-1]
-                    total[: TERMS + 2] += np.bincount(grid[new], minlength=TERMS + 2)
-                    total[TERMS] += n
-        yield _emit(total, 8)
-
-    parts = map_arrow(clean_name(docs, text_col).toDF("text"), run, "piece int, salt int, data binary")
-    total = _tree_sum(parts, (TERMS + 8,), 8).astype(float)
-    return total[:TERMS], float(total[TERMS])
-
-
 @dataclass(frozen=True)
 class LatentSpace:
     """``to_latent`` maps term counts to whitened latent coordinates (IDF included)."""
@@ -116,14 +91,17 @@ class LatentSpace:
 
     @classmethod
     def fit(cls, docs: DataFrame, text_col: str = "text", rank: int = RANK) -> LatentSpace:
-        """Randomised factorisation of the passages' TF-IDF matrix A, over all documents: S = AᵀA W for a random W, then AᵀA ~ S (WᵀS)⁻¹ Sᵀ."""
-        frequency, passages = document_frequencies(docs, text_col)
-        idf = np.log((passages + 1) / (frequency + 1)).astype(np.float32)
-        test = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((TERMS, rank + EXTRA)))[0].astype(np.float32)
-        weighted = idf[:, None] * test
+        """Randomised factorisation of the passages' TF-IDF matrix A = N D (counts by IDF), over all documents, in one pass.
+
+        The pass sums document frequencies and NᵀN W for a random W.  With the test matrix T = D⁻¹ W that is all that Nystrom's AᵀA ~ S (TᵀS)⁻¹ Sᵀ needs,
+        since S = AᵀA T = D NᵀN W.  Passages are here those that share no block.
+        """
+        columns = rank + EXTRA
+        test = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((TERMS, columns)))[0].astype(np.float32)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((TERMS, test.shape[1]), np.float32)
+            # the last two columns: passages that have the term, and in the first row all passages
+            total = np.zeros((TERMS, columns + 2), np.float64)
             for batch in batches:
                 for part in slabs(batch, "text", _SLAB):
                     each = [term_ids(words_of(t)) for t in as_bytes(part.column(0))]
@@ -131,22 +109,26 @@ class LatentSpace:
                     ids = np.concatenate(each) if each else np.empty(0, np.int64)
                     if not len(ids):
                         continue
-                    starts, owner = _block_starts(sizes)
-                    # passages of SPAN blocks that share none: group the blocks of a document by threes
-                    first = np.searchsorted(owner, owner, side="left")
-                    group = np.flatnonzero((np.arange(len(owner)) - first) % SPAN == 0)
-                    sums = _block_sums(weighted[ids], starts[group])
-                    order = np.argsort(ids, kind="stable")
-                    of = np.searchsorted(starts[group], order, side="right") - 1
-                    terms, at = np.unique(ids[order], return_index=True)
-                    total[terms] += np.add.reduceat(sums[of], at, axis=0)
+                    n = -(-sizes // (STEP * SPAN))
+                    owner = np.repeat(np.arange(len(sizes)), n)
+                    starts = (np.cumsum(sizes) - sizes)[owner] + (np.arange(n.sum()) - (np.cumsum(n) - n)[owner]) * STEP * SPAN
+                    sums = _block_sums(test[ids], starts)
+                    order = np.argsort(ids.astype(np.uint16), kind="stable")
+                    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))[order]
+                    sorted_ids = ids[order]
+                    new = np.concatenate(([True], (sorted_ids[1:] != sorted_ids[:-1]) | (of[1:] != of[:-1])))
+                    at = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
+                    total[sorted_ids[at], :columns] += np.add.reduceat(sums[of], at, axis=0)
+                    total[:, columns] += np.bincount(sorted_ids[new], minlength=TERMS)
+                    total[0, columns + 1] += len(starts)
             yield _emit(total, 8)
 
         parts = map_arrow(clean_name(docs, text_col).toDF("text"), run, "piece int, salt int, data binary")
-        sketch = idf[:, None].astype(float) * _tree_sum(parts, test.shape, 8).astype(float)
-        shift = 1e-6 * max(np.linalg.norm(sketch), 1e-9)
-        sketch += shift * test
-        core = test.T.astype(float) @ sketch
+        total = _tree_sum(parts, (TERMS, columns + 2), 8).astype(float)
+        idf = np.maximum(np.log((total[0, columns + 1] + 1) / (total[:, columns] + 1)), 1e-3)
+        sketch, trial = idf[:, None] * total[:, :columns], test / idf[:, None]
+        sketch += 1e-6 * max(np.linalg.norm(sketch), 1e-9) / np.linalg.norm(trial) * trial
+        core = trial.T @ sketch
         low = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * np.trace(core) / len(core) * np.eye(len(core)))
         u, s, _ = np.linalg.svd(np.linalg.solve(low, sketch.T).T, full_matrices=False)
         u, s = u[:, :rank], s[:rank]
