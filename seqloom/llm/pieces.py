@@ -28,7 +28,7 @@ SAMPLES = 2
 BYTE_SCORE = -14.0
 #: Words that a worker keeps the lattices of.
 KEPT_NODES = 1_000_000
-_SLAB = 1 << 19
+_SLAB = 1 << 17
 _SPACE = "▁"
 _UNIT = re.compile(f"{_SPACE}[^{_SPACE}\n]*|\n|[^{_SPACE}\n]+")
 _ESCAPED = 1 << 20
@@ -47,7 +47,7 @@ def _gumbel(h: np.ndarray) -> np.ndarray:
 
 
 _SLOT_BITS = 18
-_SLOTS = (64 - _SLOT_BITS, 20)
+_SLOTS = (64 - _SLOT_BITS, 20, 33, 7)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -98,39 +98,54 @@ class Vocabulary:
         self.score[ids] = -np.log(np.array(list(rank.values())) + 2)
         self.score[ids] -= np.log(np.exp(self.score[ids]).sum())
         self.size = np.array([len(p) for p in self.pieces])
-        # pieces by length and hash, each in one of two direct tables, for searches over all places at once
-        self.lengths: list[tuple[int, np.ndarray, np.ndarray]] = []
-        self.hash_of = np.zeros(n + 1, np.uint64)
-        for length in sorted({len(p) for p in usable}):
-            own = [i for p, i in usable.items() if len(p) == length]
-            sums, down = _hash_sums("".join(self.pieces[i] for i in own))
+        # prefixes of pieces by length and hash, each in one of a few direct tables: a trie that is walked from all places at once
+        self.lengths: list[tuple[int, list[np.ndarray]]] = []
+        hash_of, piece_of = [np.zeros(1, np.uint64)], [np.full(1, -1)]
+        total = 1
+        for length in range(1, max(map(len, usable)) + 1):
+            own = sorted({p[:length] for p in usable if len(p) >= length})
+            sums, down = _hash_sums("".join(own))
             at = np.arange(len(own)) * length
-            self.hash_of[own] = (sums[at + length] - sums[at]) * down[at]
-            tables = []
-            left = np.array(own)
+            hash_of.append((sums[at + length] - sums[at]) * down[at])
+            piece_of.append(np.array([usable.get(p, -1) for p in own]))
+            left, tables = np.arange(len(own)), []
             for shift in _SLOTS:
-                table = np.full(1 << _SLOT_BITS, n, np.int32)
-                slot = _slot(self.hash_of[left], shift)
+                if not len(left):
+                    break
+                table = np.zeros(1 << _SLOT_BITS, np.int32)
+                slot = _slot(hash_of[-1][left], shift)
                 _, first = np.unique(slot, return_index=True)
-                table[slot[first]] = left[first]
+                table[slot[first]] = left[first] + total
                 tables.append(table)
                 left = np.delete(left, first)
             if len(left):
-                raise ValueError("two pieces share both of their slots")
-            self.lengths.append((length, *tables))
+                raise ValueError("two prefixes share all of their slots")
+            total += len(own)
+            self.lengths.append((length, tables))
+        self.hash_of, self.piece_of = np.concatenate(hash_of), np.concatenate(piece_of)
 
     def find(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """``(places, ids)`` of every piece that begins at any place of ``text``."""
+        """``(places, ids)`` of every piece that begins at any place of ``text``, by length, then place."""
         sums, down = _hash_sums(text)
+        alive = np.arange(len(text))
         places, ids = [], []
-        for length, *tables in self.lengths:
-            h = (sums[length:] - sums[:-length]) * down[: max(0, len(text) - length + 1)]
-            for table, shift in zip(tables, _SLOTS, strict=True):
-                got = table[_slot(h, shift)]
-                at = np.flatnonzero(self.hash_of[got] == h)
-                places.append(at)
-                ids.append(got[at])
-        return np.concatenate(places), np.concatenate(ids).astype(np.int64)
+        for length, tables in self.lengths:
+            alive = alive[: np.searchsorted(alive, len(text) - length, side="right")]
+            h = (sums[alive + length] - sums[alive]) * down[alive]
+            got = tables[0][_slot(h, _SLOTS[0])]
+            miss = np.flatnonzero(self.hash_of[got] != h)
+            for table, shift in zip(tables[1:], _SLOTS[1:], strict=False):
+                again = table[_slot(h[miss], shift)]
+                found = self.hash_of[again] == h[miss]
+                got[miss[found]] = again[found]
+                miss = miss[~found]
+            ok = np.ones(len(alive), bool)
+            ok[miss] = False
+            alive, got = alive[ok], self.piece_of[got[ok]]
+            whole = got >= 0
+            places.append(alive[whole])
+            ids.append(got[whole])
+        return np.concatenate(places), np.concatenate(ids)
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation."""
@@ -152,18 +167,28 @@ class Lattices:
 
     def clear(self) -> None:
         self.start: dict[str, int] = {}
-        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.to, self.logp, self.piece = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
-        #: Characters without a piece, by what is added to ``_ESCAPED``.
+        self.nodes = self.edges = 0
+        self.first, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.to, self.logp, self.piece = np.empty(1 << 16, np.int64), np.empty(1 << 16), np.empty(1 << 16, np.int32)
+        #: Characters of several bytes without a piece, by what is added to ``_ESCAPED``.
         self.escaped: list[bytes] = []
-        self.escape_of: dict[str, int] = {}
+        self.escape_of: dict[str, tuple[int, float]] = {}
+
+    def _append(self, name: str, at: int, values: np.ndarray) -> None:
+        """Put values at the end of a table that doubles when it is full."""
+        held = getattr(self, name)
+        if at + len(values) > len(held):
+            wider = np.empty(max(2 * len(held), at + len(values)), held.dtype)
+            wider[:at] = held[:at]
+            setattr(self, name, held := wider)
+        held[at : at + len(values)] = values
 
     def add(self, words: list[str]) -> None:
         """Make the lattices of words that are new."""
         new = [w for w in dict.fromkeys(words) if w not in self.start]
         if not new:
             return
-        base, edge_base = len(self.first), len(self.to)
+        base, edge_base = self.nodes, self.edges
         text = "\n".join(["\0" if w == "\n" else w for w in new]) + "\n"
         sizes = np.fromiter(map(len, new), np.int64, len(new))
         ends = np.cumsum(sizes + 1) - 1
@@ -179,35 +204,43 @@ class Lattices:
         for k, at in enumerate(bare.tolist()):
             char = text[at]
             if char not in self.escape_of:
-                self.escape_of[char] = len(self.escaped)
-                self.escaped.append(_real(char).encode("utf-8", "surrogatepass"))
-            codes[k] = _ESCAPED + self.escape_of[char]
-            bare_score[k] = BYTE_SCORE * len(self.escaped[codes[k] - _ESCAPED])
+                real = _real(char).encode("utf-8", "surrogatepass")
+                # one byte is a piece; more are told apart when ids are listed
+                code = int(self.vocab.byte_id[real[0]])
+                if len(real) > 1:
+                    code = _ESCAPED + len(self.escaped)
+                    self.escaped.append(real)
+                self.escape_of[char] = (code, BYTE_SCORE * len(real))
+            codes[k], bare_score[k] = self.escape_of[char]
         begin = np.concatenate((begin, bare))
         to = np.concatenate((begin[: len(size)] + size, bare + 1))
         score = np.concatenate((self.vocab.score[ident], bare_score))
         piece = np.concatenate((ident, codes))
-        order = np.lexsort((to, begin))
+        # each length's places come in order, so equal places stay ordered by length
+        order = np.argsort(begin, kind="stable")
         begin, to, score, piece = begin[order], to[order], score[order], piece[order]
         count = np.bincount(begin, minlength=len(text))
         first = np.cumsum(count) - count
         # log-probability of everything from a node to its word's end, nodes nearest to the end first
         left = np.repeat(ends, sizes + 1) - np.arange(len(text))
         mass = np.zeros(len(text))
-        by_left = np.argsort(left[begin], kind="stable")
-        lefts = left[begin][by_left]
+        lefts = left[begin]
+        by_left = np.argsort(lefts.astype(np.uint16) if len(left) and left.max() < 1 << 16 else lefts, kind="stable")
+        lefts = lefts[by_left]
         cut = np.flatnonzero(np.diff(lefts, prepend=-1))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(lefts)], strict=True):
             e = by_left[a:b]
             node = begin[e]
             group = np.flatnonzero(np.diff(node, prepend=-1))
             mass[node[group]] = np.logaddexp.reduceat(score[e] + mass[to[e]], group)
-        self.first = np.concatenate((self.first, first + edge_base))
-        self.count = np.concatenate((self.count, count))
-        self.to = np.concatenate((self.to, to + base))
+        self._append("first", base, first + edge_base)
+        self._append("count", base, count)
+        self._append("to", edge_base, to + base)
         # whole multiples of 2^-32, so that sums over a path are exact whatever lies before it in the slab
-        self.logp = np.concatenate((self.logp, np.round((score + mass[to] - mass[begin]) * _UNITS) / _UNITS))
-        self.piece = np.concatenate((self.piece, piece))
+        self._append("logp", edge_base, np.round((score + mass[to] - mass[begin]) * _UNITS) / _UNITS)
+        self._append("piece", edge_base, piece)
+        self.nodes += len(text)
+        self.edges += len(to)
 
 
 def _real(char: str) -> str:
@@ -234,63 +267,58 @@ class _Descent:
 
 def _descend(lat: Lattices, seed: np.ndarray, salt: int, docs: np.ndarray, value: np.ndarray, phi: np.ndarray, occ_doc: np.ndarray, occ_unit: np.ndarray, occ_node: np.ndarray) -> _Descent:
     """From each word occurrence's node to its word's end.  ``occ_*`` are in text order; ``value`` and ``phi`` are by text."""
-    steps_occ, steps_edge, sib_step, sib_edge, sib_noise, sib_top = [], [], [], [], [], []
+    steps_occ, steps_edge, sib_occ, sib_edge, sib_noise, sib_top = [], [], [], [], [], []
     active = np.flatnonzero(lat.count[occ_node] > 0)
     node = occ_node[active]
     salted = _mix(seed[occ_doc] + _U(salt * 0x9E3779B97F4A7C15 % (1 << 64)) + occ_unit.astype(np.uint64) * _U(0xD1B54A32D192ED03))
-    begin_of = occ_node.copy()
-    done = 0
+    taken = np.zeros(len(occ_doc), np.int64)
     while len(active):
         n, first = lat.count[node], lat.first[node]
         at = np.cumsum(n) - n
         who = np.repeat(np.arange(len(node)), n)
         local = np.arange(len(who)) - at[who]
         edge = first[who] + local
-        place = ((node - begin_of[active]).astype(np.uint64) << _U(6))[who] + local.astype(np.uint64)
-        noise = lat.logp[edge] + _gumbel(_mix(salted[active][who] + place * _U(0x8CB92BA72F3D8DD7)))
+        here = salted[active] + (node - occ_node[active]).astype(np.uint64) * _U(0x8CB92BA72F3D8DD7)
+        noise = lat.logp[edge] + _gumbel(_mix(here[who] + local.astype(np.uint64) * _U(0xA0761D6478BD642F)))
         top = np.maximum.reduceat(noise, at)
         hit = np.flatnonzero(noise == top[who])
-        hit = hit[np.searchsorted(hit, at)]
+        if len(hit) > len(at):
+            hit = hit[np.searchsorted(hit, at)]
         chosen = edge[hit]
         rest = np.ones(len(edge), bool)
         rest[hit] = False
+        other = who[rest]
         steps_occ.append(active)
         steps_edge.append(chosen)
-        sib_step.append(who[rest] + done)
+        sib_occ.append(active[other])
         sib_edge.append(edge[rest])
         sib_noise.append(noise[rest])
-        sib_top.append(top[who[rest]])
-        done += len(active)
+        sib_top.append(top[other])
+        taken[active] += 1
         node = lat.to[chosen]
         more = lat.count[node] > 0
         active, node = active[more], node[more]
     out = _Descent()
     none = np.empty(0, np.int64)
-    occ = np.concatenate(steps_occ) if steps_occ else none
-    edge = np.concatenate(steps_edge) if steps_edge else none
-    order = np.argsort(occ, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    occ, out.edge = occ[order], edge[order]
-    out.doc, out.step_unit = occ_doc[occ], occ_unit[occ]
-    n_docs = len(seed)
+    # the s-th step of a word lies s places behind its first, so paths need no sort
+    begin = np.cumsum(taken) - taken
+    out.edge = np.empty(int(taken.sum()), np.int64)
+    for s, (occ, edge) in enumerate(zip(steps_occ, steps_edge, strict=True)):
+        out.edge[begin[occ] + s] = edge
+    out.doc, out.step_unit = np.repeat(occ_doc, taken), np.repeat(occ_unit, taken)
     sums = np.concatenate(([0], np.cumsum((lat.logp[out.edge] * _UNITS).astype(np.int64))))
-    out.step_at = np.searchsorted(out.doc, np.arange(n_docs + 1))
+    out.step_at = np.searchsorted(out.doc, np.arange(len(seed) + 1))
     out.phi = phi[out.doc] + (sums[:-1] - sums[out.step_at[out.doc]]) / _UNITS
     out.total = phi + (sums[out.step_at[1:]] - sums[out.step_at[:-1]]) / _UNITS
-    step = rank[np.concatenate(sib_step)] if sib_step else none
+    out.open_step = np.concatenate([begin[occ] + s for s, occ in enumerate(sib_occ)]) if sib_occ else none
+    out.open_edge = np.concatenate(sib_edge) if sib_edge else none
+    out.open_doc = out.doc[out.open_step]
     noise = np.concatenate(sib_noise) if sib_noise else np.empty(0)
     top = np.concatenate(sib_top) if sib_top else np.empty(0)
-    by = np.argsort(step, kind="stable")
-    step = step[by]
-    out.open_edge = np.concatenate(sib_edge)[by] if sib_edge else none
-    out.open_step = step
-    doc = out.doc[step]
-    out.open_doc = np.searchsorted(doc, np.arange(n_docs + 1))
     # children given that their maximum is the node's value
-    most = value[doc]
-    gap = np.minimum(noise[by] - top[by], -1e-300)
-    u = most - (out.phi[step] + noise[by]) + np.log(-np.expm1(gap))
+    most = value[out.open_doc]
+    gap = np.minimum(noise - top, -1e-300)
+    u = most - (out.phi[out.open_step] + noise) + np.log(-np.expm1(gap))
     out.open_value = most - np.maximum(u, 0) - np.log1p(np.exp(-np.abs(u)))
     return out
 
@@ -303,7 +331,7 @@ def sample_segmentations(texts: list[str], keys: np.ndarray, k: int, lat: Lattic
     """
     n = len(texts)
     each = [words_of(t) for t in texts]
-    if len(lat.first) > KEPT_NODES:
+    if lat.nodes > KEPT_NODES:
         lat.clear()
     flat = [w for words in each for w in words]
     lat.add(flat)
@@ -334,13 +362,12 @@ def sample_segmentations(texts: list[str], keys: np.ndarray, k: int, lat: Lattic
         for j, x in enumerate(descents):
             if not len(x.open_value):
                 continue
-            some = x.open_doc[1:] > x.open_doc[:-1]
             top = np.full(n, -np.inf)
-            top[some] = np.maximum.reduceat(x.open_value, x.open_doc[:-1][some])
-            owner = np.repeat(np.arange(n), np.diff(x.open_doc))
-            hit = np.flatnonzero(x.open_value == top[owner])
+            np.maximum.at(top, x.open_doc, x.open_value)
+            hit = np.flatnonzero(x.open_value == top[x.open_doc])
+            owner, first = np.unique(x.open_doc[hit], return_index=True)
             better = top > best
-            where = np.searchsorted(owner[hit], np.flatnonzero(better))
+            where = first[np.searchsorted(owner, np.flatnonzero(better))]
             best_at[better] = hit[where]
             best_of[better] = j
             best[better] = top[better]
@@ -370,7 +397,7 @@ def _ids(lat: Lattices, edges: np.ndarray) -> np.ndarray:
     ids = lat.piece[edges]
     bare = np.flatnonzero(ids >= _ESCAPED)
     if not len(bare):
-        return ids.astype(np.int32)
+        return ids
     parts, last = [], 0
     for at in bare.tolist():
         parts.append(ids[last:at])
