@@ -23,6 +23,8 @@ from seqloom.llm._store import as_bytes, clean_name, discard, map_arrow, materia
 LENGTH, GRAM = 400, 100
 #: Classes of one bucket that are sorted in one task; larger buckets compare whole windows by digest, dealt out by the digest.
 BUCKET_CLASSES = 500
+#: Starts of one stretch of a region in such a bucket (near the root of a region's usual number of starts, which needs the fewest rows).
+STRETCH = 16
 #: Starts of one piece of a text; longer texts are cut into pieces that overlap by a window.
 PIECE = 1 << 20
 #: Bytes that are sorted at once.
@@ -240,25 +242,51 @@ def _sorted_buckets(classes: DataFrame, length: int) -> DataFrame:
     return map_arrow(classes.select("g", "f", "cnt", "n", "body").repartition("g").sortWithinPartitions("g"), run, _FLAGS)
 
 
-def _digested_windows(classes: DataFrame, length: int) -> DataFrame:
-    """The same for buckets with too many classes for one task: whole windows meet by a 128-bit digest, summed before they are dealt out."""
+def _anchor_place(body: np.ndarray, length: int, gram: int) -> int:
+    """Where the anchor of a region's windows lies in it."""
+    sums, down = _sums(body[:length], 0)
+    grams = _mix((sums[gram : length + 1] - sums[: length - gram + 1]) * down[: length - gram + 1])
+    return int(np.argmin((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)))
+
+
+def _digested_windows(classes: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same for buckets with too many classes for one task: windows meet by 128-bit digests, summed before they are dealt out.
+
+    The starts that lie ``STRETCH * j`` to ``STRETCH * (j + 1) - 1`` bytes before the anchor form stretch ``j``, whose windows share a core.  Stretches meet by their cores: a core seen once has no
+    repeated window, one whose stretches are all equal has only such; single windows are compared only for the others, where a passage begins or ends.
+    """
+
+    stretch = max(1, min(STRETCH, length // 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for row in range(batch.num_rows):
                 body = np.frombuffer(batch.column(4)[row].as_buffer(), np.uint8)
-                n = batch.column(3)[row].as_py()
-                digests = []
-                for which in (0, 1):
-                    sums, down = _sums(body, which)
-                    digests.append(pa.array(_mix((sums[length : length + n] - sums[:n]) * down[:n]).view(np.int64)))
-                g, f, cnt = (pa.array(np.full(n, batch.column(k)[row].as_py(), np.int64)) for k in range(3))
-                yield pa.record_batch([g, f, cnt, pa.array(np.arange(n)), *digests], ["g", "f", "cnt", "at", "d1", "d2"])
-
-    rows = map_arrow(classes.select("g", "f", "cnt", "n", "body"), run, "g long, f long, cnt long, at long, d1 long, d2 long")
-    totals = rows.groupBy("d1", "d2").agg(F.sum("cnt").alias("t")).where("t > 1").select("d1", "d2")
-    hit = rows.join(totals, ["d1", "d2"], "left_semi").select("g", "f", F.struct(F.col("at").alias("b"), (F.col("at") + 1).alias("e")).alias("r"))
-    return hit.groupBy("g", "f").agg(F.collect_list("r").alias("ranges"))
+                g, f, cnt, n = (batch.column(k)[row].as_py() for k in range(4))
+                off = _anchor_place(body, length, gram)
+                tables = [_sums(body, which) for which in (0, 1)]
+                windows = [_mix((s[length : length + n] - s[:n]) * d[:n]).view(np.int64).tolist() for s, d in tables]
+                for j in range((off - n + 1) // stretch, off // stretch + 1):
+                    b, e = max(0, off - stretch * j - stretch + 1), min(n, off - stretch * j + 1)
+                    c, d = off - stretch * j, off - stretch * (j + 1) + 1 + length
+                    core = [int(_mix(((s[d : d + 1] - s[c : c + 1]) * w[c]) + np.uint64(j)).view(np.int64)[0]) for s, w in tables]
+                    whole = int(_mix((tables[0][0][e - 1 + length : e + length] - tables[0][0][b : b + 1]) * tables[0][1][b] + np.uint64(e - b << 32 | off - b)).view(np.int64)[0])
+                    rows.append((g, f, cnt, b, e, *core, whole, [{"d1": x, "d2": y} for x, y in zip(windows[0][b:e], windows[1][b:e], strict=True)]))
+            if rows:
+                kinds = [pa.int64()] * 8 + [pa.list_(pa.struct([("d1", pa.int64()), ("d2", pa.int64())]))]
+                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["g", "f", "cnt", "b", "e", "c1", "c2", "x", "w"])
+
+    rows = materialise(
+        map_arrow(classes.select("g", "f", "cnt", "n", "body"), run, "g long, f long, cnt long, b long, e long, c1 long, c2 long, x long, w array<struct<d1:long,d2:long>>")
+    )
+    cores = rows.groupBy("c1", "c2").agg(F.sum("cnt").alias("t"), (F.min("x") == F.max("x")).alias("alike")).where("t > 1").drop("t")
+    met = rows.join(cores, ["c1", "c2"])
+    alike = met.where("alike").select("g", "f", F.struct("b", "e").alias("r"))
+    single = met.where("not alike").select("g", "f", "cnt", "b", F.posexplode("w").alias("i", "d")).select("g", "f", "cnt", (F.col("b") + F.col("i")).alias("at"), "d.d1", "d.d2")
+    totals = single.groupBy("d1", "d2").agg(F.sum("cnt").alias("t")).where("t > 1").select("d1", "d2")
+    hit = single.join(totals, ["d1", "d2"], "left_semi").select("g", "f", F.struct(F.col("at").alias("b"), (F.col("at") + 1).alias("e")).alias("r"))
+    return alike.unionByName(hit).groupBy("g", "f").agg(F.collect_list("r").alias("ranges"))
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_classes: int = BUCKET_CLASSES) -> DataFrame:
@@ -281,7 +309,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buc
     joined = source.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key"))).select("text", "rows")
     bodies = materialise(map_arrow(joined, cut, "g long, f long, cnt long, n long, classes long, body binary"))
     flags = materialise(
-        _sorted_buckets(bodies.where(F.col("classes") <= bucket_classes), length).unionByName(_digested_windows(bodies.where(F.col("classes") > bucket_classes), length)).unionByName(alone)
+        _sorted_buckets(bodies.where(F.col("classes") <= bucket_classes), length).unionByName(_digested_windows(bodies.where(F.col("classes") > bucket_classes), length, gram)).unionByName(alone)
     )
     discard(bodies, shared)
     spans = found.join(flags, ["g", "f"]).select("id", "key", F.explode(F.transform("ranges", lambda r: F.struct((F.col("lo") + r["b"]).alias("b"), (F.col("lo") + r["e"] + (length - 1)).alias("e")))).alias("r"))
