@@ -286,7 +286,19 @@ def _digested_windows(classes: DataFrame, length: int, gram: int) -> DataFrame:
     single = met.where("not alike").select("g", "f", "cnt", "b", F.posexplode("w").alias("i", "d")).select("g", "f", "cnt", (F.col("b") + F.col("i")).alias("at"), "d.d1", "d.d2")
     totals = single.groupBy("d1", "d2").agg(F.sum("cnt").alias("t")).where("t > 1").select("d1", "d2")
     hit = single.join(totals, ["d1", "d2"], "left_semi").select("g", "f", F.struct(F.col("at").alias("b"), (F.col("at") + 1).alias("e")).alias("r"))
-    return alike.unionByName(hit).groupBy("g", "f").agg(F.collect_list("r").alias("ranges"))
+    return alike.unionByName(hit).groupBy("g", "f").agg(_joined(F.array_sort(F.collect_list("r"))).alias("ranges"))
+
+
+def _joined(ranges: F.Column) -> F.Column:
+    """Sorted ranges with those that touch made one, so that an occurrence of a class has a row for each run of its starts."""
+    none = F.array().cast("array<struct<b:bigint,e:bigint>>")
+
+    def add(done: F.Column, r: F.Column) -> F.Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["b"].alias("b"), F.greatest(last["e"], r["e"]).alias("e"))
+        return F.when(last["e"] >= r["b"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(ranges, none, add)
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_classes: int = BUCKET_CLASSES) -> DataFrame:
