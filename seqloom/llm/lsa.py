@@ -2,12 +2,14 @@
 
 Every document is cut into passages of 24 words, every 8 words.  Passages are TF-IDF vectors over hashed terms; a randomised
 factorisation of their Gram matrix (one pass over all passages, sketch ``G W``, then Nystrom) gives the leading right singular vectors.
-Passages and benchmark items meet in that latent space: pairs over a cosine are candidates, and a candidate counts if the longest
-common subsequence of words covers enough of the item and of its answer (its last sentence).
+Passages and benchmark items meet in that latent space: pairs over a cosine are candidates; items under 24 words also meet passages of 8 and 16
+words, whose surroundings dilute them less.  A run of words of an item that is long enough to count makes a candidate too, whatever the cosine.
+A candidate counts if the longest common subsequence of words covers enough of the item and of its answer (its last sentence).
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,6 +30,8 @@ TERMS, RANK, EXTRA = 2048, 96, 8
 STEP, SPAN = 8, 3
 #: A candidate's least cosine; the least share of an item's words, and of its answer's, in common order; the share that needs no answer.
 COSINE, SHARE, ANSWER, SURE = 0.5, 0.6, 0.5, 0.8
+#: A copied run of the share of an item's words (so many at least, and at most that of an item of a passage's length) always makes a candidate.
+LEAST_RUN = 3
 #: Benchmark items that are held at once; more are searched in blocks of so many.
 ITEMS_AT_ONCE = 20_000
 _SEED = 77
@@ -45,6 +49,25 @@ def term_ids(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).astype(np.int64) % TERMS
 
 
+def run_length(n: int) -> int:
+    """Words of a run that makes an item of ``n`` words a candidate."""
+    return max(LEAST_RUN, math.ceil(SHARE * min(n, STEP * SPAN)))
+
+
+def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``length`` word hashes."""
+    n = len(words) - length + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for j in range(length if n > 0 else 0):
+        out = (out + words[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+
+
 def _block_starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the blocks of ``STEP`` words of documents laid end to end, and each block's document."""
     n = -(-sizes // STEP)
@@ -149,12 +172,13 @@ def common_subsequence(item: list[bytes], other: list[bytes]) -> int:
 
 
 class Items:
-    """Benchmark items with the latent vectors of their passages."""
+    """Benchmark items with the latent vectors of their passages and the hashes of their runs."""
 
     def __init__(self, rows: list[tuple[object, str | None]], space: LatentSpace) -> None:
         self.space = space
         self.rows: list[tuple[object, list[bytes], list[bytes]]] = []
         vectors, owners = [], []
+        runs: dict[int, list[tuple[np.ndarray, int]]] = {}
         width = STEP * SPAN
         for ident, text in rows:
             words = words_of((text or "").encode())
@@ -166,10 +190,35 @@ class Items:
             for s in sorted(at):
                 vectors.append(space.to_latent[term_ids(words[s : s + width])].sum(0))
                 owners.append(len(self.rows))
+            length = run_length(len(words))
+            runs.setdefault(length, []).append((np.unique(run_hashes(word_hashes(words), length)), len(self.rows)))
             self.rows.append((ident, words, answer))
         v = np.array(vectors, np.float32).reshape(-1, space.to_latent.shape[1])
         self.vectors = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         self.owners = np.array(owners, np.int64)
+        self.short = np.flatnonzero(np.array([len(self.rows[i][1]) < width for i in owners], bool))
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length, own in runs.items():
+            keys, of = np.concatenate([h for h, _ in own]), np.repeat([i for _, i in own], [len(h) for h, _ in own])
+            order = np.argsort(keys, kind="stable")
+            self.runs[length] = keys[order], of[order]
+
+    def _run_hits(self, hashes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """``(word, item number, words)`` of every run of an item in documents laid end to end; ``ends`` has each word's document's end."""
+        for length, (keys, of) in self.runs.items():
+            own = run_hashes(hashes, length)
+            first = np.searchsorted(keys, own)
+            there = np.flatnonzero(keys[np.minimum(first, len(keys) - 1)] == own) if len(keys) else np.empty(0, np.int64)
+            there = there[there + length <= ends[there]]
+            for at, a, b in zip(there.tolist(), first[there].tolist(), np.searchsorted(keys, own[there], side="right").tolist(), strict=True):
+                for item in of[a:b].tolist():
+                    yield at, item, length
+
+    def _cosine(self, ids: np.ndarray, item: int) -> float:
+        """The largest cosine of an item's passages to the given words."""
+        v = self.space.to_latent[ids].sum(0)
+        a, b = np.searchsorted(self.owners, [item, item + 1])
+        return float((self.vectors[a:b] @ v).max() / max(np.linalg.norm(v), 1e-12))
 
     def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, float, float, float]]]:
         """For each text ``(item number, first word, end word, cosine, share, answer share)`` of every item that it leaks."""
@@ -178,21 +227,40 @@ class Items:
         sizes = np.array([len(w) for w in each], np.int64)
         if not sizes.sum() or not len(self.vectors):
             return out
-        ids = np.concatenate([term_ids(w) for w in each])
+        hashes = np.concatenate([word_hashes(w) for w in each])
+        ids = (hashes % np.uint64(TERMS)).astype(np.int64)
         starts, owner = _block_starts(sizes)
         sums = _block_sums(self.space.to_latent[ids], starts)
-        passage = sums.copy()
-        for k in range(1, SPAN):
-            same = owner[k:] == owner[:-k]
-            passage[:-k][same] += sums[k:][same]
-        passage /= np.maximum(np.linalg.norm(passage, axis=1, keepdims=True), 1e-12)
-        scores = passage @ self.vectors.T
-        p, q = np.nonzero(scores >= COSINE)
         begin = np.cumsum(sizes) - sizes
-        found: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for block, vector in zip(p.tolist(), q.tolist(), strict=True):
-            doc = int(owner[block])
-            found.setdefault((doc, int(self.owners[vector])), []).append((int(starts[block] - begin[doc]), float(scores[block, vector])))
+        found: dict[tuple[int, int], list[tuple[int, float, int]]] = {}
+        passage = sums.copy()
+        for span in range(1, SPAN + 1):
+            if span > 1:
+                k = span - 1
+                same = owner[k:] == owner[:-k]
+                passage[:-k][same] += sums[k:][same]
+            # passages under the full length are for short items only
+            columns = None if span == SPAN else self.short
+            if columns is not None and not len(columns):
+                continue
+            unit = passage / np.maximum(np.linalg.norm(passage, axis=1, keepdims=True), 1e-12)
+            scores = unit @ (self.vectors if columns is None else self.vectors[columns]).T
+            p, q = np.nonzero(scores >= COSINE)
+            for block, vector, score in zip(p.tolist(), (q if columns is None else columns[q]).tolist(), scores[p, q].tolist(), strict=True):
+                doc = int(owner[block])
+                found.setdefault((doc, int(self.owners[vector])), []).append((int(starts[block] - begin[doc]), score, STEP * span))
+        of_word = np.repeat(np.arange(len(sizes)), sizes)
+        past: dict[tuple[int, int], int] = {}
+        for at, item, length in self._run_hits(hashes, (begin + sizes)[of_word]):
+            doc = int(of_word[at])
+            # a run that overlaps the one before or lies in a passage that was found adds nothing to what is compared
+            if at < past.get((doc, item), 0):
+                continue
+            past[doc, item] = at + length
+            hits = found.setdefault((doc, item), [])
+            place = int(at - begin[doc])
+            if not any(h[0] <= place and place + length <= h[0] + h[2] for h in hits):
+                hits.append((place, self._cosine(ids[at : at + length], item), length))
         for (doc, item), hits in found.items():
             _, words, answer = self.rows[item]
             n, best = len(words), None
@@ -202,7 +270,7 @@ class Items:
                 to = at
                 while to + 1 < len(hits) and hits[to + 1][0] - hits[to][0] <= n:
                     to += 1
-                lo, hi = max(0, hits[at][0] - n), min(len(each[doc]), hits[to][0] + STEP * SPAN + n)
+                lo, hi = max(0, hits[at][0] - n), min(len(each[doc]), max(h[0] + h[2] for h in hits[at : to + 1]) + n)
                 region = each[doc][lo:hi]
                 share = common_subsequence(words, region) / n
                 if share >= SHARE:
@@ -230,7 +298,7 @@ def find_leaks(
 ) -> DataFrame:
     """``(id, item, first_word, end_word, cosine, share, answer_share)``: a row for every row of ``docs`` and every benchmark item that it leaks.
 
-    Places are words (runs of letters and digits).  Null and empty texts and items leak nothing.  Repeated rows of ``docs`` each give their rows; repeated
+    Places are words (runs of letters and digits); the cosine is that of the best passage, or of the run that made the candidate.  Null and empty texts and items leak nothing.  Repeated rows of ``docs`` each give their rows; repeated
     items count once; an empty table on either side gives an empty result; other columns are ignored.
     """
     source = clean_name(docs, id_col, text_col).toDF("id", "text")
