@@ -36,6 +36,17 @@ _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 _PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]+?-----END (?:[A-Z]+ )*PRIVATE KEY-----", re.ASCII)
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
+#: Characters of a bank account by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
 #: Keyword -> the kind whose pattern is tried where it begins.
 KEYWORDS = {
     **dict.fromkeys(("password", "passwd", "secret", "token", "apikey", "api_key"), "assign"),
@@ -80,6 +91,31 @@ def crc_ok(body: str, check: str) -> bool:
     return out == check
 
 
+def card_end(text: str, start: int) -> int:
+    """End of the longest card number from ``start`` that ends where no digit follows and whose checksum holds; 0 without one."""
+    m = _CARD.match(text, start)
+    if not m:
+        return 0
+    end = m.end()
+    digits = re.sub("[ -]", "", m[0])
+    while len(digits) >= 13:
+        if not text[end : end + 1].isdigit() and luhn(digits):
+            return end
+        digits, end = digits[:-1], end - 1
+        while not text[end - 1].isdigit():
+            end -= 1
+    return 0
+
+
+def iban_end(text: str, start: int) -> int:
+    """End of the bank account from ``start``: the whole run, or as much of it as the country has, if the checksum holds; 0 without one."""
+    m = _IBAN.match(text, start)
+    if not m:
+        return 0
+    own = IBAN_LENGTHS.get(m[0][:2], len(m[0]))
+    return next((start + n for n in (len(m[0]), own) if n <= len(m[0]) and iban_ok(m[0][:n])), 0)
+
+
 class Scanner:
     """Finds spans ``(start, end, kind number)`` in code points, sorted by start, then kind."""
 
@@ -132,13 +168,9 @@ class Scanner:
             start = end - size + 1
             if start < after[kind] or text[start - 1 : start].isalnum():
                 continue
-            if kind == "card":
-                if (m := _CARD.match(text, start)) and not text[m.end() : m.end() + 1].isdigit() and luhn(re.sub("[ -]", "", m[0])):
-                    after[kind] = m.end()
-                    keep(kind, start, m.end())
-            elif (m := _IBAN.match(text, start)) and iban_ok(m[0]):
-                after[kind] = m.end()
-                keep(kind, start, m.end())
+            if stop := card_end(text, start) if kind == "card" else iban_end(text, start):
+                after[kind] = stop
+                keep(kind, start, stop)
         return sorted(found, key=lambda s: (s[0], s[2]))
 
 

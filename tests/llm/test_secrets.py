@@ -50,3 +50,21 @@ def test_query_rows(spark):
     clean = {r.doc_id: r.text for r in redact(df).collect()}
     assert clean[0] is None and clean[2] == "clean" and clean[3] == "[SECRET]" and clean[4].endswith(" [SECRET]")
     assert secret_digests(df.limit(0)).count() == 0
+
+
+def test_digits_after_cards_and_accounts():
+    scan = Scanner()
+    card, account = "4111 1111 1111 1111", "GB82WEST12345698765432"
+    for text, whole in (
+        (f"{card} 12/28", card),
+        (f"{card} 123", card),
+        (f"pay {card}-12 now", card),
+        (f"{card} 1234 5678", card),
+        (f"no {account}7", account),
+        (f"{account}AB12", account),
+        (account, account),
+        (card, card),
+    ):
+        assert [text[s:e] for s, e, k in scan.spans(text) if KINDS[k] in ("card", "iban")] == [whole], text
+    # a digit follows: no end of a number
+    assert not [s for s in scan.spans("41111111111111111") if KINDS[s[2]] == "card"]
