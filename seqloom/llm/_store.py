@@ -21,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a local folder is set.
+    Only where the session names none and runs on this machine alone (tests) a local folder is set; a cluster without one is an error, since
+    what executors write to their own disks nobody else reads.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -46,13 +50,23 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     return back
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)  # noqa: SLF001
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is stored."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)  # noqa: SLF001
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by ``materialise`` that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_seqloom_path", None)
         if path:
-            jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-            jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)  # noqa: SLF001
+            delete(df.sparkSession, path)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -3,7 +3,7 @@
 A token file is a bare stream of 16-bit big-endian ids without index or header; a separator id ends each document.  The scan
 cuts files into blocks, searches each block for separators at once, and stitches documents that cross blocks with two prefix
 scans over the block summaries: a running count of separators (which document) and a running maximum of the last
-separator's place (where it began).
+separator's place (where it began).  The task that writes a token file also lists, beside it, whose documents it has written.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm._store import clean_name, map_arrow, shared_dir
+from seqloom.llm._store import clean_name, delete, exists, map_arrow, materialise, shared_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split pattern of the vocabulary (a fixed value).
@@ -28,8 +29,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SEPARATOR = 50304
 #: Tokens that one block has.
 BLOCK = 1 << 20
-#: Documents in one file at most, so that a file stays far below what one row can hold.
-FILE_DOCS = 20_000
+#: Bytes after which a task begins another file, so that a file stays far below what one row can hold.
+FILE_BYTES = 1 << 25
+#: Files that a task may have: all stay open until it ends.
+TASK_FILES = 1024
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 @lru_cache(2)
@@ -39,27 +43,72 @@ def tokenizer(path: str = VOCABULARY, pattern: str = PATTERN) -> tiktoken.Encodi
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def write_token_files(docs: DataFrame, path: str, text_col: str = "text", vocabulary: str = VOCABULARY, file_docs: int = FILE_DOCS) -> None:
-    """Tokenise ``docs`` into flat files under ``path``, one shard of files for each partition, documents in row order.
+def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, file_bytes: int = FILE_BYTES) -> None:
+    """Tokenise ``docs`` into flat files under ``path/kind=tokens``, documents in row order, and list ``(shard, file, ordinal, id)`` of each document under ``path/kind=ids``.
 
-    Null and empty texts become a bare separator.  Spark's own writer commits the files, so retried tasks leave nothing behind.
+    Null and empty texts become a bare separator.  One task writes both, in one go, so that lists and files agree whatever order another read of ``docs`` would have;
+    Spark's own writer commits them, so retried tasks leave nothing behind.  A task's files are numbered; each ends after the document that fills it.
     """
+    source = clean_name(docs, id_col, text_col).toDF("id", "text")
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocabulary).encode_ordinary
+        shard = TaskContext.get().partitionId()
+        file = ordinal = size = 0
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                rows, size = [], 0
-                while at < batch.num_rows and size < 1 << 22:
-                    rows.append(np.array(encode(batch.column(0)[at].as_py() or ""), ">u2").tobytes())
-                    size += len(rows[-1])
-                    at += 1
-                yield pa.record_batch([pa.array(rows, pa.binary())], ["ids"])
-
-    ids = map_arrow(clean_name(docs, text_col).toDF("text"), run, "ids binary")
+                rows, files, ordinals, held, first = [], [], [], 0, at
+                while at < batch.num_rows and held < 1 << 22:
+                    if size >= file_bytes:
+                        file, ordinal, size = file + 1, 0, 0
+                        if file == TASK_FILES:
+                            raise ValueError("a partition has too many tokens for one task's files; read the table in smaller partitions")
+                    rows.append(np.array(encode(batch.column(1)[at].as_py() or ""), ">u2").tobytes())
+                    files.append(file)
+                    ordinals.append(ordinal)
+                    size, held, ordinal, at = size + len(rows[-1]) + 2, held + len(rows[-1]), ordinal + 1, at + 1
+                columns = [pa.array([shard] * len(rows), pa.int32()), pa.array(files, pa.int32()), pa.array(ordinals, pa.int64()), pa.array(rows, pa.binary())]
+                yield pa.record_batch([batch.column(0).slice(first, len(rows)), *columns], ["id", "shard", "file", "ordinal", "ids"])
+
+    ids = map_arrow(source, run, f"id {source.schema['id'].dataType.simpleString()}, shard int, file int, ordinal long, ids binary")
     end = SEPARATOR.to_bytes(2, "big").decode()
-    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", end).option("maxRecordsPerFile", file_docs).text(path)
+    both = ids.select(
+        "file",
+        F.explode(
+            F.array(
+                F.struct(F.lit("tokens").alias("kind"), F.col("ids").cast("string").alias("value")),
+                F.struct(F.lit("ids").alias("kind"), F.replace(F.to_json(F.struct("shard", "file", "ordinal", "id")), F.lit(end), F.lit(f"\\u{ord(end):04x}")).alias("value")),
+            )
+        ).alias("r"),
+    )
+    before = spark.conf.get(_OPEN_FILES, None)
+    # rows go straight to their files: sorting them by file first would lose their order and spill them all
+    spark.conf.set(_OPEN_FILES, str(2 * TASK_FILES))
+    try:
+        both.select("r.kind", "file", "r.value").write.partitionBy("kind", "file").option("lineSep", end).text(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_OPEN_FILES)
+        else:
+            spark.conf.set(_OPEN_FILES, before)
+
+
+def read_ids(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """``(shard, file, ordinal, id)`` of every document, as ``write_token_files`` has listed them; ``kind`` is the type of the ids."""
+    lines = spark.read.schema("value string").option("recursiveFileLookup", "true").option("lineSep", SEPARATOR.to_bytes(2, "big").decode()).text(f"{path}/kind=ids")
+    return lines.select(F.from_json("value", f"shard int, file int, ordinal long, id {kind}").alias("r")).select("r.*")
+
+
+def shard_of(path: Column) -> Column:
+    """The number of the task that has written a file, from the file's name."""
+    return F.regexp_extract(F.substring_index(path, "/", -1), r"^part-(\d+)-", 1).cast("int")
+
+
+def file_of(path: Column) -> Column:
+    """The file's number among those of its task, from its folder's name."""
+    return F.regexp_extract(F.substring_index(path, "/", -2), r"^file=(\d+)/", 1).cast("int")
 
 
 def read_blocks(spark: SparkSession, path: str, block: int = BLOCK, separator: int = SEPARATOR) -> DataFrame:
@@ -77,7 +126,7 @@ def read_blocks(spark: SparkSession, path: str, block: int = BLOCK, separator: i
                         ["path", "block", "begin", "size", "ends"],
                     )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return map_arrow(files, run, "path string, block long, begin long, size long, ends array<long>")
 
 
@@ -110,30 +159,30 @@ def document_spans(blocks: DataFrame) -> DataFrame:
     )
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block: int = BLOCK, file_docs: int = FILE_DOCS) -> DataFrame:
-    """``(id, shard, ordinal, start_token, n_tokens)``, one row per row of ``docs``, by way of flat token files in the shared folder.
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, block: int = BLOCK, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """``(id, shard, file, ordinal, start_token, n_tokens)``, one row per row of ``docs``, by way of flat token files in the shared folder.
 
-    The files have no index, so rows are matched to documents by their place: partition and order in it, which a table that is read again keeps.
-    A document that is not found where its row says fails the query.  Null and empty texts have no tokens; repeated rows each have
-    their own place; an empty table gives an empty result; other columns are ignored.
+    The files have no index; a document's place in them is its number among the separators of its file, and whose place it is the list of ids tells that the
+    same task has written.  A listed document that the scan doesn't find fails the query.  Null and empty texts have no tokens; very long texts cross as
+    many blocks as they fill; repeated rows each have their own place; null ids stay null; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
-    write_token_files(docs, path, text_col, vocabulary, file_docs)
-    found = document_spans(read_blocks(spark, path, block)).select(
-        F.regexp_extract("path", r"part-(\d+)-", 1).cast("int").alias("shard"),
-        (F.coalesce(F.regexp_extract("path", r"-c(\d+)[^/]*$", 1).cast("long"), F.lit(0)) * file_docs + F.col("ordinal")).alias("ordinal"),
-        "start",
-        "n_tokens",
-    )
-    places = clean_name(docs, id_col).toDF("id").select(
-        "id", F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal")
-    )
-    joined = places.join(found, ["shard", "ordinal"], "left")
-    return joined.select(
-        F.col("id").alias(id_col),
-        "shard",
-        "ordinal",
-        F.col("start").alias("start_token"),
-        F.coalesce("n_tokens", F.raise_error(F.lit("a document is missing from its token file")).cast("long")).alias("n_tokens"),
+    write_token_files(docs, path, id_col, text_col, vocabulary, file_bytes)
+    kind = docs.schema[id_col].dataType.simpleString()
+    if not exists(spark, f"{path}/kind=tokens"):
+        return spark.createDataFrame([], f"`{id_col}` {kind}, shard int, file int, ordinal long, start_token long, n_tokens long")
+    found = document_spans(read_blocks(spark, f"{path}/kind=tokens", block)).select(shard_of(F.col("path")).alias("shard"), file_of(F.col("path")).alias("file"), "ordinal", "start", "n_tokens")
+    joined = read_ids(spark, path, kind).join(found, ["shard", "file", "ordinal"], "left")
+    counted = materialise(
+        joined.select(
+            F.col("id").alias(id_col),
+            "shard",
+            "file",
+            "ordinal",
+            F.col("start").alias("start_token"),
+            F.coalesce("n_tokens", F.raise_error(F.lit("a document is missing from its token file")).cast("long")).alias("n_tokens"),
+        )
     )
+    delete(spark, path)
+    return counted
