@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ BYTE_SCORE = -14.0
 KEPT_NODES = 1_000_000
 _SLAB = 1 << 17
 _SPACE = "▁"
-_UNIT = re.compile(f"{_SPACE}[^{_SPACE}\n]*|\n|[^{_SPACE}\n]+")
+_UNIT = re.compile(f"{_SPACE}+[^{_SPACE}\n]*|\n|[^{_SPACE}\n]+")
 _ESCAPED = 1 << 20
+_NEAR = 16
 _UNITS = 2.0**32
 _U = np.uint64
 
@@ -42,8 +45,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _gumbel(h: np.ndarray) -> np.ndarray:
-    return -np.log(-np.log(((h >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53))
+def _exponential(h: np.ndarray) -> np.ndarray:
+    """Exponential variates; the negative logarithm of one is Gumbel noise."""
+    return -np.log(((h >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53)
 
 
 _SLOT_BITS = 18
@@ -84,7 +88,7 @@ class Vocabulary:
         for i, piece in enumerate(self.pieces):
             if model.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and _SPACE not in piece[1:]:
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and _SPACE not in piece.lstrip(_SPACE):
                 usable[piece] = i
                 rank[i] = max(0.0, -model.get_score(i)) if model.get_score(i) > -1e6 else float(n)
         if (self.byte_id < 0).any():
@@ -93,6 +97,7 @@ class Vocabulary:
         self.bytes_of = [p.replace(_SPACE, " ").encode() for p in self.pieces]
         for b, i in enumerate(self.byte_id.tolist()):
             self.bytes_of[i] = bytes((b,))
+        self.byte_table = pa.array(self.bytes_of, pa.large_binary())
         self.score = np.full(n, -np.inf)
         ids = np.array(list(rank))
         self.score[ids] = -np.log(np.array(list(rank.values())) + 2)
@@ -147,6 +152,13 @@ class Vocabulary:
             ids.append(got[whole])
         return np.concatenate(places), np.concatenate(ids)
 
+    def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of segmentations that lie end to end in ``ids``, with the space that precedes every text."""
+        got = self.byte_table.take(pa.array(ids))
+        whole = got.buffers()[2].to_pybytes() if len(ids) else b""
+        ends = np.frombuffer(got.buffers()[1], np.int64)[: len(ids) + 1][np.cumsum(sizes)] if len(ids) else np.zeros(len(sizes), np.int64)
+        return [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation."""
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -170,6 +182,8 @@ class Lattices:
         self.nodes = self.edges = 0
         self.first, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
         self.to, self.logp, self.piece = np.empty(1 << 16, np.int64), np.empty(1 << 16), np.empty(1 << 16, np.int32)
+        #: One over the probability of an edge among those that leave its node.
+        self.scale = np.empty(1 << 16)
         #: Characters of several bytes without a piece, by what is added to ``_ESCAPED``.
         self.escaped: list[bytes] = []
         self.escape_of: dict[str, tuple[int, float]] = {}
@@ -183,11 +197,16 @@ class Lattices:
             setattr(self, name, held := wider)
         held[at : at + len(values)] = values
 
-    def add(self, words: list[str]) -> None:
-        """Make the lattices of words that are new."""
-        new = [w for w in dict.fromkeys(words) if w not in self.start]
-        if not new:
-            return
+    def add(self, words: list[str]) -> np.ndarray:
+        """The first nodes of words; lattices are made of those that are new."""
+        nodes = np.fromiter(map(self.start.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(nodes < 0).tolist()
+        if missing:
+            self._make(list(dict.fromkeys([words[i] for i in missing])))
+            nodes[missing] = [self.start[words[i]] for i in missing]
+        return nodes
+
+    def _make(self, new: list[str]) -> None:
         base, edge_base = self.nodes, self.edges
         text = "\n".join(["\0" if w == "\n" else w for w in new]) + "\n"
         sizes = np.fromiter(map(len, new), np.int64, len(new))
@@ -223,7 +242,9 @@ class Lattices:
         first = np.cumsum(count) - count
         # log-probability of everything from a node to its word's end, nodes nearest to the end first
         left = np.repeat(ends, sizes + 1) - np.arange(len(text))
-        mass = np.zeros(len(text))
+        mass, near = np.zeros(len(text)), np.ones(len(text))
+        # within so many places of the end plain sums can't leave the range of a double, each character being given what a byte costs
+        weight = np.exp(score - BYTE_SCORE * (to - begin))
         lefts = left[begin]
         by_left = np.argsort(lefts.astype(np.uint16) if len(left) and left.max() < 1 << 16 else lefts, kind="stable")
         lefts = lefts[by_left]
@@ -232,12 +253,19 @@ class Lattices:
             e = by_left[a:b]
             node = begin[e]
             group = np.flatnonzero(np.diff(node, prepend=-1))
-            mass[node[group]] = np.logaddexp.reduceat(score[e] + mass[to[e]], group)
+            if lefts[a] <= _NEAR:
+                node = node[group]
+                near[node] = np.add.reduceat(weight[e] * near[to[e]], group)
+                mass[node] = np.log(near[node]) + BYTE_SCORE * left[node]
+            else:
+                mass[node[group]] = np.logaddexp.reduceat(score[e] + mass[to[e]], group)
         self._append("first", base, first + edge_base)
         self._append("count", base, count)
         self._append("to", edge_base, to + base)
         # whole multiples of 2^-32, so that sums over a path are exact whatever lies before it in the slab
-        self._append("logp", edge_base, np.round((score + mass[to] - mass[begin]) * _UNITS) / _UNITS)
+        logp = np.round((score + mass[to] - mass[begin]) * _UNITS) / _UNITS
+        self._append("logp", edge_base, logp)
+        self._append("scale", edge_base, np.exp(-logp))
         self._append("piece", edge_base, piece)
         self.nodes += len(text)
         self.edges += len(to)
@@ -260,14 +288,27 @@ def words_of(text: str) -> list[str]:
 
 
 class _Descent:
-    """One descent of each of some texts: path steps in order, and the open siblings of each with their perturbed values."""
+    """One descent of each of some texts: path steps in order, and for each its best open sibling by the logarithm of how much later than the text's best it comes."""
+
+    __slots__ = ("begin", "count", "doc", "edge", "first", "least", "open_doc", "open_late", "open_step", "phi", "step_at", "step_unit", "time", "total", "value")
+
+    def take(self, place: int) -> int:
+        """The edge of an open sibling; the next best one of its node takes its place."""
+        step, begin, n = self.open_step[place], self.begin[place], self.count[place]
+        time = self.time[begin : begin + n]
+        own = int(time.argmin())
+        time[own] = np.inf
+        self.open_late[place] = _late(time.min() - self.least[place], self.phi[step])
+        return int(self.first[place]) + own
+
 
-    __slots__ = ("doc", "edge", "open_doc", "open_edge", "open_step", "open_value", "phi", "step_at", "step_unit", "total")
+def _late(gap: np.ndarray, phi: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(gap, 1e-300)) - phi
 
 
 def _descend(lat: Lattices, seed: np.ndarray, salt: int, docs: np.ndarray, value: np.ndarray, phi: np.ndarray, occ_doc: np.ndarray, occ_unit: np.ndarray, occ_node: np.ndarray) -> _Descent:
     """From each word occurrence's node to its word's end.  ``occ_*`` are in text order; ``value`` and ``phi`` are by text."""
-    steps_occ, steps_edge, sib_occ, sib_edge, sib_noise, sib_top = [], [], [], [], [], []
+    steps, times, made = [], [], 0
     active = np.flatnonzero(lat.count[occ_node] > 0)
     node = occ_node[active]
     salted = _mix(seed[occ_doc] + _U(salt * 0x9E3779B97F4A7C15 % (1 << 64)) + occ_unit.astype(np.uint64) * _U(0xD1B54A32D192ED03))
@@ -275,51 +316,43 @@ def _descend(lat: Lattices, seed: np.ndarray, salt: int, docs: np.ndarray, value
     while len(active):
         n, first = lat.count[node], lat.first[node]
         at = np.cumsum(n) - n
-        who = np.repeat(np.arange(len(node)), n)
-        local = np.arange(len(who)) - at[who]
-        edge = first[who] + local
-        here = salted[active] + (node - occ_node[active]).astype(np.uint64) * _U(0x8CB92BA72F3D8DD7)
-        noise = lat.logp[edge] + _gumbel(_mix(here[who] + local.astype(np.uint64) * _U(0xA0761D6478BD642F)))
-        top = np.maximum.reduceat(noise, at)
-        hit = np.flatnonzero(noise == top[who])
+        places = np.arange(int(n.sum()))
+        edge = places + np.repeat(first - at, n)
+        here = salted[active] + (node - occ_node[active]).astype(np.uint64) * _U(0x8CB92BA72F3D8DD7) - at.astype(np.uint64) * _U(0xA0761D6478BD642F)
+        # a perturbed log-probability is the negative logarithm of an exponential time over the probability: the largest one comes first
+        time = lat.scale[edge] * _exponential(_mix(np.repeat(here, n) + places.astype(np.uint64) * _U(0xA0761D6478BD642F)))
+        least = np.minimum.reduceat(time, at)
+        hit = np.flatnonzero(time == np.repeat(least, n))
         if len(hit) > len(at):
             hit = hit[np.searchsorted(hit, at)]
+        time[hit] = np.inf
         chosen = edge[hit]
-        rest = np.ones(len(edge), bool)
-        rest[hit] = False
-        other = who[rest]
-        steps_occ.append(active)
-        steps_edge.append(chosen)
-        sib_occ.append(active[other])
-        sib_edge.append(edge[rest])
-        sib_noise.append(noise[rest])
-        sib_top.append(top[other])
+        steps.append((active, chosen, at + made, n, first, least, np.minimum.reduceat(time, at)))
+        times.append(time)
+        made += len(time)
         taken[active] += 1
         node = lat.to[chosen]
         more = lat.count[node] > 0
         active, node = active[more], node[more]
     out = _Descent()
-    none = np.empty(0, np.int64)
     # the s-th step of a word lies s places behind its first, so paths need no sort
     begin = np.cumsum(taken) - taken
     out.edge = np.empty(int(taken.sum()), np.int64)
-    for s, (occ, edge) in enumerate(zip(steps_occ, steps_edge, strict=True)):
+    for s, (occ, edge, *_) in enumerate(steps):
         out.edge[begin[occ] + s] = edge
     out.doc, out.step_unit = np.repeat(occ_doc, taken), np.repeat(occ_unit, taken)
     sums = np.concatenate(([0], np.cumsum((lat.logp[out.edge] * _UNITS).astype(np.int64))))
     out.step_at = np.searchsorted(out.doc, np.arange(len(seed) + 1))
     out.phi = phi[out.doc] + (sums[:-1] - sums[out.step_at[out.doc]]) / _UNITS
     out.total = phi + (sums[out.step_at[1:]] - sums[out.step_at[:-1]]) / _UNITS
-    out.open_step = np.concatenate([begin[occ] + s for s, occ in enumerate(sib_occ)]) if sib_occ else none
-    out.open_edge = np.concatenate(sib_edge) if sib_edge else none
+    none = np.empty(0, np.int64)
+    out.open_step = np.concatenate([begin[x[0]] + s for s, x in enumerate(steps)]) if steps else none
+    out.begin, out.count, out.first, out.least, second = (np.concatenate([x[k] for x in steps]) if steps else none for k in range(2, 7))
+    out.time = np.concatenate(times) if times else np.empty(0)
     out.open_doc = out.doc[out.open_step]
-    noise = np.concatenate(sib_noise) if sib_noise else np.empty(0)
-    top = np.concatenate(sib_top) if sib_top else np.empty(0)
-    # children given that their maximum is the node's value
-    most = value[out.open_doc]
-    gap = np.minimum(noise - top, -1e-300)
-    u = most - (out.phi[out.open_step] + noise) + np.log(-np.expm1(gap))
-    out.open_value = most - np.maximum(u, 0) - np.log1p(np.exp(-np.abs(u)))
+    # children given that their maximum is the node's value: a child comes later than the text's best by what it comes later than its best sibling, over the probability of the way to both
+    out.open_late = _late(second - out.least, out.phi[out.open_step])
+    out.value = value
     return out
 
 
@@ -334,13 +367,12 @@ def sample_segmentations(texts: list[str], keys: np.ndarray, k: int, lat: Lattic
     if lat.nodes > KEPT_NODES:
         lat.clear()
     flat = [w for words in each for w in words]
-    lat.add(flat)
+    occ_node = lat.add(flat)
     sizes = np.fromiter(map(len, each), np.int64, n)
     occ_doc = np.repeat(np.arange(n), sizes)
     occ_unit = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[occ_doc]
-    occ_node = np.fromiter(map(lat.start.__getitem__, flat), np.int64, len(flat))
     seed = _mix(keys.astype(np.int64).view(np.uint64) + _U(0x632BE59BD9B4E019))
-    value, phi = _gumbel(_mix(seed + _U(1))), np.zeros(n)
+    value, phi = -np.log(_exponential(_mix(seed + _U(1)))), np.zeros(n)
     descents: list[_Descent] = []
     paths: list[list[np.ndarray | None]] = []
     prefix: list[np.ndarray] = []
@@ -360,15 +392,17 @@ def sample_segmentations(texts: list[str], keys: np.ndarray, k: int, lat: Lattic
         # the best open node of each text over all descents
         best, best_of, best_at = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for j, x in enumerate(descents):
-            if not len(x.open_value):
+            if not len(x.open_late):
                 continue
-            top = np.full(n, -np.inf)
-            np.maximum.at(top, x.open_doc, x.open_value)
-            hit = np.flatnonzero(x.open_value == top[x.open_doc])
+            least = np.full(n, np.inf)
+            np.minimum.at(least, x.open_doc, x.open_late)
+            hit = np.flatnonzero(x.open_late == least[x.open_doc])
             owner, first = np.unique(x.open_doc[hit], return_index=True)
-            better = top > best
-            where = first[np.searchsorted(owner, np.flatnonzero(better))]
-            best_at[better] = hit[where]
+            owner, first = owner[np.isfinite(least[owner])], first[np.isfinite(least[owner])]
+            top = np.full(n, -np.inf)
+            top[owner] = -np.logaddexp(-x.value[owner], least[owner])
+            better = np.flatnonzero(top > best)
+            best_at[better] = hit[first[np.searchsorted(owner, better)]]
             best_of[better] = j
             best[better] = top[better]
         if s == k - 1:
@@ -382,8 +416,7 @@ def sample_segmentations(texts: list[str], keys: np.ndarray, k: int, lat: Lattic
         first_occ = np.cumsum(sizes) - sizes
         for i in np.flatnonzero(live).tolist():
             x, at = descents[best_of[i]], best_at[i]
-            step, edge = x.open_step[at], x.open_edge[at]
-            x.open_value[at] = -np.inf
+            step, edge = x.open_step[at], x.take(at)
             d_phi[i] = x.phi[step] + lat.logp[edge]
             within = prefix[best_of[i]][i] + step - x.step_at[i]
             head[i] = np.append(paths[best_of[i]][i][:within], edge)
@@ -425,12 +458,14 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows = [x for f in found for x in f]
                 ids = [x[0] for x in rows]
                 sizes = np.array([len(x) for x in ids], np.int64)
-                good = [vocab.decode(x[0].tolist()) == t for t, f in zip(texts, found, strict=True) for x in f]
+                flat = np.concatenate(ids).astype(np.int32)
+                expected = [f" {t}".encode() if t else b"" for t, f in zip(texts, found, strict=True) for _ in f]
+                good = list(map(eq, vocab.decoded(flat, sizes), expected))
                 yield pa.record_batch(
                     [
                         part.column(0).take(pa.array(np.repeat(np.arange(len(texts)), n))),
                         pa.array(np.concatenate([np.arange(c) for c in n]).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat)),
                         pa.array(sizes),
                         pa.array([x[1] for x in rows], pa.float64()),
                         pa.array([x[2] for x in rows], pa.float64()),
