@@ -21,19 +21,20 @@ from pyspark.sql import DataFrame
 from seqloom.llm._store import clean_name, map_arrow
 
 #: Tags whose content is never text of a page.
-_RAW = frozenset("script style noscript template iframe object svg math canvas audio video head".split())
+_RAW = frozenset("script style noscript template iframe object svg canvas audio video head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that stay inside a block.
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym annotation b bdi bdo big cite code data del dfn em font i ins kbd mark math mfrac mi mn mo mrow ms msqrt mstyle msub msubsup msup mtext q rp rt ruby s samp small span strike strong semantics sub sup time tt u var wbr img".split()
 )
 #: Start tags that end an open element of the same kind.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table body html article section div nav aside header footer main form blockquote td th select".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: What stands in a tag before its end: quoted values may have ``>`` in them.
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.S)
+#: Times a page's length that may be read in vain for tags whose quotes never close; after that the page's tags end at the next ``>``.
+_VAIN = 8
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -41,7 +42,9 @@ _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[frozenset, ...]
+    #: Feature names of all elements around it, and of the innermost one.
+    around: frozenset
+    own: frozenset
     linked: int
 
 
@@ -58,13 +61,47 @@ def _names(tag: str, attributes: str) -> frozenset:
     return frozenset(out)
 
 
-_names = lru_cache(4096)(_names)
+_short_names = lru_cache(4096)(_names)
+
+
+class _Elements:
+    """The open elements of a page, with where each tag and each scope was opened last, so that closing takes no search."""
+
+    def __init__(self, known: frozenset | None) -> None:
+        self.known = known
+        self.stack: list[tuple[str, frozenset, frozenset]] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def open(self, tag: str, names: frozenset) -> None:
+        if self.known is not None:
+            names &= self.known
+        around = self.stack[-1][1] if self.stack else frozenset()
+        place = len(self.stack)
+        self.stack.append((tag, around if names <= around else around | names, names))
+        self.places.setdefault(tag, []).append(place)
+        if tag in _SCOPE:
+            self.scopes.append(place)
 
+    def close(self, tag: str, inside_scope: bool) -> None:
+        """Close the innermost element of a tag and all in it; with ``inside_scope`` only if no other scope has been opened in it."""
+        at = self.places.get(tag)
+        if at and not (inside_scope and self.scopes and self.scopes[-1] > at[-1]):
+            place = at[-1]
+            while len(self.stack) > place:
+                name = self.stack.pop()[0]
+                self.places[name].pop()
+                if name in _SCOPE:
+                    self.scopes.pop()
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, white space collapsed, character references decoded, blank ones left out."""
+
+def blocks(page: str, known: frozenset | None = None) -> list[Block]:
+    """The leaf blocks of a page in order, white space collapsed, character references decoded, blank ones left out.
+
+    With ``known`` only those feature names are kept.  The time grows with the page's length, whatever is left open in it.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    elements = _Elements(known)
     parts: list[str] = []
     linked = 0
     in_link = False
@@ -74,37 +111,63 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append(Block(text, tuple(names for _, names in stack), min(linked, len(text))))
+                _, around, own = elements.stack[-1] if elements.stack else ("", frozenset(), frozenset())
+                found.append(Block(text, around, own, min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            parts.append(chunk := page[at : m.start()])
+    def keep(end: int) -> None:
+        nonlocal linked
+        if end > at:
+            parts.append(page[at:end])
             if in_link:
-                linked += len(chunk)
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+                linked += end - at
+
+    at = 0
+    look = 0
+    last_end = page.rfind(">")
+    vain = 0
+    while (start := page.find("<", look)) >= 0:
+        if page.startswith(("<!--", "<![CDATA["), start):
+            keep(start)
+            close = "-->" if page[start + 2] == "-" else "]]>"
+            end = page.find(close, start + (4 if close == "-->" else 9))
+            at = look = len(page) if end < 0 else end + 3
+            continue
+        if start > last_end:
+            # no tag ends from here on; only a comment could follow
+            look = start + 1
             continue
-        if m[1] or m[4]:
+        if page.startswith(("<!", "<?"), start):
+            keep(start)
+            at = look = page.find(">", start) + 1
+            continue
+        m = _TAG.match(page, start)
+        if not m:
+            look = start + 1
+            continue
+        quoted = _QUOTED.match(page, m.end()) if vain <= _VAIN * len(page) else None
+        if quoted:
+            end = quoted.end()
+        else:
+            vain += len(page) - start
+            end = page.find(">", m.end()) + 1
+        keep(start)
+        at = look = end
+        tag, attributes = m[2].lower(), page[m.end() : end - 1]
+        if m[1]:
             if tag == "a":
                 in_link = False
             if tag in _INLINE:
                 continue
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag in ("li", "p", "td", "tr") and stack[i][0] in _SCOPE:
-                    break
+            elements.close(tag, tag in ("li", "p", "td", "tr"))
             continue
+        ended = attributes.rstrip().endswith("/")
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>|\Z" if tag != "head" else r"</head\s*>|(?=<body[\s>])|\Z", re.I).search(page, at)
             flush()
-            at = end.end()
+            if not (ended and tag == "svg"):
+                at = look = _raw_end(tag).search(page, at).end()
             continue
         if tag == "br":
             parts.append(" ")
@@ -116,34 +179,30 @@ def blocks(page: str) -> list[Block]:
         flush()
         if tag in _VOID:
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
+        if elements.stack and elements.stack[-1][0] == "p":
+            elements.close("p", False)
         for closed in _CLOSES.get(tag, ()):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == closed:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _SCOPE:
-                    break
-        attributes = m[3] or m[6] or ""
-        if not attributes.rstrip().endswith("/") or tag in _SCOPE:
-            stack.append((tag, _names(tag, attributes)))
-    if at < len(page):
-        parts.append(page[at:])
+            elements.close(closed, True)
+        if not ended or tag in _SCOPE:
+            elements.open(tag, _short_names(tag, attributes) if len(attributes) < 1000 else _names(tag, attributes))
+    keep(len(page))
     flush()
     return found
 
 
+@lru_cache(32)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>|\Z" if tag != "head" else r"</head\s*>|(?=<body[\s>])|\Z", re.I)
+
+
 def features(found: list[Block]) -> list[list[str]]:
     """Names of the features of each block."""
     out = []
     for b in found:
         n = len(b.text)
         names = {"bias", f"length:{min(8, n.bit_length())}", f"links:{4 * b.linked // n}"}
-        for element in b.path:
-            names |= element
-        if b.path:
-            names.update("own:" + x for x in b.path[-1])
+        names |= b.around
+        names.update("own:" + x for x in b.own)
         if b.text[-1] in ".!?:;…。":
             names.add("ends a sentence")
         if "©" in b.text or "copyright" in b.text.lower():
@@ -157,6 +216,8 @@ class LinearChainCRF:
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray) -> None:
         self.index, self.emit, self.move = index, emit, move
+        #: Names of elements that the model knows, around a block or as its own.
+        self.names = frozenset(name.removeprefix("own:") for name in index)
 
     @classmethod
     def fit(cls, pages: list[list[list[str]]], labels: list[list[int]], rounds: int = 120, ridge: float = 0.02, least: int = 3) -> LinearChainCRF:
@@ -349,7 +410,7 @@ def default_model(pages: int = 500, seed: int = 11) -> LinearChainCRF:
 
 
 def main_text(page: str, model: LinearChainCRF) -> str:
-    found = blocks(page)
+    found = blocks(page, model.names)
     return "\n".join(b.text for b, keep in zip(found, model.decode(features(found)), strict=True) if keep)
 
 
@@ -358,6 +419,7 @@ def extract_main_text(
 ) -> DataFrame:
     """``(page_id, url, text, n_chars)``, one row per row of ``pages``.
 
+    Very long pages are read whole, in time that grows with their length; tags that never end are text.  Of equally likely labellings the one with main text is taken.
     Null and empty pages, and pages without main text, have the empty text.  Text outside any tag is a block like any other.
     Repeated rows each give a row, an empty table none; other columns are ignored.
     """

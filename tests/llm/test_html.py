@@ -1,4 +1,7 @@
 import re
+import time
+
+import pytest
 
 from seqloom.llm.html_crf import blocks, default_model, extract_main_text, features, main_text, training_pages
 
@@ -38,3 +41,17 @@ def test_edges(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in extract_main_text(df).collect())
     assert got == [(1, "", 0), (2, "", 0), (3, "Some words here.", 16), (3, "Some words here.", 16)]
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ['<a ', '<a "', "<!a", '<a "> "b', "<div>a", "<li><x1>", "<div><p>x"])
+@pytest.mark.parametrize("tail", ["", "'", "</td>" * 20_000])
+def test_very_long_pages_of_unclosed_tags(unit, tail):
+    model = default_model()
+    began = time.thread_time()
+    main_text(unit * ((1 << 20) // len(unit)) + tail, model)
+    assert time.thread_time() - began < 20
+
+
+def test_empty_svg_and_formulas():
+    page = '<p>one <svg class="i"/> two</p><p>three <math><mi>x</mi><mo>=</mo><mn>1</mn></math> four</p><svg><text>no</text></svg><p>five</p>'
+    assert [b.text for b in blocks(page)] == ["one", "two", "three x=1 four", "five"]
