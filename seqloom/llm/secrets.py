@@ -32,8 +32,10 @@ _HEX = re.compile(r"[0-9a-f]+")
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}", re.ASCII)
 _IBAN = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", re.ASCII)
 _CRC = re.compile(r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])", re.ASCII)
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII)
-_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]+?-----END (?:[A-Z]+ )*PRIVATE KEY-----", re.ASCII)
+_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}", re.ASCII)
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")
+_PEM_BEGIN = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", re.ASCII)
+_PEM_END = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----", re.ASCII)
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 #: Characters of a bank account by country.
@@ -54,6 +56,7 @@ KEYWORDS = {
     **dict.fromkeys(("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "crc_token"),
     "eyj": "jwt",
     "-----begin ": "private_key",
+    "-----end ": "private_key_end",
 }
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Digits and hex letters fold to class symbols; what breaks a run of them folds to a blank.
@@ -127,7 +130,9 @@ class Scanner:
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         found: list[tuple[int, int, int]] = []
-        after = dict.fromkeys(KINDS, 0)
+        after = dict.fromkeys([*KINDS, "private_key_end"], 0)
+        # the first key that has begun and not ended: its start, and where its body begins
+        begun: tuple[int, int] | None = None
 
         def keep(kind: str, start: int, end: int) -> None:
             found.append((start, end, KINDS.index(kind)))
@@ -154,9 +159,16 @@ class Scanner:
                 if m := _JWT.match(text, start):
                     after[kind] = m.end()
                     keep(kind, start, m.end())
-            elif m := _PEM.match(text, start):
-                after[kind] = m.end()
-                keep(kind, start, m.end())
+                else:
+                    # what follows the run decides, so it decides for all that begin in it
+                    after[kind] = _JWT_RUN.match(text, start).end()
+            elif kind == "private_key":
+                if begun is None and (m := _PEM_BEGIN.match(text, start)):
+                    begun = (start, m.end())
+            elif begun and start > begun[1] and (m := _PEM_END.match(text, start)):
+                after["private_key"] = m.end()
+                keep("private_key", begun[0], m.end())
+                begun = None
         for end, (size, kind) in self.hex_runs.iter(text.translate(_FOLD_HEX)):
             start = end - size + 1
             if start >= after[kind]:
@@ -178,6 +190,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, spans)``, one row per row of ``docs``: an array of ``(kind, start, end)`` in code points, end exclusive.
 
     Null and empty texts have no spans.  Repeated rows each give a row, an empty table none; other columns are ignored.
+    Very long texts are scanned whole, in time that grows with their length.  Spans that start together are listed in the order of ``KINDS``.
     Matches of one kind never overlap (leftmost first); matches of different kinds may.
     """
 
@@ -195,7 +208,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span in ``text_col`` replaced by ``mask``; all other columns and all rows stay as they are.
 
-    Overlapping or touching spans become one mask.  Null texts stay null.
+    Overlapping or touching spans become one mask.  Null texts stay null, empty ones empty; very long texts are masked whole; repeated rows stay; an empty table gives an empty result.
     """
     names = docs.columns
 

@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from seqloom.llm.secrets import KINDS, Scanner, redact, secret_digests
 
@@ -68,3 +71,17 @@ def test_digits_after_cards_and_accounts():
         assert [text[s:e] for s, e, k in scan.spans(text) if KINDS[k] in ("card", "iban")] == [whole], text
     # a digit follows: no end of a number
     assert not [s for s in scan.spans("41111111111111111") if KINDS[s[2]] == "card"]
+
+
+@pytest.mark.parametrize("unit", ["-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA ", "eyJ", "eyJabc.", "password ", "AKIA", "1111 ", "-----END "])
+def test_very_long_texts_of_hits_without_an_end(unit):
+    began = time.thread_time()
+    Scanner().spans(unit * ((1 << 20) // len(unit)))
+    assert time.thread_time() - began < 20
+
+
+def test_keys_end_at_the_first_end():
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    text = f"x {begin} {begin}\nabc\n{end} {end} {begin}{end} y {end}"
+    want = [m.span() for m in re.finditer(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]+?-----END (?:[A-Z]+ )*PRIVATE KEY-----", text)]
+    assert [(s, e) for s, e, k in Scanner().spans(text) if KINDS[k] == "private_key"] == want and len(want) == 2
