@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from seqloom.llm._store import SLAB_BYTES, as_bytes, clean_name, map_arrow, slabs
 
-K, S = 48, 16
+#: Bytes of a window and of its runs: short, so that texts of a line have anchors too; two windows in 17 are anchors.
+K, S = 24, 8
 _BASE = 0x9E3779B97F4A7C15
 _SEED = 20240229
 
@@ -171,7 +172,7 @@ def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S) -> DataFrame:
     """Each document's fingerprint, that of its edited text (see ``edited``; what follows is the next document by id, the first after the last), and their likeness.
 
-    One row per row of ``docs``: ``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.  Null texts count
+    Very long texts are fingerprinted whole.  One row per row of ``docs``: ``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.  Null texts count
     as empty; equal ids are ordered by text; a lone document follows itself; an empty table gives an empty result; other columns are ignored.
     """
     rows = in_id_order(docs, id_col, text_col)
