@@ -5,6 +5,8 @@ depends on the window's bytes alone, so equal windows anywhere have equal anchor
 for each anchor string that occurs twice.  Starts that share an anchor form a region; equal regions are one class with a count.  In a bucket
 the classes' suffixes are sorted in two stages: those smaller than their successors directly, the others induced by scanning
 the buckets of first bytes.  Neighbours with a common prefix of ``LENGTH`` bytes form runs; a run with two places is repeated.
+
+A hot bucket (many different surroundings of one passage) is first split by the bytes around the anchor, and its parts are sorted in the same way.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 from seqloom.llm._store import as_bytes, clean_name, discard, map_arrow, materialise, slabs
 
 LENGTH, GRAM = 400, 100
-#: Classes of one bucket that are sorted in one task; larger buckets compare whole windows by digest, dealt out by the digest.
+#: Classes of one bucket that are sorted in one task; larger buckets are split into parts.
 BUCKET_CLASSES = 500
 #: Starts of one stretch of a region in such a bucket (near the root of a region's usual number of starts, which needs the fewest rows).
 STRETCH = 16
+#: Classes of stretches with one core that are sorted in one task; of more, single windows meet as whole strings.
+STRETCH_CLASSES = 4096
 #: Starts of one piece of a text; longer texts are cut into pieces that overlap by a window.
 PIECE = 1 << 20
 #: Bytes that are sorted at once.
@@ -67,12 +71,12 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def regions(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(anchor hash, class hash, first start, starts)`` of the regions of one text (at most 2^24 bytes)."""
+def regions(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(anchor hash, two class hashes, first start, starts)`` of the regions of one text (at most 2^24 bytes)."""
     n = len(data)
     if n < length:
         none = np.empty(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     sums, down = _sums(data, 0)
     grams = _mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     ranked = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
@@ -80,15 +84,13 @@ def regions(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     count = np.diff(np.append(first, len(anchor)))
     at = anchor[first]
-    sums, down = _sums(data, 1)
-    whole = (sums[first + count + length - 1] - sums[first]) * down[first]
-    shape = (count.astype(np.uint64) << np.uint64(32)) | (at - first).astype(np.uint64)
-    kind = _mix(whole ^ _mix(shape))
-    return grams[at].view(np.int64), kind.view(np.int64), first, count
+    shape = _mix((count.astype(np.uint64) << np.uint64(32)) | (at - first).astype(np.uint64))
+    kinds = [_mix(((s[first + count + length - 1] - s[first]) * d[first]) ^ shape).view(np.int64) for s, d in ((sums, down), _sums(data, 1))]
+    return grams[at].view(np.int64), kinds[1], kinds[0], first, count
 
 
 def anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(id, key, g, f, lo, n)`` for every region of ``(id, key, text)``."""
+    """``(id, key, g, f, f2, lo, n)`` for every region of ``(id, key, text)``; ``f`` and ``f2`` together name its class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,15 +99,15 @@ def anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 rows, found = [], []
                 for i, text in enumerate(texts):
                     for base in range(0, max(1, len(text) - length + 1), PIECE):
-                        g, f, lo, n = regions(np.frombuffer(text[base : base + PIECE + length - 1], np.uint8), length, gram)
+                        g, f, f2, lo, n = regions(np.frombuffer(text[base : base + PIECE + length - 1], np.uint8), length, gram)
                         rows.append(np.full(len(g), i))
-                        found.append((g, f, lo + base, n))
+                        found.append((g, f, f2, lo + base, n))
                 at = pa.array(np.concatenate(rows))
                 yield pa.record_batch(
-                    [part.column(0).take(at), part.column(1).take(at), *[pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]], ["id", "key", "g", "f", "lo", "n"]
+                    [part.column(0).take(at), part.column(1).take(at), *[pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]], ["id", "key", "g", "f", "f2", "lo", "n"]
                 )
 
-    return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, key long, g long, f long, lo long, n long")
+    return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, key long, g long, f long, f2 long, lo long, n long")
 
 
 def _windows(data: np.ndarray, length: int) -> np.ndarray:
@@ -210,36 +212,36 @@ def _ranges(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"b": int(b), "e": int(e)} for b, e in edge.reshape(-1, 2)]
 
 
-_FLAGS = "g long, f long, ranges array<struct<b:long,e:long>>"
+_FLAGS = "c1 long, c2 long, c3 long, ranges array<struct<b:long,e:long>>"
 _FLAG_TYPE = pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))
 
 
 def _sorted_buckets(classes: DataFrame, length: int) -> DataFrame:
-    """``(g, f, ranges)`` of the repeated starts of the classes ``(g, f, cnt, n, body)``, bucket by bucket."""
+    """``(c1, c2, c3, ranges)`` of the repeated starts of the classes ``(bucket, c1, c2, c3, cnt, n, body)``, bucket by bucket."""
 
-    def sort(rows: dict[tuple[int, int], tuple[bytes, int, int]]) -> pa.RecordBatch:
+    def sort(rows: dict[tuple[int, int, int], tuple[bytes, int, int]]) -> pa.RecordBatch:
         hits = repeated_starts(*map(list, zip(*rows.values(), strict=True)), length)
-        keep = [(g, f, _ranges(h)) for (g, f), h in zip(rows, hits, strict=True) if h.any()]
-        return pa.record_batch([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64()), pa.array([k[2] for k in keep], _FLAG_TYPE)], ["g", "f", "ranges"])
+        keep = [(*name, _ranges(h)) for name, h in zip(rows, hits, strict=True) if h.any()]
+        return pa.record_batch([pa.array([k[i] for k in keep], _FLAG_TYPE if i == 3 else pa.int64()) for i in range(4)], ["c1", "c2", "c3", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[bytes, int, int]] = {}
+        held: dict[tuple[int, int, int], tuple[bytes, int, int]] = {}
         size, last = 0, None
         for batch in batches:
-            cnt, n = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for i, (g, f) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if size > SORT_BYTES and g != last:
+            bucket, *names, cnt, n = (batch.column(k).to_pylist() for k in range(6))
+            for i, name in enumerate(zip(*names, strict=True)):
+                if size > SORT_BYTES and bucket[i] != last:
                     yield sort(held)
                     held, size = {}, 0
-                last = g
-                if (g, f) not in held:
-                    body = batch.column(4)[i].as_py()
-                    held[g, f] = (body, n[i], cnt[i])
+                last = bucket[i]
+                if name not in held:
+                    body = batch.column(6)[i].as_py()
+                    held[name] = (body, n[i], cnt[i])
                     size += len(body)
         if held:
             yield sort(held)
 
-    return map_arrow(classes.select("g", "f", "cnt", "n", "body").repartition("g").sortWithinPartitions("g"), run, _FLAGS)
+    return map_arrow(classes.select("bucket", "c1", "c2", "c3", "cnt", "n", "body").repartition("bucket").sortWithinPartitions("bucket"), run, _FLAGS)
 
 
 def _anchor_place(body: np.ndarray, length: int, gram: int) -> int:
@@ -249,44 +251,57 @@ def _anchor_place(body: np.ndarray, length: int, gram: int) -> int:
     return int(np.argmin((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)))
 
 
-def _digested_windows(classes: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for buckets with too many classes for one task: windows meet by 128-bit digests, summed before they are dealt out.
+def _stretches(classes: DataFrame, length: int, gram: int) -> DataFrame:
+    """``(g, f, f2, cnt, b, n, k1, k2, x1, x2, body)``: the classes cut into stretches.
 
-    The starts that lie ``STRETCH * j`` to ``STRETCH * (j + 1) - 1`` bytes before the anchor form stretch ``j``, whose windows share a core.  Stretches meet by their cores: a core seen once has no
-    repeated window, one whose stretches are all equal has only such; single windows are compared only for the others, where a passage begins or ends.
+    The starts that lie ``STRETCH * j`` to ``STRETCH * (j + 1) - 1`` bytes before the anchor form stretch ``j``.  Its windows share a core (named by ``k1`` and ``k2``), and equal windows
+    have equal cores; ``x1`` and ``x2`` name the whole stretch, which begins at ``b`` and has ``n`` starts.
     """
-
     stretch = max(1, min(STRETCH, length // 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for row in range(batch.num_rows):
-                body = np.frombuffer(batch.column(4)[row].as_buffer(), np.uint8)
-                g, f, cnt, n = (batch.column(k)[row].as_py() for k in range(4))
+                rows = []
+                body = np.frombuffer(batch.column(5)[row].as_buffer(), np.uint8)
+                g, f, f2, cnt, n = (batch.column(k)[row].as_py() for k in range(5))
                 off = _anchor_place(body, length, gram)
                 tables = [_sums(body, which) for which in (0, 1)]
-                windows = [_mix((s[length : length + n] - s[:n]) * d[:n]).view(np.int64).tolist() for s, d in tables]
                 for j in range((off - n + 1) // stretch, off // stretch + 1):
                     b, e = max(0, off - stretch * j - stretch + 1), min(n, off - stretch * j + 1)
                     c, d = off - stretch * j, off - stretch * (j + 1) + 1 + length
                     core = [int(_mix(((s[d : d + 1] - s[c : c + 1]) * w[c]) + np.uint64(j)).view(np.int64)[0]) for s, w in tables]
-                    whole = int(_mix((tables[0][0][e - 1 + length : e + length] - tables[0][0][b : b + 1]) * tables[0][1][b] + np.uint64(e - b << 32 | off - b)).view(np.int64)[0])
-                    rows.append((g, f, cnt, b, e, *core, whole, [{"d1": x, "d2": y} for x, y in zip(windows[0][b:e], windows[1][b:e], strict=True)]))
-            if rows:
-                kinds = [pa.int64()] * 8 + [pa.list_(pa.struct([("d1", pa.int64()), ("d2", pa.int64())]))]
-                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["g", "f", "cnt", "b", "e", "c1", "c2", "x", "w"])
-
-    rows = materialise(
-        map_arrow(classes.select("g", "f", "cnt", "n", "body"), run, "g long, f long, cnt long, b long, e long, c1 long, c2 long, x long, w array<struct<d1:long,d2:long>>")
-    )
-    cores = rows.groupBy("c1", "c2").agg(F.sum("cnt").alias("t"), (F.min("x") == F.max("x")).alias("alike")).where("t > 1").drop("t")
-    met = rows.join(cores, ["c1", "c2"])
-    alike = met.where("alike").select("g", "f", F.struct("b", "e").alias("r"))
-    single = met.where("not alike").select("g", "f", "cnt", "b", F.posexplode("w").alias("i", "d")).select("g", "f", "cnt", (F.col("b") + F.col("i")).alias("at"), "d.d1", "d.d2")
-    totals = single.groupBy("d1", "d2").agg(F.sum("cnt").alias("t")).where("t > 1").select("d1", "d2")
-    hit = single.join(totals, ["d1", "d2"], "left_semi").select("g", "f", F.struct(F.col("at").alias("b"), (F.col("at") + 1).alias("e")).alias("r"))
-    return alike.unionByName(hit).groupBy("g", "f").agg(_joined(F.array_sort(F.collect_list("r"))).alias("ranges"))
+                    whole = [int(_mix((s[e - 1 + length : e + length] - s[b : b + 1]) * w[b] + np.uint64(e - b << 32 | off - b)).view(np.int64)[0]) for s, w in tables]
+                    rows.append((g, f, f2, cnt, b, e - b, *core, *whole, body[b : e - 1 + length].tobytes()))
+                yield pa.record_batch([pa.array(list(x), pa.binary() if i == 10 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], names)
+
+    names = ["g", "f", "f2", "cnt", "b", "n", "k1", "k2", "x1", "x2", "body"]
+    return map_arrow(classes.select("g", "f", "f2", "cnt", "n", "body"), run, ", ".join(f"{c} {'binary' if c == 'body' else 'long'}" for c in names))
+
+
+def _split_buckets(classes: DataFrame, length: int, gram: int, stretch_classes: int) -> DataFrame:
+    """What ``_sorted_buckets`` gives, for buckets with too many classes for one task: stretches of their regions are sorted core by core.
+
+    As with whole regions, equal stretches are one class with a count, a core seen once has no repeated window, and one whose stretches are all equal has only
+    such.  A core with over ``stretch_classes`` different stretches (a passage's end in as many surroundings) has its single windows grouped as whole strings.
+    """
+    rows = materialise(_stretches(classes, length, gram))
+    place = ["g", "f", "f2", "b"]
+    kinds = rows.groupBy("k1", "k2", "x1", "x2").agg(F.sum("cnt").alias("cnt"), F.min(F.struct(*place, "n")).alias("one"))
+    cores = kinds.groupBy("k1", "k2").agg(F.sum("cnt").alias("t"), F.count("*").alias("classes")).where("t > 1").drop("t")
+    shared = materialise(kinds.join(cores, ["k1", "k2"]).select("k1", "x1", "x2", "cnt", "classes", "one.*"))
+    bodies = materialise(rows.select(*place, "body").join(shared.where("classes > 1"), place).select(F.col("k1").alias("bucket"), "x1", "x2", "cnt", "n", "classes", "body"))
+    alike = shared.where("classes = 1").select("x1", "x2", F.array(F.struct(F.lit(0).cast("long").alias("b"), F.col("n").alias("e"))).alias("ranges"))
+    parts = bodies.where(F.col("classes") <= stretch_classes).select("bucket", F.col("x1").alias("c1"), F.col("x2").alias("c2"), F.lit(0).cast("long").alias("c3"), "cnt", "n", "body")
+    single = bodies.where(F.col("classes") > stretch_classes).select("x1", "x2", "cnt", "body", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))
+    single = single.select("x1", "x2", "cnt", "b", F.substring("body", F.col("b").cast("int") + 1, F.lit(length)).alias("w"))
+    again = single.groupBy("w").agg(F.sum("cnt").alias("t")).where("t > 1").select("w")
+    met = single.join(again, "w", "left_semi").select("x1", "x2", F.array(F.struct("b", (F.col("b") + 1).alias("e"))).alias("ranges"))
+    flags = materialise(_sorted_buckets(parts, length).select(F.col("c1").alias("x1"), F.col("c2").alias("x2"), "ranges").unionByName(alike).unionByName(met))
+    hit = rows.select(*place, "x1", "x2").join(flags, ["x1", "x2"]).select("g", "f", "f2", F.transform("ranges", lambda r: F.struct((F.col("b") + r["b"]).alias("b"), (F.col("b") + r["e"]).alias("e"))).alias("r"))
+    out = materialise(hit.groupBy("g", "f", "f2").agg(_joined(F.array_sort(F.flatten(F.collect_list("r")))).alias("ranges")))
+    discard(rows, shared, bodies, flags)
+    return out.toDF("c1", "c2", "c3", "ranges")
 
 
 def _joined(ranges: F.Column) -> F.Column:
@@ -301,42 +316,48 @@ def _joined(ranges: F.Column) -> F.Column:
     return F.aggregate(ranges, none, add)
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_classes: int = BUCKET_CLASSES) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_classes: int = BUCKET_CLASSES, stretch_classes: int = STRETCH_CLASSES) -> DataFrame:
     """``(id, key, ranges)``: the byte ranges of each ``(id, key, text)`` that a repeated window covers, unmerged; ``key`` is the text's hash."""
+    name = ["g", "f", "f2"]
     found = materialise(anchor_table(docs, length, gram))
-    classes = found.groupBy("g", "f").agg(F.count("*").alias("cnt"), F.min(F.struct("id", "key", "lo", "n")).alias("one"))
+    classes = found.groupBy(*name).agg(F.count("*").alias("cnt"), F.min(F.struct("id", "key", "lo", "n")).alias("one"))
     buckets = classes.groupBy("g").agg(F.sum("cnt").alias("places"), F.count("*").alias("classes")).where("places > 1").drop("places")
-    shared = materialise(classes.join(buckets, "g").select("g", "f", "cnt", "one.*", "classes"))
-    alone = shared.where("classes = 1").select("g", "f", F.array(F.struct(F.lit(0).cast("long").alias("b"), F.col("n").alias("e"))).alias("ranges"))
-    wanted = shared.where("classes > 1").groupBy("id", "key").agg(F.collect_list(F.struct("g", "f", "cnt", "lo", "n", "classes")).alias("rows"))
+    shared = materialise(classes.join(buckets, "g").select(*name, "cnt", "one.*", "classes"))
+    alone = shared.where("classes = 1").select(*name, F.array(F.struct(F.lit(0).cast("long").alias("b"), F.col("n").alias("e"))).alias("ranges"))
+    wanted = shared.where("classes > 1").groupBy("id", "key").agg(F.collect_list(F.struct(*name, "cnt", "lo", "n", "classes")).alias("rows"))
+    columns = [*name, "cnt", "n", "classes"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, rows in zip(as_bytes(batch.column(0)), batch.column(1), strict=True):
                 rows = rows.as_py()
                 bodies = [text[r["lo"] : r["lo"] + r["n"] + length - 1] for r in rows]
-                yield pa.record_batch([*[pa.array([r[c] for r in rows], pa.int64()) for c in ("g", "f", "cnt", "n", "classes")], pa.array(bodies, pa.binary())], ["g", "f", "cnt", "n", "classes", "body"])
+                yield pa.record_batch([*[pa.array([r[c] for r in rows], pa.int64()) for c in columns], pa.array(bodies, pa.binary())], [*columns, "body"])
 
     source = docs.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "text")
     joined = source.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key"))).select("text", "rows")
-    bodies = materialise(map_arrow(joined, cut, "g long, f long, cnt long, n long, classes long, body binary"))
-    flags = materialise(
-        _sorted_buckets(bodies.where(F.col("classes") <= bucket_classes), length).unionByName(_digested_windows(bodies.where(F.col("classes") > bucket_classes), length, gram)).unionByName(alone)
-    )
-    discard(bodies, shared)
-    spans = found.join(flags, ["g", "f"]).select("id", "key", F.explode(F.transform("ranges", lambda r: F.struct((F.col("lo") + r["b"]).alias("b"), (F.col("lo") + r["e"] + (length - 1)).alias("e")))).alias("r"))
-    return spans.groupBy("id", "key").agg(F.collect_list("r").alias("ranges"))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_classes: int = BUCKET_CLASSES) -> DataFrame:
+    bodies = materialise(map_arrow(joined, cut, ", ".join(f"{c} long" for c in columns) + ", body binary"))
+    whole = bodies.where(F.col("classes") <= bucket_classes).select(F.col("g").alias("bucket"), F.col("g").alias("c1"), F.col("f").alias("c2"), F.col("f2").alias("c3"), "cnt", "n", "body")
+    split = _split_buckets(bodies.where(F.col("classes") > bucket_classes), length, gram, stretch_classes)
+    flags = materialise(_sorted_buckets(whole, length).unionByName(split).toDF(*name, "ranges").unionByName(alone))
+    discard(bodies, shared, split)
+    spans = found.join(flags, name).select("id", "key", F.explode(F.transform("ranges", lambda r: F.struct((F.col("lo") + r["b"]).alias("b"), (F.col("lo") + r["e"] + (length - 1)).alias("e")))).alias("r"))
+    ranges = materialise(spans.groupBy("id", "key").agg(F.collect_list("r").alias("ranges")))
+    discard(found, flags)
+    return ranges
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_classes: int = BUCKET_CLASSES, stretch_classes: int = STRETCH_CLASSES) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept, kept_sha256)``, one row per row of ``docs``.
 
     A byte of a text's UTF-8 goes if a ``length``-byte string covers it that also starts anywhere else, in the same text or another.  ``kept`` are the other bytes.
+    Regions and stretches count as equal if two 64-bit hashes of their bytes agree (with that of their anchor or core 192 bits); all else is compared byte by byte.
+    Very long texts are cut into overlapping pieces of ``PIECE`` starts.  Which of several equal places is first makes no difference: all lose the bytes.
     Null and empty texts, and texts shorter than ``length``, lose nothing.  Repeated rows are copies of each other and lose all if long enough; null
     ids take part like any; an empty table gives an empty result; other columns are ignored.
     """
     source = clean_name(docs, id_col, text_col).toDF("id", "text").select("id", F.xxhash64("text").alias("key"), "text")
-    ranges = repeated_ranges(source, length, gram, bucket_classes).withColumnsRenamed({"id": "_id", "key": "_key"})
+    ranges = repeated_ranges(source, length, gram, bucket_classes, stretch_classes).withColumnsRenamed({"id": "_id", "key": "_key"})
     joined = source.join(ranges, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").select("id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

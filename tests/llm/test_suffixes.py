@@ -54,8 +54,8 @@ def test_repeated_starts():
         assert [h.tolist() for h in got] == [[seen[t[i : i + length]] > 1 for i in range(n)] for t, n in zip(texts, starts, strict=True)]
 
 
-@pytest.mark.parametrize(("length", "gram", "bucket"), [(40, 10, 500), (40, 10, 2), (400, 100, 500), (12, 3, 3)])
-def test_against_brute_force(spark, length, gram, bucket):
+@pytest.mark.parametrize(("length", "gram", "bucket", "stretch"), [(40, 10, 500, 9), (40, 10, 2, 500), (40, 10, 1, 2), (400, 100, 500, 9), (400, 100, 1, 500), (12, 3, 3, 1)])
+def test_against_brute_force(spark, length, gram, bucket, stretch):
     rng = random.Random(length + bucket)
     made = lambda n: " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 8))) for _ in range(n))
     common, texts = made(max(12, length // 3)), [None, "", "short", "ab" * 700, "xyz " * 300, "a" * 1500]
@@ -73,10 +73,29 @@ def test_against_brute_force(spark, length, gram, bucket):
     rows = [(i, t, 0) for i, t in enumerate(texts)] + [(8, texts[8], 0), (None, texts[9], 0)]
     texts += [texts[8], texts[9]]
     df = spark.createDataFrame(rows, "doc_id long, text string, key int").repartition(3)
-    got = remove_repeats(df, length=length, gram=gram, bucket_classes=bucket).collect()
+    got = remove_repeats(df, length=length, gram=gram, bucket_classes=bucket, stretch_classes=stretch).collect()
     want = sorted(((r[0] is None, r[0] or 0), *w) for r, w in zip(rows, brute(texts, length), strict=True))
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_of_several_pieces(spark):
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz     ", np.uint8)
+    made = lambda n: letters[rng.integers(0, len(letters), n)].tobytes().decode()
+    passage, long = made(700), made((1 << 20) + 300_000)
+    border = (1 << 20) - 350
+    texts = [long[:5000] + passage + long[5000:border] + passage[:650] + long[border:], made(900) + passage, long[1 << 20 :][:2000]]
+    seen = Counter(hash(t[i : i + 400]) for t in texts for i in range(len(t) - 399))
+    want = []
+    for t in texts:
+        gone = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - 399):
+            if seen[hash(t[i : i + 400])] > 1:
+                gone[i : i + 400] = True
+        want.append((len(t), int(gone.sum()), hashlib.sha256(np.frombuffer(t.encode(), np.uint8)[~gone[:-1]].tobytes()).hexdigest()))
+    got = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.kept_sha256) for r in got] == want and want[0][1] > 3000
