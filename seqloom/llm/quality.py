@@ -21,6 +21,8 @@ from seqloom.llm._store import as_bytes, clean_name, map_arrow, materialise, sla
 
 #: Labelled documents that the logistic model is fitted on at most (those with the smallest hashes of their ids).
 TRAINING_ROWS = 20_000
+#: Groups of which so many at most are broadcast; of more each is dealt out to ``SALTS`` places, so that a hot host is split.
+BROADCAST_GROUPS, SALTS = 100_000, 16
 #: Bounds of the strengths, in documents, with which groups are shrunk.
 STRENGTH = (2.0, 10_000.0)
 #: Of sums at which logits are cut, so that one document's evidence stays finite.
@@ -113,7 +115,10 @@ def _statistics(texts: list[bytes]) -> np.ndarray:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAINING_ROWS) -> LogisticModel:
-    """Fit on at most ``rows`` labelled documents (a parameter; those with the smallest hashes).  Null ids and labels are left out; an id with several labels counts by their mean."""
+    """Fit on at most ``rows`` labelled ids (a parameter; those with the smallest hashes), and at most twice as many texts of theirs.
+
+    Null ids and labels are left out; an id with several labels counts by their mean, an id with several texts once for each.
+    """
     picked = (
         clean_name(labels, id_col, label_col)
         .toDF("id", "label")
@@ -124,21 +129,21 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         .limit(rows)
     )
     # at most ``rows`` pairs of numbers, so their broadcast is bounded
-    joined = clean_name(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(picked), "id").select("label", "text")
+    joined = clean_name(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(picked), "id").select("label", F.xxhash64("text").alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = [row for part in slabs(batch, "text") for row in map(text_statistics, as_bytes(part.column(1)))]
-            yield pa.record_batch([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], ["label", "x"])
+            stats = [row for part in slabs(batch, "text") for row in map(text_statistics, as_bytes(part.column(2)))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(stats, pa.list_(pa.float64()))], ["label", "h", "x"])
 
-    # an id that has many rows counts once for each text
-    got = map_arrow(joined.distinct().orderBy(F.xxhash64("text")).limit(2 * rows), run, "label double, x array<double>").toArrow()
+    # texts become numbers before they are dealt out
+    got = map_arrow(joined, run, "label double, h long, x array<double>").distinct().orderBy("h", "label", "x").limit(2 * rows).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, FEATURES)
     return LogisticModel.fit(x, (got.column("label").to_numpy() >= 0.5).astype(float))
 
 
 def classify(docs: DataFrame, model: LogisticModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with the classifier's log-odds as a last column ``logit``; null texts count as empty."""
+    """``docs`` with the classifier's log-odds as a last column ``logit``; null texts count as empty, long ones are read whole; an empty table stays empty."""
     names = [*docs.columns, "logit"]
     at = docs.columns.index(text_col)
 
@@ -187,7 +192,7 @@ def site_rates(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, floa
     both = paths.join(hosts, paths[host].eqNullSafe(hosts["h"])).drop("h")
     host_rate = (F.col("host_s") + over_host * rate) / (F.col("host_n") + over_host)
     over_path = _strength(both, host_rate, "n", "s")
-    return both, rate, over_host, over_path
+    return materialise(both), rate, over_host, over_path
 
 
 def with_posterior(scored: DataFrame, sites: tuple[DataFrame, float, float, float], host: str, path: str, prior: float) -> DataFrame:
@@ -197,7 +202,13 @@ def with_posterior(scored: DataFrame, sites: tuple[DataFrame, float, float, floa
     """
     groups, rate, over_host, over_path = sites
     groups = groups.withColumnsRenamed({host: "_h", path: "_p"})
-    joined = scored.join(groups, scored[host].eqNullSafe(groups["_h"]) & scored[path].eqNullSafe(groups["_p"]), "left").drop("_h", "_p")
+    if groups.count() <= BROADCAST_GROUPS:
+        groups, same = F.broadcast(groups), F.lit(True)
+    else:
+        scored = scored.withColumn("_salt", F.pmod(F.xxhash64("logit"), F.lit(SALTS)).cast("int"))
+        groups = groups.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = F.col("_salt") == F.col("_s")
+    joined = scored.join(groups, scored[host].eqNullSafe(groups["_h"]) & scored[path].eqNullSafe(groups["_p"]) & same, "left").drop("_h", "_p", "_s", "_salt")
     own = _sigmoid(F.col("logit"))
     host_rate = (F.greatest(F.col("host_s") - own, F.lit(0.0)) + over_host * rate) / (F.col("host_n") - 1 + over_host)
     path_rate = (F.greatest(F.col("s") - own, F.lit(0.0)) + over_path * F.col("host_rate")) / (F.col("n") - 1 + over_path)
@@ -215,7 +226,7 @@ def quality_posteriors(
 ) -> DataFrame:
     """``(id, logit, host_rate, path_rate, posterior, keep)``, one row per row of ``docs``.
 
-    Null and empty texts are scored as texts without words.  Repeated rows each give a row and each count in their site's rate.
+    Null and empty texts are scored as texts without words, very long ones whole; a posterior at the threshold is kept.  Repeated rows each give a row and each count in their site's rate.
     Without usable labels every document gets the same evidence and is kept.  An empty table gives an empty result; other columns are ignored.
     """
     model = fit_classifier(docs, labels, id_col, text_col)
@@ -229,9 +240,9 @@ def quality_posteriors(
 def keep_good(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, whose posterior reaches ``threshold``.
+    """The rows of ``docs``, all columns, whose posterior reaches ``threshold`` (see ``quality_posteriors``; a posterior at the threshold is kept).
 
-    Texts are scored twice, once for the sites' rates and once for the rows, so that no copy of the texts is written.
+    Null and empty texts are scored as texts without words, very long ones whole; repeated rows stay or go together; an empty table gives an empty result.  Texts are scored twice, once for the sites' rates and once for the rows, so that no copy of the texts is written.
     """
     model = fit_classifier(docs, labels, id_col, text_col)
     names = docs.columns
