@@ -10,6 +10,7 @@ is walked by itself, so no task holds a hot sub-trie.  A task returns a spanning
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -135,31 +136,48 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _on_top(x: np.ndarray, blocks: int, chosen: tuple[int, ...]) -> np.ndarray:
     """``x`` with the chosen blocks of bits first, the other blocks after them."""
-    width = BITS // blocks
-    mask = np.uint64((1 << width) - 1)
+    edges = block_edges(blocks)
     out = np.zeros_like(x)
     for b in (*chosen, *(b for b in range(blocks) if b not in chosen)):
-        out = (out << np.uint64(width)) | ((x >> np.uint64(width * b)) & mask)
+        width = edges[b + 1] - edges[b]
+        out = (out << np.uint64(width)) | ((x >> np.uint64(edges[b])) & np.uint64((1 << width) - 1))
     return out
 
 
-def hamming_links(prints: DataFrame, max_bits: int = 3, blocks: int = 4, subtrie_rows: int = SUBTRIE_ROWS) -> DataFrame:
+def block_edges(blocks: int) -> list[int]:
+    """Where the blocks of bits begin, and where the last one ends."""
+    return [BITS * b // blocks for b in range(blocks + 1)]
+
+
+def best_blocks(n: int, max_bits: int, subtrie_rows: int = SUBTRIE_ROWS) -> int:
+    """The number of blocks that makes the fewest copies of ``n`` fingerprints: one for each table and each chunk of a sub-trie, if bits were random."""
+
+    def copies(blocks: int) -> float:
+        depth = (BITS // blocks) * (blocks - max_bits)
+        return math.comb(blocks, max_bits) * max(1.0, n / 2.0**depth / subtrie_rows)
+
+    return min(range(max_bits + 1, max_bits + 6), key=copies)
+
+
+def hamming_links(prints: DataFrame, max_bits: int = 3, blocks: int | None = None, subtrie_rows: int = SUBTRIE_ROWS) -> DataFrame:
     """Links ``(a, b)`` between the distinct fingerprints in column ``fp`` whose closure is that of all pairs at ``max_bits`` or fewer.
 
-    ``blocks`` divides 64 and is over ``max_bits``; more blocks make longer shared prefixes and more tables (4 blocks and 3 bits: four
-    tables with 16-bit prefixes; 8 blocks: 56 tables with 40-bit prefixes, for some 10^10 fingerprints).  Any choice gives the same closure.
+    ``blocks`` is over ``max_bits``; more blocks make longer shared prefixes and more tables (4 blocks and 3 bits: four tables with 16-bit prefixes;
+    6 blocks: 20 tables with some 32 bits).  Any choice gives the same closure; unless given it follows from the number of fingerprints (``best_blocks``).
     """
-    if not (max_bits < blocks and BITS % blocks == 0):
-        raise ValueError("blocks must divide 64 and be over max_bits")
-    width = BITS // blocks
+    if blocks is None:
+        blocks = best_blocks(prints.count(), max_bits, subtrie_rows)
+    if not max_bits < blocks <= BITS:
+        raise ValueError("blocks must be over max_bits and 64 at most")
+    edges = block_edges(blocks)
     tables = list(combinations(range(blocks), blocks - max_bits))
-    depth = width * (blocks - max_bits)
-    mask = (1 << width) - 1
+    depth = min(sum(edges[b + 1] - edges[b] for b in chosen) for chosen in tables)
 
     def prefix(chosen: tuple[int, ...]) -> F.Column:
         out = F.lit(0).cast("long")
         for b in chosen:
-            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", width * b).bitwiseAND(F.lit(mask).cast("long")))
+            width = edges[b + 1] - edges[b]
+            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", edges[b]).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
         return out
 
     dealt = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), prefix(c).alias("p")) for t, c in enumerate(tables)])).alias("k")).select(
@@ -205,17 +223,18 @@ def hamming_links(prints: DataFrame, max_bits: int = 3, blocks: int = 4, subtrie
 
 
 def simhash_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, blocks: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, blocks: int | None = None
 ) -> DataFrame:
     """``(id_col, fingerprint, component_id)``, one row per row of ``docs``.
 
     Fingerprints link at ``max_bits`` or fewer differing bits; a component is what links reach, named by its smallest id.
+    Very long texts are read whole; hashes set in exactly half leave a bit at 0.  A fingerprint that many rows share is one key of the last join, which Spark's skew join splits.
     Null, empty and blank texts have fingerprint zero, which links like any other.  Repeated rows each give a row; rows with a null id
     take part and give a row, and name a component only if it has no other id.  An empty table gives an empty result; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     prints = materialise(fingerprints(docs, id_col, text_col, words))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")))
     components = connected_components(hamming_links(distinct.select("fp"), max_bits, blocks))
     rooted = distinct.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").cast(kind).alias("component_id")), "root").select("fp", "component_id")
