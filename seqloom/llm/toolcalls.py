@@ -14,6 +14,8 @@ from seqloom.llm._store import clean_name, discard, materialise
 
 #: What chat turns are as calls: a user's turn asks, the assistant's next turn answers.
 ANSWER = "answer"
+#: Rounds after which what is known so far is written as one table.
+PLAN_ROUNDS = 8
 #: Tool -> argument -> {"type", "required", "minimum", "enum", "min_length"}; arguments that are not listed are errors.
 SCHEMAS = {ANSWER: {"prompt": {"type": "string", "required": True, "min_length": 1}, "turn": {"type": "integer", "required": True, "minimum": 0}}}
 _TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
@@ -98,7 +100,7 @@ def levels(calls: DataFrame) -> DataFrame:
     single = edges.join(several, ["conv_id", "call_id"], "left_anti")
     chains = materialise(_anchors(single))
     roots = nodes.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long"))
-    done = roots
+    done, used = roots, []
     if not several.isEmpty():
         via = chains.select("conv_id", F.col("call_id").alias("dep"), "anchor", "dist", F.lit(True).alias("chained"))
         waiting = materialise(
@@ -107,7 +109,7 @@ def levels(calls: DataFrame) -> DataFrame:
             .select("conv_id", "call_id", F.when(F.col("chained"), F.col("anchor")).otherwise(F.col("dep")).alias("dep"), (F.coalesce("dist", F.lit(0)) + 1).alias("step"), F.lit(None).cast("long").alias("top"))
         )
         ready = materialise(roots)
-        done = ready
+        done, rounds, parts = ready, 0, [ready]
         while True:
             known = ready.select("conv_id", F.col("call_id").alias("dep"), F.col("level").alias("base"))
             told = materialise(
@@ -116,14 +118,23 @@ def levels(calls: DataFrame) -> DataFrame:
             state = told.groupBy("conv_id", "call_id").agg(F.max("top").alias("level"), F.count_if(F.col("top").isNull()).alias("open"))
             ready = materialise(state.where("open = 0").select("conv_id", "call_id", "level"))
             if ready.isEmpty():
+                used = [waiting, told, ready, *parts]
                 break
             following = materialise(told.join(ready, ["conv_id", "call_id"], "left_anti"))
             discard(waiting, told)
-            waiting = following
+            waiting, rounds = following, rounds + 1
             done = done.unionByName(ready)
+            parts.append(ready)
+            if rounds % PLAN_ROUNDS == 0:
+                # written as one table, so that the plan doesn't grow with the rounds
+                done = materialise(done)
+                discard(*(p for p in parts if p is not ready))
+                parts = [done, ready]
     anchored = chains.join(done.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("base")), ["conv_id", "anchor"], "left")
     levelled = done.unionByName(anchored.select("conv_id", "call_id", (F.col("base") + F.col("dist")).alias("level")))
-    return nodes.join(levelled, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.col("level").cast("int").alias("level"))
+    out = materialise(nodes.join(levelled, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.col("level").cast("int").alias("level")))
+    discard(nodes, edges, several, chains, *used)
+    return out
 
 
 def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict[str, dict]]) -> Column:
