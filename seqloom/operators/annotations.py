@@ -9,13 +9,18 @@ from seqloom.functions.ranges import format_range
 from seqloom.functions.sequence import simplify_name
 
 
+def unescaped(value: Column) -> Column:
+    """An attribute's value with its percent escapes decoded; as it is where they are broken."""
+    return F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+
+
 def feature_ranges(features: DataFrame, tag: str = "gene", key: str = "ID", assembly: Column | None = None, simplify: bool = False, simplify_seq: bool = False) -> DataFrame:
     """``(key, range)`` of the features of one type: the attribute (``NA`` if absent or a list) and ``assembly.seqid(strand):start-end``.
 
-    ``assembly`` is the column ``genome`` unless given; only strand ``-`` is reverse.
+    ``assembly`` is the column ``genome`` unless given; only strand ``-`` is reverse.  Attributes are as in the file: what a comma separates is a list, an escaped comma is none.
     """
     value = F.col("attributes")[key]
-    name = F.when(value.isNull() | value.contains(","), "NA").otherwise(value)
+    name = F.when(value.isNull() | value.contains(","), "NA").otherwise(unescaped(value))
     seqid = F.col("seqid").cast("string")
     if simplify:
         name = simplify_name(name)

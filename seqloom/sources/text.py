@@ -11,7 +11,8 @@ from seqloom.functions.sequence import file_stem
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(genome, name, description, seq)``, one row per record; the genome is the file's name up to its first point.  Gzipped files are read too."""
-    raw = spark.read.option("lineSep", ">").text(paths).select("value", "_metadata.file_path")
+    # a record begins with > at a line's start; elsewhere the sign is part of a description
+    raw = spark.read.option("lineSep", "\n>").text(paths).select(F.regexp_replace("value", r"^\s*>", "").alias("value"), "_metadata.file_path")
     head = F.regexp_extract("value", r"^[^\r\n]*", 0)
     return raw.where(F.trim("value") != "").select(
         file_stem(F.col("file_path")).alias("genome"),
@@ -44,12 +45,12 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_gff(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """GFF3 records with attributes as a map; lines that are no record fail the query."""
+    """GFF3 records with attributes as a map, escapes kept; lines that are no record fail the query."""
     lines = spark.read.text(paths).select("value", file_stem(F.col("_metadata.file_path")).alias("genome"))
     rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("c", F.split("value", "\t"))
     checked = F.when(F.size("c") == 9, F.col("c")).otherwise(F.raise_error(F.concat(F.lit("not a GFF3 record: "), "value")).cast("array<string>"))
     rows = rows.withColumn("c", checked)
-    attributes = F.transform_values(F.str_to_map(F.col("c")[8], F.lit(";"), F.lit("=")), lambda _, v: F.url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))))
+    attributes = F.str_to_map(F.col("c")[8], F.lit(";"), F.lit("="))
     names = ["seqid", "source", "type", "start", "end", "score", "strand", "phase"]
     picked = [F.col("c")[i].cast("long").alias(n) if n in ("start", "end") else F.col("c")[i].alias(n) for i, n in enumerate(names)]
     return rows.select("genome", *picked, attributes.alias("attributes"))
@@ -96,7 +97,7 @@ def read_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     from seqloom.operators.merge import group_blocks
 
     rows = _lines(spark, paths).where("trim(value) <> '' and not startswith(trim(value), '#')").withColumn("c", F.split("value", "\t")).where(F.size("c") >= 3)
-    rows = rows.withColumn("r", parse_range(F.col("c")[1])).where("r is not null").select("file", "line_no", F.col("c")[0].alias("raw_id"), "r.*", F.coalesce(F.col("c")[2].try_cast("double"), F.lit(0.0)).alias("score"))
+    rows = rows.withColumn("r", parse_range(F.col("c")[1])).where("r is not null").withColumn("raw_id", F.trim(F.col("c")[0]).try_cast("long")).where("raw_id is not null").select("file", "line_no", "raw_id", "r.*", F.coalesce(F.col("c")[2].try_cast("double"), F.lit(0.0)).alias("score"))
     return group_blocks(rows.withColumnRenamed("name", "seq_name"), ["file"], ["line_no"], "raw_id")
 
 
