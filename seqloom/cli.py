@@ -29,6 +29,9 @@ def _emit(lines: DataFrame, out: str | None, header: str | None = None, order: l
         lines = lines.orderBy(*order)
     lines = lines.select("line")
     if out:
+        if header:
+            # parts are written in order, so the first one has the header
+            lines = lines.sparkSession.createDataFrame([(header,)], "line string").coalesce(1).union(lines)
         lines.write.text(out)
         return
     if header:
@@ -103,7 +106,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         _emit(_tabbed(found), a.out)
     elif c == "dist-seq":
         fa = io.read_fasta(spark, a.files)
-        sets = minimizers.minimizer_sets(fa.withColumn("seq_id", F.col("genome") if a.merge else F.col("name")), a.k, a.w, mode=a.mode, both_strands=a.both).withColumnRenamed("seq_id", "name")
+        sets = minimizers.minimizer_sets(fa.withColumn("seq_id", F.col("genome") if a.merge else F.col("name")), a.k, a.w, mode=a.mode, both_strands=a.both, hasher=a.hasher).withColumnRenamed("seq_id", "name")
         found = distance.set_distances(sets.distinct(), a.k, zero=a.zero, detail=a.merge, similarity=a.sim)
         _emit(_tabbed(found), a.out)
     elif c == "dist-vector":
@@ -190,7 +193,7 @@ def parser() -> argparse.ArgumentParser:
     add("dedup", ("-s --seq", on), ("-b --both", on), ("-c --case", on))
     add("sixframe", ("--len", integer | {"default": 1}))
     add("gff-rg", ("--tag", {"default": "gene"}), ("--key", {"default": "ID"}), ("--asm", {}), ("-s --simplify", on), ("--ss", on))
-    add("dist-seq", ("-k", integer | {"default": 7}), ("-w", integer | {"default": 1}), ("--merge", on), ("--zero", on), ("--sim", on), ("--both", on), ("--mode", {"default": "sliding"}))
+    add("dist-seq", ("-k", integer | {"default": 7}), ("-w", integer | {"default": 1}), ("--merge", on), ("--zero", on), ("--sim", on), ("--both", on), ("--mode", {"default": "sliding"}), ("--hasher", {"default": "md5"}))
     add("dist-vector", ("--mode", {"default": "euclid"}), ("--bin", on))
     pair = ("--format", {"choices": ["cluster", "pair"], "default": "cluster"})
     add("clust-cc", pair)

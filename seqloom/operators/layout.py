@@ -118,12 +118,13 @@ def circle_svg(blocks: DataFrame, sizes: DataFrame, width: float = 800, track: f
     """A drawing of sectors and chords."""
     sectors = circle_sectors(sizes, width).cache()
     mid, r = width / 2, width / 2 - 50
+    large = lambda a, b: int(abs(b - a) > math.pi)
     point = lambda a, d: f"{mid + d * math.cos(a):.2f} {mid + d * math.sin(a):.2f}"
     out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{width:g}">']
     for c in chords(blocks, sectors, width, track).orderBy("block_id").collect():
         d = c.radius
         out.append(
-            f'<path d="M {point(c.a1, d)} A {d:g} {d:g} 0 0 1 {point(c.a2, d)} Q {mid:g} {mid:g} {point(c.b1, d)} A {d:g} {d:g} 0 0 {int(c.b2 > c.b1)} {point(c.b2, d)} Q {mid:g} {mid:g} {point(c.a1, d)} Z" fill="{PALETTE[c.block_id % 7]}" fill-opacity="0.5"/>'
+            f'<path d="M {point(c.a1, d)} A {d:g} {d:g} 0 {large(c.a1, c.a2)} 1 {point(c.a2, d)} Q {mid:g} {mid:g} {point(c.b1, d)} A {d:g} {d:g} 0 {large(c.b1, c.b2)} {int(c.b2 > c.b1)} {point(c.b2, d)} Q {mid:g} {mid:g} {point(c.a1, d)} Z" fill="{PALETTE[c.block_id % 7]}" fill-opacity="0.5"/>'
         )
     for s in sectors.orderBy("begin").collect():
         large = int(s.finish - s.begin > math.pi)
