@@ -166,10 +166,23 @@ def ribbon_layout(spark, sf):
     return layout.ribbon_tracks(t.sizes(spark, sf)).select("genome", "chrom", *[F.round(c, 4).alias(c) for c in ("x", "w", "y")])
 
 
-@query()
+_BLOCKS = """j AS (SELECT l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS block_id, c_nationkey AS cn, s_nationkey AS sn, l_orderkey * 10 AS s1, l_partkey * 10 AS s2, l_quantity::BIGINT AS q, l_quantity AS score, l_returnflag = 'R' AS back
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+r1 AS (SELECT block_id, min({'n': 'A' || (cn % 3) || '.c' || cn, 's': s1, 'e': s1 + q, 't': '+', 'q': score}) AS x FROM j GROUP BY block_id),
+r2 AS (SELECT block_id, min({'n': 'B' || (sn % 3) || '.c' || sn, 's': s2, 'e': s2 + q, 't': CASE WHEN back THEN '-' ELSE '+' END, 'q': score}) AS y FROM j GROUP BY block_id),
+tw AS (SELECT block_id, x, y FROM r1 JOIN r2 USING (block_id)),
+c AS (SELECT split_part(chrom, '.', 1) AS genome, chrom, max(e) AS length FROM (SELECT x.n AS chrom, x.e AS e FROM tw UNION ALL SELECT y.n, y.e FROM tw) GROUP BY chrom)"""
+
+
+@query(f"""WITH {_BLOCKS}, g AS (SELECT genome, sum(length) AS t, row_number() OVER (ORDER BY genome) - 1 AS track FROM c GROUP BY genome), m AS (SELECT max(t) AS m, count(*) AS n FROM g),
+k AS (SELECT chrom, 800.0::DOUBLE / greatest(m, 1) AS sc, 50 + track * (300.0::DOUBLE / n) + 300.0::DOUBLE / n / 2 AS y0,
+  100 + coalesce(sum((length + m * 0.01::DOUBLE) * (800.0::DOUBLE / greatest(m, 1))) OVER (PARTITION BY genome ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x0 FROM c JOIN g USING (genome), m)
+SELECT block_id, round(a.x0 + x.s * a.sc, 4) AS x1, round(a.x0 + x.e * a.sc, 4) AS x2, round(a.y0 + 10, 4) AS y1, round(b.x0 + CASE WHEN x.t <> y.t THEN y.e ELSE y.s END * b.sc, 4) AS x3,
+  round(b.x0 + CASE WHEN x.t <> y.t THEN y.s ELSE y.e END * b.sc, 4) AS x4, round(b.y0, 4) AS y2, ({list(layout.PALETTE)})[block_id % 7 + 1] AS colour FROM tw JOIN k a ON a.chrom = x.n JOIN k b ON b.chrom = y.n""")
 def ribbon_paths(spark, sf):
     blocks = t.two_ranges(spark, sf)
-    return layout.ribbons(blocks, layout.ribbon_tracks(layout.inferred_sizes(blocks)))
+    found = layout.ribbons(blocks, layout.ribbon_tracks(layout.inferred_sizes(blocks)))
+    return found.select("block_id", *[F.round(c, 4).alias(c) for c in ("x1", "x2", "y1", "x3", "x4", "y2")], "colour")
 
 
 @query(f"""WITH {_SIZES}, w AS (SELECT sum(length) AS t, count(*) AS n FROM c), p AS (SELECT genome, chrom, length, radians(360.0 - 2.0 * n) / greatest(t, 1) AS per FROM c, w),
@@ -179,10 +192,14 @@ def circle_layout(spark, sf):
     return layout.circle_sectors(t.sizes(spark, sf)).select("genome", "chrom", F.round("begin", 5).alias("begin"), F.round("finish", 5).alias("finish"), F.round("label_x", 3).alias("label_x"), F.round("label_y", 3).alias("label_y"))
 
 
-@query()
+@query(f"""WITH {_BLOCKS}, w AS (SELECT sum(length) AS t, count(*) AS n FROM c), p AS (SELECT genome, chrom, length, radians(360.0 - 2.0 * n) / greatest(t, 1) AS per FROM c, w),
+k AS (SELECT chrom, per, radians(-90.0) + coalesce(sum(length * per + radians(2.0)) OVER (ORDER BY genome, chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM p)
+SELECT block_id, round(a.g + x.s * a.per, 5) AS a1, round(a.g + x.e * a.per, 5) AS a2, round(b.g + CASE WHEN x.t = y.t THEN y.e ELSE y.s END * b.per, 5) AS b1,
+  round(b.g + CASE WHEN x.t = y.t THEN y.s ELSE y.e END * b.per, 5) AS b2, 328.0::DOUBLE AS radius FROM tw JOIN k a ON a.chrom = x.n JOIN k b ON b.chrom = y.n""")
 def circle_chords(spark, sf):
     blocks = t.two_ranges(spark, sf)
-    return layout.chords(blocks, layout.circle_sectors(layout.inferred_sizes(blocks)))
+    found = layout.chords(blocks, layout.circle_sectors(layout.inferred_sizes(blocks)))
+    return found.select("block_id", *[F.round(c, 5).alias(c) for c in ("a1", "a2", "b1", "b2")], "radius")
 
 
 @query()

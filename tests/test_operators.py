@@ -29,6 +29,42 @@ def test_soft_mask_and_canonical(spark):
         minimizers.sketch(one, 4, 70_000)
 
 
+@pytest.mark.parametrize("hasher", sorted(minimizers.HASHERS))
+@pytest.mark.parametrize("both", [True, False])
+def test_minimizers_against_plain_windows(spark, hasher, both):
+    rng = random.Random(len(hasher))
+    seqs = [None, "", *["".join(rng.choice("ACGTacgté" if n == 70 else "ACGTacgt") for _ in range(n)) for n in (3, 8, 9, 40, 70, 300)]]
+    df = spark.createDataFrame([(i, q, 0) for i, q in enumerate(seqs)], "seq_id int, seq string, pos int")
+    k, w, short = 7, 5, 3
+    turned = str.maketrans("ACGTacgt", "TGCAtgca")
+
+    def of(kmer):
+        other = kmer.translate(turned)[::-1].encode()
+        return minimizers.HASHERS[hasher](min(kmer.encode(), other) if both else kmer.encode()), not both or kmer.encode() <= other
+
+    want = {mode: set() for mode in minimizers.MODES}
+    for i, q in enumerate(seqs):
+        n = len(q or "") - k + 1
+        h = [of(q[p : p + k])[0] for p in range(n)]
+        t = short + (k - short) % w
+        for p in range(n - w + 1):
+            want["sliding"].add((i, min(range(p, p + w), key=lambda x: (h[x], x))))
+            want["centre"].add((i, p + (w - 1) // 2))
+            least = min(range(w + k - t), key=lambda x: (of(q[p + x : p + x + t])[0], x))
+            want["mod"].add((i, p + least % w))
+        at, last = 0, -1
+        while at + w <= n:
+            last = min(range(at, at + w), key=lambda x: (h[x], x))
+            want["jumping"].add((i, last))
+            at = last + 1
+        if n >= w:
+            want["jumping"].add((i, min(range(n - w, n), key=lambda x: (h[x], x))))
+    for mode in minimizers.MODES:
+        got = minimizers.sketch(df, k, w, mode=mode, both_strands=both, hasher=hasher, short=short).collect()
+        assert {(r.seq_id, r.pos) for r in got} == want[mode] and len(got) == len(want[mode]), mode
+        assert all((r.hash, r.strand) == of(seqs[r.seq_id][r.pos : r.pos + k]) for r in got)
+
+
 def test_sliding_against_brute_force(spark):
     rng = random.Random(1)
     seqs = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (3, 8, 9, 40, 90)]
@@ -146,6 +182,7 @@ def test_text_sources(spark, tmp_path):
     assert rows(io.read_fastq(spark, str(tmp_path / "r.fq")), "name", "seq", "quality") == [("r1", "ACGT", "IIII"), ("r2", "GG", "@@")]
     (tmp_path / "test.gff").write_text("##gff\nchr1\t.\tgene\t1000\t2000\t.\t+\t.\tID=gene1;Name=GENE%2C1\nchr1\t.\tgene\t3000\t4000\t.\t-\t.\tID=prefix:gene2\nchr1\t.\tCDS\t1\t9\t.\t.\t0\tName=NP_414542.1;Parent=a,b\n")
     gff = io.read_gff(spark, str(tmp_path / "test.gff"))
+    assert rows(annotations.feature_ranges(gff, key="Name"), "key") == [("GENE,1",), ("NA",)]
     assert rows(annotations.feature_ranges(gff), "key", "range") == [("gene1", "test.chr1(+):1000-2000"), ("prefix:gene2", "test.chr1(-):3000-4000")]
     assert rows(annotations.feature_ranges(gff, "cds", "Name", F.lit("Human"), simplify=True), "key", "range") == [("NP_414542", "Human.chr1(+):1-9")]
     assert rows(annotations.feature_ranges(gff, "cds", "Parent"), "key") == [("NA",)]
@@ -198,3 +235,10 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("kmers"), "kmer", "n") == [("AAA", 2), ("AAT", 1)]
+
+
+def test_descriptions_and_block_ids(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">a b>c d\nAC\nGT\n>e\nTT\n")
+    assert rows(io.read_fasta(spark, str(tmp_path / "x.fa")), "name", "description", "seq") == [("a", "a b>c d", "ACGT"), ("e", "e", "TT")]
+    (tmp_path / "b.tsv").write_text("# x\n0\tA.c(+):1-5\t2\nid\tA.c(+):1-5\t2\n0\tB.c(-):1-5\t2\n7\tA.c(+):7-9\t1\n")
+    assert rows(io.read_blocks(spark, str(tmp_path / "b.tsv")), "block_id", "ord", "seq_name") == [(1, 1, "A.c"), (1, 2, "B.c"), (2, 1, "A.c")]
