@@ -351,7 +351,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(id, n_bytes, n_removed, n_spans, kept, kept_sha256)``, one row per row of ``docs``.
 
     A byte of a text's UTF-8 goes if a ``length``-byte string covers it that also starts anywhere else, in the same text or another.  ``kept`` are the other bytes.
-    Regions and stretches count as equal if two 64-bit hashes of their bytes agree (with that of their anchor or core 192 bits); all else is compared byte by byte.
+    Regions and stretches count as equal if two 64-bit hashes of their bytes agree (and, for regions, that of their anchor); all else is compared byte by byte.
     Very long texts are cut into overlapping pieces of ``PIECE`` starts.  Which of several equal places is first makes no difference: all lose the bytes.
     Null and empty texts, and texts shorter than ``length``, lose nothing.  Repeated rows are copies of each other and lose all if long enough; null
     ids take part like any; an empty table gives an empty result; other columns are ignored.

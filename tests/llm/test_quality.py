@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from seqloom.llm import quality
 from seqloom.llm.quality import FEATURES, LogisticModel, keep_good, quality_posteriors, site_rates, text_statistics
 
 SF = "/root/testdata/sf0.01"
@@ -53,3 +55,38 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == want and {35, 37, 39, 97} <= set(want) and not {34, 36, 38} & set(want)
     assert quality_posteriors(docs.limit(0), labels).count() == 0
     assert quality_posteriors(docs, labels.limit(0)).where("keep").count() == docs.count()
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_rates_and_posteriors_against_plain_sums(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", most)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.when(F.col("doc_id") % 3 > 0, "hot").when(F.col("doc_id") % 7 > 0, F.col("source")).alias("source"), "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    got = quality.quality_posteriors(docs, labels).join(docs.select("doc_id", "source", "lang"), "doc_id").collect()
+    assert len(got) == docs.count()
+    p = {r.doc_id: 1 / (1 + np.exp(-r.logit)) for r in got}
+    paths, hosts = {}, {}
+    for r in got:
+        for groups, key in ((paths, (r.source, r.lang)), (hosts, r.source)):
+            n, s = groups.get(key, (0, 0.0))
+            groups[key] = (n + 1, s + p[r.doc_id])
+    rate = (sum(p.values()) + 0.5) / (len(p) + 1)
+
+    def strength(groups, parent):
+        rows = [(n, s / n, parent(k)) for k, (n, s) in groups.items() if n > 1]
+        between, noise = sum(n * (r - q) ** 2 for n, r, q in rows), sum(q * (1 - q) for _, _, q in rows)
+        weight = sum(n * q * (1 - q) for n, _, q in rows)
+        return float(np.clip(1 / max((between - noise) / max(weight - noise, 1e-9), 1e-9) - 1, *quality.STRENGTH))
+
+    over_host = strength(hosts, lambda k: rate)
+    over_path = strength(paths, lambda k: (hosts[k[0]][1] + over_host * rate) / (hosts[k[0]][0] + over_host))
+    model = quality.fit_classifier(docs, labels)
+    for r in got:
+        own = p[r.doc_id]
+        n, s = hosts[r.source]
+        host = np.clip((max(s - own, 0) + over_host * rate) / (n - 1 + over_host), 1e-6, 1 - 1e-6)
+        n, s = paths[r.source, r.lang]
+        path = np.clip((max(s - own, 0) + over_path * host) / (n - 1 + over_path), 1e-6, 1 - 1e-6)
+        posterior = 1 / (1 + np.exp(-(r.logit - model.prior + np.log(path / (1 - path)))))
+        assert np.allclose((r.host_rate, r.path_rate, r.posterior), (host, path, posterior), atol=1e-9) and r.keep == (r.posterior >= 0.5)
+    assert quality.keep_good(docs, labels).count() == sum(r.keep for r in got)
