@@ -60,10 +60,11 @@ def odd_window(w: int) -> int:
 def translate_frame(seq: Column, frame: int) -> Column:
     """Translation from base ``frame`` (0 to 2), whole codons only; X where a base is unknown.
 
-    The sequence is cut into codons once; a codon's three digits to base 4 are its place in the table.
+    The sequence is cut into codons once; a codon's place in the list of all codons is that of its residue in the table.
     """
-    codons = F.regexp_extract_all(F.translate(F.substring(seq, frame + 1, 1 << 30), CODON_ORDER + "U", "01230"), F.lit("(...)"), 1)
-    residue = lambda d: F.when(d.rlike("^[0-3]{3}$"), F.substring(F.lit(AMINO_ACIDS), F.conv(d, 4, 10).cast("int") + 1, F.lit(1))).otherwise("X")
+    every = ",".join(a + b + c for a in CODON_ORDER for b in CODON_ORDER for c in CODON_ORDER)
+    codons = F.regexp_extract_all(F.translate(F.substring(seq, frame + 1, 1 << 30), "U,", "TN"), F.lit("(...)"), 1)
+    residue = lambda d: F.substring(F.lit("X" + AMINO_ACIDS), F.shiftright(F.instr(F.lit(every), d) + 3, 2) + 1, F.lit(1))
     return F.array_join(F.transform(codons, residue), "")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.ranges import parse_range
 from seqloom.functions.sequence import reverse_complement, simplify_name, translate_frame, upper_ascii
+from seqloom.functions.shared import spread
 from seqloom.operators.prefix import running_sum
 
 
@@ -130,10 +131,11 @@ def mask(records: DataFrame, regions: DataFrame, name: str = "name", seq: str =
 def six_frames(records: DataFrame, name: str = "name", seq: str = "seq", least: int = 1) -> DataFrame:
     """``(name, strand, frame, start, end, protein)`` of every stretch between stops of at least ``least`` residues; places from 1 on the forward strand."""
     strands = F.array(F.struct(F.lit("+").alias("strand"), F.col(seq).alias("s")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col(seq)).alias("s")))
-    framed = records.select(name, F.length(seq).alias("n"), F.explode(strands).alias("x")).select(name, "n", "x.strand", F.explode(F.array(*[F.struct(F.lit(f).alias("frame"), translate_frame(F.col("x.s"), f).alias("p")) for f in range(3)])).alias("y"))
-    parts = framed.select(name, "n", "strand", "y.frame", F.posexplode(F.split("y.p", r"\*")).alias("i", "protein"))
-    before = F.coalesce(F.sum(F.length("protein") + 1).over(Window.partitionBy(name, "strand", "frame").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = parts.withColumn("b", (before * 3 + F.col("frame") + 1).cast("long")).withColumn("e", F.col("b") + F.length("protein") * 3 - 1).where(F.length("protein") >= least)
+    framed = spread(records.select(name, seq)).select(name, F.length(seq).alias("n"), F.explode(strands).alias("x")).select(name, "n", "x.strand", F.explode(F.array(*[F.struct(F.lit(f).alias("frame"), translate_frame(F.col("x.s"), f).alias("p")) for f in range(3)])).alias("y"))
+    # a stretch begins behind the stop before it: both lists are made inside the row
+    stops = F.array_compact(F.transform(F.split("y.p", ""), lambda x, i: F.when(x == "*", i + 1)))
+    parts = framed.select(name, "n", "strand", "y.frame", F.explode_outer(F.arrays_zip(F.split("y.p", r"\*").alias("protein"), F.concat(F.array(F.lit(0)), stops).alias("before"))).alias("z")).select(name, "n", "strand", "frame", "z.*")
+    placed = parts.withColumn("b", (F.col("before") * 3 + F.col("frame") + 1).cast("long")).withColumn("e", F.col("b") + F.length("protein") * 3 - 1).where(F.length("protein") >= least)
     return placed.select(
         name,
         "strand",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions.sequence import hash60
+from seqloom.functions.shared import spread
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +30,23 @@ RC_SQL = "reverse(translate({0}, 'ACGTURYMKBVDHacgturymkbvdh', 'TGCAAYRKMVBHDtgc
 SHINGLE = 5
 
 
+def _shingles(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``(name, hashes)``: the distinct runs of five words of each row, by a hash of the words' hashes."""
+    words = F.transform(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != ""), lambda x: F.xxhash64(x))
+    docs = spread(load(spark, sf_dir, "documents").select(F.col(name).alias("name"), "text")).select("name", words.alias("w")).where(F.size("w") >= SHINGLE)
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(SHINGLE)]))
+    return docs.select("name", F.array_distinct(grams).alias("hashes"))
+
+
 def shingle_sets(spark: SparkSession, sf_dir: str, name: str = "doc_id") -> DataFrame:
     """``(name, hash)``: distinct runs of five words of each document, or of each source."""
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
-    docs = load(spark, sf_dir, "documents").select(F.col(name).alias("name"), words.alias("w")).where(F.size("w") >= SHINGLE)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(SHINGLE)), " ")))
-    rows = docs.select("name", F.explode(grams).alias("g")).select("name", hash60(F.col("g")).alias("hash"))
-    return rows.distinct()
+    # no array is empty; a plain explode would test that by computing each array once more
+    return _shingles(spark, sf_dir, name).select("name", F.explode_outer("hashes").alias("hash")).distinct()
+
+
+def document_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(name, hashes)``: the same runs as one sorted array a document, so a document's set crosses the network once."""
+    return _shingles(spark, sf_dir, "doc_id").groupBy("name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hashes")))).alias("hashes"))
 
 
 SHINGLES_SQL = f"""
