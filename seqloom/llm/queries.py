@@ -11,6 +11,7 @@ from seqloom.llm.pieces import encode_samples
 from seqloom.llm.quality import quality_posteriors
 from seqloom.llm.secrets import secret_digests
 from seqloom.llm.simhash import simhash_components
+from seqloom.llm.suffixes import ORACLE as REPEATS_SQL
 from seqloom.llm.suffixes import remove_repeats
 from seqloom.llm.syncmers import edit_fingerprints
 from seqloom.llm.tokens import count_tokens
@@ -60,4 +61,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op6_sampled_pieces": op6_sampled_pieces, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers, "op9_tool_calls": op9_tool_calls, "op10_suffix_dedup": op10_suffix_dedup}
 
-ORACLES: dict[str, str] = {"op9_tool_calls": TOOL_CALL_SQL}
+ORACLES: dict[str, str] = {"op9_tool_calls": TOOL_CALL_SQL, "op10_suffix_dedup": REPEATS_SQL}

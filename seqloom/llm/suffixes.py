@@ -381,3 +381,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     out = map_arrow(joined, run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
+
+
+#: DuckDB SQL for the rows of ``remove_repeats`` without the kept bytes: all windows in hex, met by digest.
+ORACLE = """
+WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ch AS (SELECT doc_id, c, substr(h, 2048 * c + 1, 2846) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2048 + 1)) AS c FROM x)),
+st AS (SELECT doc_id, c * 1024 + i AS i, md5(substr(part, 2 * i + 1, 800)) AS m FROM (SELECT *, unnest(range(0, length(part) // 2 - 399)) AS i FROM ch)),
+rp AS (SELECT doc_id, i FROM st WHERE m IN (SELECT m FROM st GROUP BY m HAVING count(*) > 1)),
+mk AS (SELECT *, CASE WHEN i <= lag(i) OVER w + 400 THEN 0 ELSE 1 END AS new FROM rp WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+sp AS (SELECT doc_id, min(i) AS s, max(i) + 400 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM mk) GROUP BY doc_id, k),
+bf AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM sp),
+ag AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept FROM bf JOIN x USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM x LEFT JOIN ag USING (doc_id)
+"""

@@ -2,10 +2,11 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from seqloom.llm.suffixes import adjacent_common_prefixes, remove_repeats, repeated_starts, two_stage_order
+from seqloom.llm.suffixes import ORACLE, adjacent_common_prefixes, remove_repeats, repeated_starts, two_stage_order
 
 
 def brute(texts, length):
@@ -78,6 +79,15 @@ def test_against_brute_force(spark, length, gram, bucket, stretch):
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+def test_against_sql(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{path}'")
+    want = sorted(db.execute(ORACLE).fetchall())
+    got = remove_repeats(spark.read.parquet(path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(tuple(r) for r in got.collect()) == want and any(r[2] for r in want)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
