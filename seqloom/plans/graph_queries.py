@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.sequence import canonical, forward_strand
 from seqloom.operators import align, chain, graph, layout, merge, minimizers, prefilter, synteny
 from seqloom.plans import tables as t
+from seqloom.plans.record_queries import six_frames_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,7 +60,11 @@ def minimizers_center(spark, sf):
     return minimizers.sketch(t.records(spark, sf), K, W + 1, mode="centre", both_strands=False).select("seq_id", F.col("pos").cast("long").alias("pos"), "hash")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_HASHED}, win AS (SELECT doc_id, pos, min({{'h': hash, 'p': pos}}) OVER w AS m, count(*) OVER w AS c FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING)),
+nx AS (SELECT doc_id, list(m.p ORDER BY pos) AS ps FROM win WHERE c = {W} GROUP BY doc_id),
+jp AS (SELECT doc_id, ps, ps[1] AS p FROM nx UNION ALL SELECT doc_id, ps, ps[p + 2] FROM jp WHERE p + 2 <= len(ps)),
+al AS (SELECT doc_id, p FROM jp UNION SELECT doc_id, ps[-1] FROM nx)
+SELECT doc_id AS seq_id, h.pos::INT AS pos, hash, TRUE AS strand FROM al JOIN h USING (doc_id) WHERE h.pos = p""")
 def minimizers_jumping(spark, sf):
     return _sketch(spark, sf, "jumping")
 
@@ -99,7 +104,13 @@ def graph_transitive_reduction(spark, sf):
     return graph.weights(graph.transitive_reduction(graph.prune(_edges(spark, sf), 2)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EDGES}, p AS (SELECT u, v FROM wt WHERE weight >= 2), ke AS (SELECT ed.* FROM ed SEMI JOIN p USING (u, v)),
+fi AS (SELECT node, min(pl) AS pl FROM (SELECT u AS node, {{'s': seq_id, 'p': pos_u}} AS pl FROM ke UNION ALL SELECT v, {{'s': seq_id, 'p': pos_v}} FROM ke) GROUP BY node),
+st AS (SELECT u, v FROM p WHERE u IN (SELECT u FROM p GROUP BY u HAVING count(*) = 1) AND v IN (SELECT v FROM p GROUP BY v HAVING count(*) = 1)),
+wk AS (SELECT node AS path, 0::BIGINT AS ord, node FROM fi WHERE node NOT IN (SELECT v FROM st) UNION ALL SELECT path, ord + 1, v FROM wk JOIN st ON node = u),
+cy AS (SELECT node AS path, 0::BIGINT AS ord, node FROM fi WHERE node NOT IN (SELECT node FROM wk) UNION ALL SELECT path, ord + 1, v FROM cy JOIN st ON node = u WHERE v <> path),
+cm AS (SELECT path FROM cy JOIN fi USING (node) GROUP BY path HAVING arg_min(node, pl) = path)
+SELECT * FROM wk UNION ALL SELECT * FROM cy WHERE path IN (SELECT path FROM cm)""")
 def graph_linear_paths(spark, sf):
     return graph.linear_paths(graph.prune(_edges(spark, sf), 2))
 
@@ -143,7 +154,21 @@ def dag_chains(spark, sf):
     return chain.chain_ranges(chain.chains(_anchors(spark, sf), STEP), t.positions(spark, sf))
 
 
-@query()
+_BLOCKS = """j AS (SELECT l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS block_id, c_nationkey AS cn, s_nationkey AS sn, l_orderkey * 10 AS s1, l_partkey * 10 AS s2, l_quantity::BIGINT AS q, l_quantity AS score, l_returnflag = 'R' AS back
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+r1 AS (SELECT block_id, min({'n': 'A' || (cn % 3) || '.c' || cn, 's': s1, 'e': s1 + q, 't': '+', 'q': score}) AS x FROM j GROUP BY block_id),
+r2 AS (SELECT block_id, min({'n': 'B' || (sn % 3) || '.c' || sn, 's': s2, 'e': s2 + q, 't': CASE WHEN back THEN '-' ELSE '+' END, 'q': score}) AS y FROM j GROUP BY block_id),
+tw AS (SELECT block_id, x, y FROM r1 JOIN r2 USING (block_id)),
+c AS (SELECT split_part(chrom, '.', 1) AS genome, chrom, max(e) AS length FROM (SELECT x.n AS chrom, x.e AS e FROM tw UNION ALL SELECT y.n, y.e FROM tw) GROUP BY chrom)"""
+
+
+@query(f"""WITH RECURSIVE {_BLOCKS}, bl AS (SELECT x.n AS f, row_number() OVER (PARTITION BY x.n ORDER BY x.s, block_id) AS k, x.s AS s1, x.e AS e1, x.q::DOUBLE AS q1, y.n AS n2, y.s AS s2, y.e AS e2, y.t AS t2, y.q::DOUBLE AS q2 FROM tw),
+fo AS (SELECT *, 1::BIGINT AS island FROM bl WHERE k = 1 UNION ALL
+  SELECT f, k, CASE WHEN ok THEN least(a1, s1) ELSE s1 END, CASE WHEN ok THEN greatest(b1, e1) ELSE e1 END, CASE WHEN ok THEN c1 + q1 ELSE q1 END, n2, CASE WHEN ok THEN least(a2, s2) ELSE s2 END, CASE WHEN ok THEN greatest(b2, e2) ELSE e2 END, t2, CASE WHEN ok THEN c2 + q2 ELSE q2 END, island + (NOT ok)::INT
+  FROM (SELECT n.*, o.s1 AS a1, o.e1 AS b1, o.q1 AS c1, o.s2 AS a2, o.e2 AS b2, o.q2 AS c2, island, n.n2 = o.n2 AND n.t2 = o.t2 AND NOT (n.s1 < o.e1 AND n.s1 < o.s1) AND n.s1 - o.e1 <= 100000
+    AND CASE WHEN n.t2 = '-' THEN n.e2 <= o.s2 AND o.s2 - n.e2 <= 100000 ELSE NOT (n.s2 < o.e2 AND n.s2 < o.s2) AND n.s2 - o.e2 <= 100000 END AS ok FROM fo o JOIN bl n ON n.f = o.f AND n.k = o.k + 1)),
+la AS (SELECT * FROM fo QUALIFY row_number() OVER (PARTITION BY f, island ORDER BY k DESC) = 1)
+SELECT f AS first_seq, island, 1::BIGINT AS ord, f AS seq_name, s1 AS start, e1 AS "end", '+' AS strand, q1 AS score FROM la UNION ALL SELECT f, island, 2, n2, s2, e2, t2, q2 FROM la""")
 def merge_blocks(spark, sf):
     return merge.merge_blocks(t.two_ranges(spark, sf), 100_000)
 
@@ -166,14 +191,6 @@ def ribbon_layout(spark, sf):
     return layout.ribbon_tracks(t.sizes(spark, sf)).select("genome", "chrom", *[F.round(c, 4).alias(c) for c in ("x", "w", "y")])
 
 
-_BLOCKS = """j AS (SELECT l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS block_id, c_nationkey AS cn, s_nationkey AS sn, l_orderkey * 10 AS s1, l_partkey * 10 AS s2, l_quantity::BIGINT AS q, l_quantity AS score, l_returnflag = 'R' AS back
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
-r1 AS (SELECT block_id, min({'n': 'A' || (cn % 3) || '.c' || cn, 's': s1, 'e': s1 + q, 't': '+', 'q': score}) AS x FROM j GROUP BY block_id),
-r2 AS (SELECT block_id, min({'n': 'B' || (sn % 3) || '.c' || sn, 's': s2, 'e': s2 + q, 't': CASE WHEN back THEN '-' ELSE '+' END, 'q': score}) AS y FROM j GROUP BY block_id),
-tw AS (SELECT block_id, x, y FROM r1 JOIN r2 USING (block_id)),
-c AS (SELECT split_part(chrom, '.', 1) AS genome, chrom, max(e) AS length FROM (SELECT x.n AS chrom, x.e AS e FROM tw UNION ALL SELECT y.n, y.e FROM tw) GROUP BY chrom)"""
-
-
 @query(f"""WITH {_BLOCKS}, g AS (SELECT genome, sum(length) AS t, row_number() OVER (ORDER BY genome) - 1 AS track FROM c GROUP BY genome), m AS (SELECT max(t) AS m, count(*) AS n FROM g),
 k AS (SELECT chrom, 800.0::DOUBLE / greatest(m, 1) AS sc, 50 + track * (300.0::DOUBLE / n) + 300.0::DOUBLE / n / 2 AS y0,
   100 + coalesce(sum((length + m * 0.01::DOUBLE) * (800.0::DOUBLE / greatest(m, 1))) OVER (PARTITION BY genome ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x0 FROM c JOIN g USING (genome), m)
@@ -202,7 +219,17 @@ def circle_chords(spark, sf):
     return found.select("block_id", *[F.round(c, 5).alias(c) for c in ("a1", "a2", "b1", "b2")], "radius")
 
 
-@query()
+def _sets_sql(source: str) -> str:
+    """Distinct minimizers (k = 4, w = 2) of ``(sid, seq)``."""
+    return f"""SELECT DISTINCT sid, m.h AS hash FROM (SELECT sid, min({{'h': hash, 'p': i}}) OVER w AS m, count(*) OVER w AS c FROM (SELECT sid, i, {t.HASH_SQL.format('substr(seq, (i + 1)::INT, 4)')} AS hash
+  FROM (SELECT sid, seq, unnest(range(0, length(seq) - 3)) AS i FROM {source} WHERE length(seq) >= 4)) WINDOW w AS (PARTITION BY sid ORDER BY i ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)) WHERE c = 2"""
+
+
+@query(f"""WITH fr AS ({six_frames_sql(15)}), op AS MATERIALIZED (SELECT *, row_number() OVER () AS sid FROM fr), q AS (SELECT sid, protein AS seq FROM op),
+bm AS (SELECT item_id AS sid, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACDEFGHIKLMNPQRSTVWYACDEFG') AS seq FROM benchmark),
+own AS ({_sets_sql('q')}), known AS (SELECT DISTINCT hash FROM ({_sets_sql('bm')})),
+ct AS (SELECT sid, count(*) AS n_shared FROM own SEMI JOIN known USING (hash) GROUP BY sid)
+SELECT name, strand, frame, start, "end", n_shared FROM op JOIN ct USING (sid)""")
 def prefilter_hits(spark, sf):
     proteins = t.load(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACDEFGHIKLMNPQRSTVWYACDEFG").alias("seq"))
     return prefilter.prefilter(t.dna(spark, sf), proteins, k=4, w=2, least=15)
