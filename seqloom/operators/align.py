@@ -21,13 +21,18 @@ def align(s: list[str], t: list[str], match: float = 1.0, mismatch: float = -0.2
         grid[i, 0] = one(gap) * one(i)
     for j in range(1, n + 1):
         grid[0, j] = one(gap) * one(j)
-    cost = lambda a, b: one(match) if a == b else one(mismatch)
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            grid[i, j] = max(one(0), grid[i - 1, j] + one(gap), grid[i, j - 1] + one(gap), grid[i - 1, j - 1] + cost(s[i - 1], t[j - 1]))
+    codes = {x: i for i, x in enumerate(dict.fromkeys([*s, *t]))}
+    same = np.array([codes[x] for x in s])[:, None] == np.array([codes[x] for x in t])[None, :] if m and n else np.zeros((m, n), bool)
+    cost = np.where(same, one(match), one(mismatch))
+    # cells of one anti-diagonal depend on the two before it only
+    for d in range(2, m + n + 1):
+        i = np.arange(max(1, d - n), min(m, d - 1) + 1)
+        j = d - i
+        best = np.maximum(grid[i - 1, j] + one(gap), grid[i, j - 1] + one(gap))
+        grid[i, j] = np.maximum(np.maximum(best, grid[i - 1, j - 1] + cost[i - 1, j - 1]), one(0))
     i, j, a, b = m, n, [], []
     while i or j:
-        if i and j and grid[i, j] == grid[i - 1, j - 1] + cost(s[i - 1], t[j - 1]):
+        if i and j and grid[i, j] == grid[i - 1, j - 1] + cost[i - 1, j - 1]:
             i, j = i - 1, j - 1
             a.append(s[i])
             b.append(t[j])
