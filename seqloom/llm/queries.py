@@ -14,6 +14,7 @@ from seqloom.llm.simhash import simhash_components
 from seqloom.llm.suffixes import ORACLE as REPEATS_SQL
 from seqloom.llm.suffixes import remove_repeats
 from seqloom.llm.syncmers import edit_fingerprints
+from seqloom.llm.token_table import encoded_digests
 from seqloom.llm.tokens import count_tokens
 from seqloom.llm.toolcalls import ORACLE as TOOL_CALL_SQL
 from seqloom.llm.toolcalls import conversation_calls
@@ -59,6 +60,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op6_sampled_pieces": op6_sampled_pieces, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers, "op9_tool_calls": op9_tool_calls, "op10_suffix_dedup": op10_suffix_dedup}
+def op13_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op6_sampled_pieces": op6_sampled_pieces, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers, "op9_tool_calls": op9_tool_calls, "op10_suffix_dedup": op10_suffix_dedup, "op13_token_table": op13_token_table}
 
 ORACLES: dict[str, str] = {"op9_tool_calls": TOOL_CALL_SQL, "op10_suffix_dedup": REPEATS_SQL}
