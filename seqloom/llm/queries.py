@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from seqloom.llm._store import table
 from seqloom.llm.filter_audit import ORACLE as FILTER_SQL
 from seqloom.llm.filter_audit import audit
+from seqloom.llm.hard_negatives import ORACLE as NEGATIVES_SQL
+from seqloom.llm.hard_negatives import integer_vectors, mine, relabelled
 from seqloom.llm.html_crf import extract_main_text
 from seqloom.llm.lsa import find_leaks
 from seqloom.llm.pieces import encode_samples
@@ -66,10 +68,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(relabelled(integer_vectors(table(spark, sf_dir, "embeddings"))))
+
+
 def op13_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op6_sampled_pieces": op6_sampled_pieces, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers, "op9_tool_calls": op9_tool_calls, "op10_suffix_dedup": op10_suffix_dedup, "op11_filter_audit": op11_filter_audit, "op13_token_table": op13_token_table}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_main_text": op3_main_text, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op6_sampled_pieces": op6_sampled_pieces, "op7_quality": op7_quality, "op8_syncmers": op8_syncmers, "op9_tool_calls": op9_tool_calls, "op10_suffix_dedup": op10_suffix_dedup, "op11_filter_audit": op11_filter_audit, "op12_hard_negatives": op12_hard_negatives, "op13_token_table": op13_token_table}
 
-ORACLES: dict[str, str] = {"op9_tool_calls": TOOL_CALL_SQL, "op10_suffix_dedup": REPEATS_SQL, "op11_filter_audit": FILTER_SQL}
+ORACLES: dict[str, str] = {"op9_tool_calls": TOOL_CALL_SQL, "op10_suffix_dedup": REPEATS_SQL, "op11_filter_audit": FILTER_SQL, "op12_hard_negatives": NEGATIVES_SQL}
