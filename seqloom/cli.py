@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.ranges import format_range
 from seqloom.operators import align, annotations, chain, cluster, distance, layout, merge, minimizers, records, synteny
+from seqloom.operators.prefix import number_rows, running_sum
 from seqloom.sources import text as io
 
 
@@ -50,6 +51,19 @@ def _sizes(spark: SparkSession, files: list[str], blocks: DataFrame, default: st
     return prefixed if sizes.join(named, "chrom", "left_semi").isEmpty() else sizes
 
 
+def _interleave(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Mates by their places in two files; without a second file each read is followed by an empty mate (``N`` of the lowest quality)."""
+    if a.fq:
+        mates = [io.read_fastq(spark, f).select(F.struct("file_no", "record_no").alias("n"), "name", "seq", "quality") for f in (a.files, a.list) if f]
+        empty = mates[0].select("n", "name", F.lit("N").alias("seq"), F.lit("!").alias("quality"))
+    else:
+        mates = [number_rows(io.read_fasta(spark, f).select("name", "seq", "place"), ["place"], "n").drop("place") for f in (a.files, a.list) if f]
+        empty = mates[0].select("n", "name", F.lit("N").alias("seq"))
+    both = records.interleave(mates[0], mates[1] if len(mates) > 1 else empty)
+    line = io.fastq_lines(F.col("name"), F.col("seq"), F.col("quality")) if a.fq else io.fasta_lines(F.col("name"), F.col("seq"))
+    _emit(both.select("n", "mate", line.alias("line")), a.out, order=["n", "mate"])
+
+
 def _draw(svg: str, out: str | None) -> None:
     if out:
         with open(out, "w") as f:
@@ -60,7 +74,7 @@ def _draw(svg: str, out: str | None) -> None:
 
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
     c = a.command
-    if c in ("size", "count", "masked", "n50", "one", "some", "order", "split-about", "replace", "rc", "filter", "dedup", "mask", "sixframe", "range", "interleave"):
+    if c in ("size", "count", "masked", "n50", "one", "some", "order", "split-about", "replace", "rc", "filter", "dedup", "mask", "sixframe", "range"):
         fa = io.read_fasta(spark, a.files).select("name", "seq")
         if c == "size":
             _emit(_tabbed(records.size(fa)), a.out)
@@ -94,13 +108,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         elif c == "sixframe":
             found = records.six_frames(fa, least=a.len).withColumn("name", F.concat(format_range(F.col("name"), F.col("strand"), F.col("start"), F.col("end")), F.lit("|frame="), F.col("frame").cast("string")))
             _emit(_fasta(found.withColumnRenamed("protein", "seq")), a.out)
-        elif c == "range":
+        else:
             asked = spark.read.text(a.list).withColumnRenamed("value", "range")
             _emit(_fasta(records.extract_ranges(fa, asked).withColumnRenamed("range", "name")), a.out)
-        else:
-            _emit(_fasta(records.interleave(fa, io.read_fasta(spark, a.list).select("name", "seq")).orderBy("name", "mate")), a.out)
+    elif c == "interleave":
+        _interleave(spark, a)
     elif c == "fq2fa":
-        _emit(_fasta(records.fastq_to_fasta(io.read_fastq(spark, a.files))), a.out)
+        reads = io.read_fastq(spark, a.files)
+        _emit(reads.select("file_no", "record_no", io.fasta_lines(F.col("name"), F.col("seq")).alias("line")), a.out, order=["file_no", "record_no"])
     elif c == "gff-rg":
         found = annotations.feature_ranges(io.read_gff(spark, a.files), a.tag, a.key, F.lit(a.asm) if a.asm else None, a.simplify, a.ss)
         _emit(_tabbed(found), a.out)
@@ -134,7 +149,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         coords = distance.pcoa(io.read_pairs(spark, a.files), a.dim, a.same, a.missing)
         _emit(coords.groupBy("name").pivot("axis", list(range(a.dim))).agg(F.first("value")).select(F.concat_ws("\t", "name", *[F.col(f"`{i}`").cast("string") for i in range(a.dim)]).alias("line"), "name"), a.out, order=["name"])
     elif c == "synt-mmg":
-        fa = io.numbered(io.read_fasta(spark, a.files), "genome", "name", "seq")
+        fa = io.numbered(io.read_fasta(spark, a.files))
         given = {k: v for k, v in {"rounds": tuple(map(synteny.parse_round, a.rounds.split(","))) if a.rounds else None, "block_size": a.block_size, "chain_gap": a.chain_gap}.items() if v is not None}
         options = synteny.BlockOptions.for_divergence(a.divergence, k=a.k, min_weight=a.min_weight, max_freq=a.max_freq, soft_mask=a.soft_mask, sampling=a.sampling, **given)
         found = synteny.find_blocks(fa.select("seq_id", "seq"), options).join(fa.select("seq_id", F.col("display").alias("seq_name")), "seq_id").withColumn("ord", F.col("seq_id"))
@@ -143,16 +158,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         features, matches = io.read_positions(spark, a.files[0]), io.read_matches(spark, a.files[1])
         options = chain.ChainOptions(a.go, a.ge, a.bgs, a.mms, a.mdm, a.mna, a.mas)
         found = chain.chain_ranges(chain.chains(chain.anchors(matches, features, options=options), options), features)
-        ids = found.select("mol1", "mol2", "chain").distinct().withColumn("_one", F.lit(1))
-        from seqloom.operators.prefix import running_sum
-
-        ids = running_sum(ids, ["mol1", "mol2", "chain"], "_one", "n").select("mol1", "mol2", "chain", (F.col("n") - 1).alias("block_id"))
+        ids = number_rows(found.select("mol1", "mol2", "chain").distinct(), ["mol1", "mol2", "chain"], "block_id", 0)
         _emit(io.block_lines(found.join(ids, ["mol1", "mol2", "chain"]), "count", "score"), a.out, "# Block_ID\tRange\tCount\tScore", order=["block_id", "ord"])
     elif c == "synt-merge":
         gap = merge.gap_for_divergence(a.divergence) if a.chain_gap is None else a.chain_gap
         found = merge.merge_blocks(io.read_blocks(spark, a.files), gap).withColumn("_one", F.when(F.col("ord") == 1, 1).otherwise(0))
-        from seqloom.operators.prefix import running_sum
-
         found = running_sum(found, ["first_seq", "island", "ord"], "_one", "block_id").withColumn("score", F.format_string("%.1f", "score"))
         _emit(io.block_lines(found, "score"), a.out, "# Block_ID\tRange\tScore", order=["block_id", "ord"])
     elif c == "synt-das":
@@ -184,7 +194,8 @@ def parser() -> argparse.ArgumentParser:
         add(name)
     add("n50", ("-N --percent", integer | {"default": 50}))
     add("one", ("--name", {"required": True}))
-    for name in ("order", "replace", "range", "interleave"):
+    add("interleave", ("--list", {}), ("--fq", on))
+    for name in ("order", "replace", "range"):
         add(name, ("--list", {"required": True}))
     add("some", ("--list", {"required": True}), ("-i --invert", on))
     add("mask", ("--list", {"required": True}), ("--hard", on))

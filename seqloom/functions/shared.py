@@ -24,12 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
+def stored(df: DataFrame, **options: object) -> DataFrame:
+    """``df`` written to the shared folder and read back; the path is kept on the frame for ``dropped``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._seqloom_path = path  # noqa: SLF001
+    return back
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is stored."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)  # noqa: SLF001
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables made by ``stored`` that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_seqloom_path", None):
+            delete(df.sparkSession, path)
 
 
 def spread(df: DataFrame) -> DataFrame:

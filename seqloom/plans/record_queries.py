@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seqloom.functions.ranges import format_range, parse_range
+from seqloom.functions.shared import delete, shared_dir, stored
 from seqloom.operators import annotations, intervals, records
 from seqloom.operators.merge import group_blocks
+from seqloom.operators.prefix import number_rows
 from seqloom.plans import tables as t
+from seqloom.sources import text as io
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -82,6 +87,24 @@ def rec_split_about(spark, sf):
     return records.split_about(t.records(spark, sf), 100_000).select("name", "chunk")
 
 
+@query("SELECT doc_id AS name, row_number() OVER (ORDER BY source, doc_id) AS seq_id, md5(text) AS digest FROM documents")
+def rec_number(spark, sf):
+    found = number_rows(t.records(spark, sf), ["genome", "name"], "seq_id")
+    return found.select("name", "seq_id", F.md5("seq").alias("digest"))
+
+
+@query(f"WITH d AS ({t.DNA_SQL}) SELECT 'd' || doc_id AS name, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS record_no, md5(seq) AS digest, md5(translate(seq, 'ACGT', '@+IJ')) AS quality FROM d")
+def fastq_records(spark, sf):
+    """Reads written as FASTQ in id order, their qualities full of what begins names, and read back."""
+    reads = t.dna(spark, sf).select("name", io.fastq_lines(F.concat(F.lit("d"), F.col("name").cast("string")), F.col("seq"), F.translate("seq", "ACGT", "@+IJ")).alias("line"))
+    path = f"{shared_dir(spark)}/fastq/{uuid.uuid4().hex}"
+    reads.repartitionByRange("name").sortWithinPartitions("name").select("line").write.text(path)
+    found = number_rows(io.read_fastq(spark, path), ["file_no", "record_no"], "n", 0)
+    out = stored(found.select("name", F.col("n").alias("record_no"), F.md5("seq").alias("digest"), F.md5("quality").alias("quality")))
+    delete(spark, path)
+    return out
+
+
 @query("SELECT coalesce('q' || l.quality || '_' || d.doc_id, d.doc_id::VARCHAR) AS name, length(text)::INT AS size FROM documents d LEFT JOIN labels l USING (doc_id)")
 def rec_replace(spark, sf):
     mapping = t.load(spark, sf, "labels").select(F.col("doc_id").alias("name"), F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("_"), F.col("doc_id").cast("string")).alias("new_name"))

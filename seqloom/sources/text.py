@@ -2,46 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.ranges import flip_strand, format_range, parse_range
 from seqloom.functions.sequence import file_stem
 
 
+def _file_numbers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(file, file_no)`` of every file, in the order in which paths are given, those of one path by name: one row per file."""
+    given = [paths] if isinstance(paths, str) else list(paths)
+    files = dict.fromkeys(f for p in given for f in sorted(spark.read.text(p).inputFiles()))
+    return spark.createDataFrame([(f, i) for i, f in enumerate(files)], "file string, file_no int").select(_one_slash(F.col("file")).alias("file"), "file_no")
+
+
+def _one_slash(path: Column) -> Column:
+    """Paths as Spark writes them here and there: with one or three slashes behind the scheme."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+
+
+def _placed(spark: SparkSession, paths: str | list[str], separator: str | None = None) -> DataFrame:
+    """``(value, file, place)`` of every line: where it stands among all files, as ``(file_no, start, row)``.
+
+    ``start`` is where the split begins that a task reads, and rows of one split are numbered as they are read, so places rise through a file however it is cut.
+    """
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    rows = reader.text(paths).select("value", _one_slash(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return rows.join(F.broadcast(_file_numbers(spark, paths)), "file").select("value", "file", F.struct("file_no", "start", "row").alias("place"))
+
+
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(genome, name, description, seq)``, one row per record; the genome is the file's name up to its first point.  Gzipped files are read too."""
+    """``(genome, name, description, seq, place)``, one row per record; the genome is the file's name up to its first point, places rise in file and record order.  Gzipped files are read too."""
     # a record begins with > at a line's start; elsewhere the sign is part of a description
-    raw = spark.read.option("lineSep", "\n>").text(paths).select(F.regexp_replace("value", r"^\s*>", "").alias("value"), "_metadata.file_path")
+    raw = _placed(spark, paths, "\n>").withColumn("value", F.regexp_replace("value", r"^\s*>", ""))
     head = F.regexp_extract("value", r"^[^\r\n]*", 0)
     return raw.where(F.trim("value") != "").select(
-        file_stem(F.col("file_path")).alias("genome"),
+        file_stem(F.col("file")).alias("genome"),
         F.regexp_extract(head, r"^\S*", 0).alias("name"),
         head.alias("description"),
         F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "").alias("seq"),
+        "place",
     )
 
 
 def numbered(records: DataFrame, *order: str) -> DataFrame:
-    """Records with ``seq_id`` from 1 in the given order, and ``display`` names (with the genome if there are several).
+    """Records with ``seq_id`` from 1 in the given order, that of files and records unless given, and ``display`` names (with the genome if there are several).
 
-    Only the order keys are numbered: ranges of them are dealt out, counted, and each range starts where the ones before it end.
+    The records are stored once, in that order, and keep their sequences.
     """
-    from seqloom.operators.prefix import running_sum
+    from seqloom.operators.prefix import number_rows
 
-    counted = running_sum(records.withColumn("_one", F.lit(1)), list(order), "_one", "seq_id").drop("_one")
+    counted = number_rows(records, list(order) or ["place"], "seq_id")
     genomes = counted.select(F.count_distinct("genome").alias("_genomes"))
     return counted.crossJoin(F.broadcast(genomes)).withColumn("display", F.when(F.col("_genomes") > 1, F.concat_ws(".", "genome", "name")).otherwise(F.col("name"))).drop("_genomes")
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(name, seq, quality)`` of four-line records.  Lines are numbered over ranges, since a quality may begin like a name."""
-    from seqloom.operators.prefix import running_sum
+    """``(file_no, record_no, name, seq, quality)`` of four-line records, both numbers from 0; a first line without ``@`` or a third without ``+`` fails the query.
 
-    lines = _lines(spark, paths).where("value <> ''").withColumn("_one", F.lit(1))
-    numbered_lines = running_sum(lines, ["file", "line_no"], "_one", "_n").withColumns({"_r": F.floor((F.col("_n") - 1) / 4), "_k": (F.col("_n") - 1) % 4})
-    pick = lambda k: F.max(F.when(F.col("_k") == k, F.col("value")))
-    return numbered_lines.groupBy("_r").agg(F.regexp_extract(pick(0), r"^@?(\S*)", 1).alias("name"), pick(1).alias("seq"), pick(3).alias("quality")).drop("_r")
+    A quality may begin like a name, so lines count by their number: each split's lines are counted, and a line's number is that of the splits before it and its own in its split.
+    Blank lines at a file's end are left out.
+    """
+    lines = _placed(spark, paths)
+    splits = lines.groupBy("place.file_no", "place.start").agg(F.count("*").alias("n"), F.min("place.row").alias("first"))
+    # one row per split
+    before = Window.partitionBy("file_no").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    bases = splits.select("file_no", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    numbered_lines = lines.select("value", "place.*").join(F.broadcast(bases), ["file_no", "start"]).withColumn("line", F.col("row") + F.col("shift"))
+    four = numbered_lines.groupBy("file_no", F.floor(F.col("line") / 4).alias("record_no")).agg(*[F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(f"l{k}") for k in range(4)])
+    whole = four.where(F.length(F.trim(F.concat_ws("", "l0", "l1", "l2", "l3"))) > 0)
+    bad = F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.coalesce("l0", F.lit("")))).cast("string")
+    head = F.when(F.startswith("l0", F.lit("@")) & F.startswith("l2", F.lit("+")) & F.col("l3").isNotNull(), F.col("l0")).otherwise(bad)
+    return whole.select("file_no", "record_no", F.regexp_extract(head, r"^@(\S*)", 1).alias("name"), F.col("l1").alias("seq"), F.col("l3").alias("quality"))
 
 
 def read_gff(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -106,6 +138,10 @@ def read_index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.csv(paths, sep="\t", schema="name string, offset bigint, size bigint")
 
 
+def fastq_lines(name: Column, seq: Column, quality: Column) -> Column:
+    return F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), quality)
+
+
 def fasta_lines(name: Column, seq: Column) -> Column:
     return F.concat(F.lit(">"), name, F.lit("\n"), seq)
 

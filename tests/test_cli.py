@@ -19,6 +19,8 @@ def files(tmp_path):
         "das.tsv": "CATGT\tACGCTG\n",
         "test.gff": "chr1\t.\tgene\t1000\t2000\t.\t+\t.\tID=gene1\n",
         "list.txt": "s3\n",
+        "r1.fq": "@a 1\nAC\n+\n@I\n@b\nG\n+\n+\n",
+        "r2.fq": "@a 2\nTT\n+\nII\n@b\nC\n+\nI\n",
     }
     for name, content in body.items():
         (tmp_path / name).write_text(content)
@@ -38,6 +40,9 @@ def call(spark, capsys, files, line):
         ("masked g1.fa", ["s3:1-5"]),
         ("some g1.fa --list list.txt", [">s3", "acgtN"]),
         ("rc g1.fa g2.fa -o {out}", None),
+        ("fq2fa r1.fq r2.fq", [">a", "AC", ">b", "G", ">a", "TT", ">b", "C"]),
+        ("interleave --fq r1.fq --list r2.fq", ["@a", "AC", "+", "@I", "@a", "TT", "+", "II", "@b", "G", "+", "+", "@b", "C", "+", "I"]),
+        ("interleave --fq r1.fq", ["@a", "AC", "+", "@I", "@a", "N", "+", "!", "@b", "G", "+", "+", "@b", "N", "+", "!"]),
         ("gff-rg test.gff", ["gene1\ttest.chr1(+):1000-2000"]),
         ("synt-merge blocks.tsv --chain-gap 150", ["# Block_ID\tRange\tScore", "1\tG1(+):100-400\t20.0", "1\tG2(+):100-400\t20.0"]),
         ("synt-dag pos.tsv match.tsv --mna 1", ["# Block_ID\tRange\tCount\tScore", "0\tP1.chr1(+):100-400\t2\t92.5", "0\tP2.chr1(+):100-400\t2\t92.5"]),
