@@ -94,12 +94,6 @@ def test_graph_path_and_cycle(spark):
     assert rows(graph.linear_paths(ring), "path", "ord", "node") == [(10, 0, 10), (10, 1, 20)]
 
 
-def test_transitive_reduction():
-    order = {i: (1, i) for i in range(9)}
-    assert graph.reducible([(1, 2), (2, 3), (1, 3)], order) == [(1, 3)]
-    assert graph.reducible([(1, 2), (1, 3), (2, 4), (3, 4)], order) == []
-
-
 def test_blocks_of_identical_sequences(spark):
     rng = random.Random(7)
     seq = "".join(rng.choice("ACGT") for _ in range(1610))
