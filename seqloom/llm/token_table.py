@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,16 +34,32 @@ PAGE_ROWS = 256
 #: Words of which a worker remembers the ids, in each of two generations, and the longest of them.
 MEMORY_WORDS, MEMORY_LENGTH = 1 << 18, 64
 
-#: A space beside another space belongs to a longer run; only single ones between other characters part a text.
-_RUN = re.compile("[\\s᠎] | [\\s᠎]")
-_PARTS = re.compile("(?<=[^\\s᠎]) (?=[^\\s᠎])")
+#: Single spaces between other characters part a text; a space beside other white space belongs to a longer run.
+_PARTS = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
+#: Bytes of texts that are cut into words at once.
+SLAB = 1 << 22
+#: Characters of new words that the library sees in one call.
+CALL_LENGTH = 1 << 15
+
+
+def _odd(words: pa.Array) -> list[int]:
+    """The words beside which a single space may not be where a text can be cut: empty ones, and those with white space at an end."""
+    trimmed = pc.equal(pc.utf8_trim_whitespace(words), words)
+    fine = pc.and_(pc.and_(trimmed, pc.greater(pc.binary_length(words), 0)), pc.invert(pc.match_substring(words, "\u180e")))
+    return np.flatnonzero(~fine.to_numpy(zero_copy_only=False)).tolist()
+
+
+def _listed(words: pa.Array) -> list[str]:
+    """An Arrow array as a list, by way of one string."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\0")[0].as_py().split("\0")
+    return joined if len(joined) == len(words) else words.to_pylist()
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, by the tokenizers library.
 
     No token of this vocabulary reaches over a single space between two other characters, except by beginning with it.  So texts are cut there, each distinct
-    word goes through the library once, and its ids are remembered for the words and texts that follow.
+    word goes through the library once, many in one call, and its ids are remembered for the texts that follow.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY) -> None:
@@ -50,34 +67,72 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary))
+        names = self.library.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(names.values()) + 1, bool)
+        # the byte-level alphabet writes a space so
+        self.begins[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it.  Only its first one begins with a space."""
+        out, at = [], 0
+        while at < len(words):
+            first, size = at, 0
+            while at < len(words) and size < CALL_LENGTH:
+                size += len(words[at]) + 1
+                at += 1
+            part = words[first:at]
+            (ids,) = self._ids([" " + " ".join(part)])
+            starts = (np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")]) * 4).tolist()
+            if len(starts) == len(part):
+                out += [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+            else:
+                out += self._ids([" " + w for w in part])
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_PARTS.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        # the first word of a text has no space before it
-        first = self._ids([words[0] for words in cut])
+    def _remember(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words with a space before each, known ones from memory."""
         if len(self.recent) > MEMORY_WORDS:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
-        new = set().union(*(words[1:] for words in cut)).difference(recent)
-        known = new & older.keys()
-        for w in known:
-            recent[w] = older[w]
-        new = sorted(new - known)
+        new = [w for w in words if w not in recent]
+        recent.update({w: older[w] for w in new if w in older})
+        new = [w for w in new if w not in recent]
+        recent.update(zip(new, self._spaced(new), strict=True))
+        out = list(map(recent.__getitem__, words))
         # long words are rare and would fill the memory
-        once = [w for w in new if len(w) > MEMORY_LENGTH]
-        for at in range(0, len(new), 1 << 14):
-            part = new[at : at + (1 << 14)]
-            recent.update(zip(part, self._ids([" " + w for w in part]), strict=True))
-        out = [a + b"".join([recent[w] for w in words[1:]]) for a, words in zip(first, cut, strict=True)]
-        for w in once:
-            del recent[w]
+        for w in new:
+            if len(w) > MEMORY_LENGTH:
+                del recent[w]
         return out
 
+    def _slowly(self, text: str) -> bytes:
+        """A text with runs of white space."""
+        first, *words = _PARTS.split(text)
+        return b"".join(self._ids([first]) + self._ids([" " + w for w in words]))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a null is empty.  Words are told apart by Arrow, so Python sees each once a call."""
+        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        ends = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        words, at, odd = _listed(coded.dictionary), coded.indices.to_numpy().copy(), _odd(coded.dictionary)
+        apart = np.zeros(len(texts), bool)
+        if odd:
+            apart[np.searchsorted(ends, np.flatnonzero(np.isin(at, odd)), side="right") - 1] = True
+        # the first word of a text has no space before it
+        heads = ["" if a else words[i] for a, i in zip(apart, at[ends[:-1]].tolist(), strict=True)]
+        at[ends[:-1]] = len(words) + np.arange(len(texts))
+        for i in odd:
+            words[i] = "-"
+        pool = self._remember(words) + self._ids(heads)
+        parts = list(map(pool.__getitem__, at.tolist()))
+        return [self._slowly(texts[i].as_py() or "") if apart[i] else b"".join(parts[a:b]) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
+
 
 @lru_cache(1)
 def encoder(vocabulary: str = VOCABULARY) -> Encoder:
@@ -114,8 +169,8 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last, shard, at = encoder(vocabulary).encode, np.array([end], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in slabs(batch, "text"):
-                rows = encode([t or "" for t in part.column(1).to_pylist()])
+            for part in slabs(batch, "text", SLAB):
+                rows = encode(part.column(1))
                 sizes = np.array([len(r) // 4 + 1 for r in rows], np.int64)
                 ends = np.cumsum(sizes)
                 ids = np.frombuffer(last.join([*rows, b""]), "<i4")

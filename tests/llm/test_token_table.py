@@ -3,6 +3,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -19,7 +20,7 @@ def plain(text):
 
 def odd_texts():
     rng = random.Random(13)
-    texts = [None, "", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a\n b", "a \nb", "a   b", "it's we 'll 've", "x　 y", "<|endoftext|> a<|endoftext|> b", "a <|endof text|>", "Ünï çødé 漢字 🦆 🦆", "a\x1c b", "a᠎ b", "w" * 300 + " " + "w" * 300]
+    texts = [None, "", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a\n b", "a \nb", "a   b", "it's we 'll 've", "x　 y", "<|endoftext|> a<|endoftext|> b", "a <|endof text|>", "Ünï çødé 漢字 🦆 🦆", "a\x1c b", "a\u00a0 b", "a \u3000b", "a\u0085 b", "a \u2028 b", "a\0b \0 c", "a᠎ b", "w" * 300 + " " + "w" * 300]
     texts += ["".join(rng.choice("ab  c'1.\n\té漢 ") for _ in range(rng.randrange(60))) for _ in range(300)]
     return texts
 
@@ -27,8 +28,9 @@ def odd_texts():
 def test_cut_texts_encode_like_whole_ones():
     texts = odd_texts()
     e = Encoder()
-    for _ in range(2):
-        got = e.encode([t or "" for t in texts])
+    # a slice, as a part of a batch is
+    for given in (pa.array(texts), pa.array(["x y", *texts])[1:]):
+        got = e.encode(given)
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain(t)[:-1] for t in texts]
 
 
@@ -39,7 +41,7 @@ def test_memory_of_words_is_bounded(monkeypatch):
     e, rng = Encoder(), random.Random(5)
     for _ in range(40):
         text = " ".join(f"w{rng.randrange(200)}" for _ in range(30)) + " " + "z" * 100
-        assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == plain(text)[:-1]
+        assert np.frombuffer(e.encode(pa.array([text]))[0], "<u4").tolist() == plain(text)[:-1]
         assert len(e.recent) <= 80 and len(e.older) <= 80 and "z" * 100 not in e.recent
 
 
