@@ -1,12 +1,15 @@
 """Small cases with known results."""
 
+import hashlib
 import math
 import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from seqloom.functions import hashing
 from seqloom.functions.ranges import format_range, parse_range
 from seqloom.functions.sequence import bloom_size, gap_units, odd_window, reverse_complement, translate_frame
 from seqloom.operators import annotations, chain, cluster, distance, graph, intervals, layout, merge, minimizers, records, synteny
@@ -29,6 +32,63 @@ def test_soft_mask_and_canonical(spark):
         minimizers.sketch(one, 4, 70_000)
 
 
+def plain_hash(hasher, kmer):
+    if hasher == "md5":
+        return int.from_bytes(hashlib.md5(kmer).digest()[:8]) >> 4
+    if hasher in ("xxhash", "rapid"):
+        return xxhash.xxh64_intdigest(kmer) >> 4
+    if hasher == "murmur":
+        return murmur3(kmer) >> 4
+    digits = [kmer[i : i + 8] for i in range(0, len(kmer), 8)]
+    mask, h = (1 << 64) - 1, 0
+    if hasher == "fx":
+        parts = [d for d in digits if len(d) == 8]
+        rest = digits[-1] if len(digits[-1]) < 8 else b""
+        parts += ([rest[:4], *(bytes([c]) for c in rest[4:])] if len(rest) >= 4 else [bytes([c]) for c in rest])
+        for part in parts:
+            h = (((h << 5 | h >> 59) & mask) ^ int.from_bytes(part, "little")) * 0x517CC1B727220A95 & mask
+        return h >> 4
+    for d in digits:
+        h = (h * 31 + int.from_bytes(d.ljust(8, b"\0"))) % ((1 << 59) - 55)
+    return h
+
+
+def murmur3(key, seed=42):
+    """MurmurHash3 for x64, 128 bits: the low word."""
+    mask = (1 << 64) - 1
+    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
+    turn = lambda x, r: (x << r | x >> 64 - r) & mask
+    h1 = h2 = seed
+    whole = len(key) // 16 * 16
+    for at in range(0, len(key), 16):
+        k1, k2 = int.from_bytes(key[at : at + 8], "little"), int.from_bytes(key[at + 8 : at + 16], "little")
+        k1, k2 = turn(k1 * c1 & mask, 31) * c2 & mask, turn(k2 * c2 & mask, 33) * c1 & mask
+        h1 ^= k1
+        if at == whole:
+            h2 ^= k2
+            break
+        h1 = ((turn(h1, 27) + h2) * 5 + 0x52DCE729) & mask
+        h2 = ((turn(h2 ^ k2, 31) + h1) * 5 + 0x38495AB5) & mask
+    h1, h2 = h1 ^ len(key), h2 ^ len(key)
+    h1 = h1 + h2 & mask
+    h2 = h2 + h1 & mask
+    out = 0
+    for h in (h1, h2):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> 33) * m & mask
+        out += h ^ h >> 33
+    return out & mask
+
+
+def test_published_hashes():
+    rng = random.Random(5)
+    for hasher in hashing.HASHERS:
+        for size in (1, 3, 4, 7, 8, 9, 15, 16, 17, 24, 31, 32, 33, 47, 55, 56, 63, 64, 65, 120):
+            data = bytes(rng.randrange(256) for _ in range(size + 9))
+            words = hashing.kmer_words(hashing.words_of(np.frombuffer(data, np.uint8)), slice(0, 10), size)
+            assert hashing.hash60_of(hasher, words, size).tolist() == [plain_hash(hasher, data[i : i + size]) for i in range(10)], (hasher, size)
+
+
 @pytest.mark.parametrize("hasher", sorted(minimizers.HASHERS))
 @pytest.mark.parametrize("both", [True, False])
 def test_minimizers_against_plain_windows(spark, hasher, both):
@@ -40,7 +100,7 @@ def test_minimizers_against_plain_windows(spark, hasher, both):
 
     def of(kmer):
         other = kmer.translate(turned)[::-1].encode()
-        return minimizers.HASHERS[hasher](min(kmer.encode(), other) if both else kmer.encode()), not both or kmer.encode() <= other
+        return plain_hash(hasher, min(kmer.encode(), other) if both else kmer.encode()), not both or kmer.encode() <= other
 
     want = {mode: set() for mode in minimizers.MODES}
     for i, q in enumerate(seqs):
