@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.ranges import format_range
+from seqloom.functions.shared import stored
 from seqloom.operators import align, annotations, chain, cluster, distance, layout, merge, minimizers, records, synteny
 from seqloom.operators.prefix import number_rows, running_sum
 from seqloom.sources import text as io
@@ -149,10 +150,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         coords = distance.pcoa(io.read_pairs(spark, a.files), a.dim, a.same, a.missing)
         _emit(coords.groupBy("name").pivot("axis", list(range(a.dim))).agg(F.first("value")).select(F.concat_ws("\t", "name", *[F.col(f"`{i}`").cast("string") for i in range(a.dim)]).alias("line"), "name"), a.out, order=["name"])
     elif c == "synt-mmg":
-        fa = io.numbered(io.read_fasta(spark, a.files))
         given = {k: v for k, v in {"rounds": tuple(map(synteny.parse_round, a.rounds.split(","))) if a.rounds else None, "block_size": a.block_size, "chain_gap": a.chain_gap}.items() if v is not None}
         options = synteny.BlockOptions.for_divergence(a.divergence, k=a.k, min_weight=a.min_weight, max_freq=a.max_freq, soft_mask=a.soft_mask, sampling=a.sampling, **given)
-        found = synteny.find_blocks(fa.select("seq_id", "seq"), options).join(fa.select("seq_id", F.col("display").alias("seq_name")), "seq_id").withColumn("ord", F.col("seq_id"))
+        names, pieces = io.read_fasta_pieces(spark, a.files, synteny.overlap_of(options))
+        found = synteny.find_blocks(stored(pieces), options).join(io.display_names(names), "seq_id", "left").withColumn("seq_name", F.coalesce("display", F.concat(F.lit("Seq_"), F.col("seq_id").cast("string")))).withColumn("ord", F.col("seq_id"))
         _emit(io.block_lines(found, "count", "round") if found.columns else found, a.out, "# Block_ID\tRange\tCount\tRound", order=["block_id", "ord"])
     elif c == "synt-dag":
         features, matches = io.read_positions(spark, a.files[0]), io.read_matches(spark, a.files[1])

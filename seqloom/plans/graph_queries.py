@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import canonical, forward_strand
+from seqloom.functions.shared import delete, shared_dir, stored
 from seqloom.operators import align, chain, graph, layout, merge, minimizers, prefilter, synteny
 from seqloom.plans import tables as t
 from seqloom.plans.record_queries import six_frames_sql
+from seqloom.sources import text as io
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +59,22 @@ def minimizers_sliding(spark, sf):
     return _sketch(spark, sf).select("seq_id", F.col("pos").cast("long").alias("pos"), "hash")
 
 
+_PIECES = f"""{_kmers_sql(K, t.DNA_SQL)}, h AS (SELECT doc_id, pos, {t.HASH_SQL.format('kmer')} AS hash FROM km), win AS (SELECT doc_id, min({{'h': hash, 'p': pos}}) OVER w AS m, count(*) OVER w AS c FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING))"""
+
+
+@query(f"WITH {_PIECES} SELECT DISTINCT 'd' || doc_id AS name, m.p AS pos, m.h AS hash FROM win WHERE c = {W}")
+def minimizers_pieces(spark, sf):
+    """Records written as lines of FASTA, read in pieces of a thousand symbols, and sketched piece by piece."""
+    path = f"{shared_dir(spark)}/fasta/{uuid.uuid4().hex}"
+    lines = F.regexp_replace("seq", "(.{60})", "$1\n")
+    t.dna(spark, sf).select(io.fasta_lines(F.concat(F.lit("d"), F.col("name").cast("string")), lines).alias("line")).write.text(path)
+    names, pieces = io.read_fasta_pieces(spark, path, K + W - 2, 1000)
+    found = minimizers.sketch(pieces, K, W, both_strands=False, offset="offset")
+    out = stored(found.join(names.select("seq_id", "name"), "seq_id").select("name", F.col("pos").cast("long").alias("pos"), "hash"))
+    delete(spark, path)
+    return out
+
+
 @query(f"WITH {_HASHED}, l AS (SELECT *, max(pos) OVER (PARTITION BY doc_id) AS n FROM h) SELECT doc_id AS seq_id, pos, hash FROM l WHERE pos >= 25 AND pos <= n - 25")
 def minimizers_center(spark, sf):
     return minimizers.sketch(t.records(spark, sf), K, W + 1, mode="centre", both_strands=False).select("seq_id", F.col("pos").cast("long").alias("pos"), "hash")
