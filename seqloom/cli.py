@@ -6,6 +6,7 @@ Results are lines of text, printed, or with ``-o`` written as a folder of text f
 from __future__ import annotations
 
 import argparse
+import functools
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,10 +47,11 @@ def _sizes(spark: SparkSession, files: list[str], blocks: DataFrame, default: st
     if not files:
         return layout.inferred_sizes(blocks, default)
     sizes = io.read_sizes(spark, files)
-    # blocks may name sequences with their genome in front
-    prefixed = sizes.select("genome", F.concat_ws(".", "genome", "chrom").alias("chrom"), "length")
-    named = blocks.select(F.col("seq_name").alias("chrom")).distinct()
-    return prefixed if sizes.join(named, "chrom", "left_semi").isEmpty() else sizes
+    # blocks may name a sequence with its genome in front, each genome's in its own way
+    named = blocks.select("seq_name").distinct().withColumn("known", F.lit(True))
+    full = F.concat_ws(".", "genome", "chrom")
+    found = sizes.withColumn("full", full).join(named.select(F.col("seq_name").alias("full"), F.col("known").alias("in_full")), "full", "left").join(named.select(F.col("seq_name").alias("chrom"), "known"), "chrom", "left")
+    return found.select("genome", F.when(F.col("in_full") & F.col("known").isNull(), F.col("full")).otherwise(F.col("chrom")).alias("chrom"), "length")
 
 
 def _interleave(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -104,7 +106,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             kept = records.dedup(fa, by="seq" if a.seq else "name", both_strands=a.both, ignore_case=a.case)
             _emit(_fasta(records.some(fa, kept)), a.out)
         elif c == "mask":
-            regions = spark.read.csv(a.list, sep="\t", schema="name string, start bigint, end bigint")
+            regions = io.read_run_lists(spark, a.list) if a.list.endswith(".json") else spark.read.csv(a.list, sep="\t", schema="name string, start bigint, end bigint")
             _emit(_fasta(records.mask(fa, regions, hard=a.hard)), a.out)
         elif c == "sixframe":
             found = records.six_frames(fa, least=a.len).withColumn("name", F.concat(format_range(F.col("name"), F.col("strand"), F.col("start"), F.col("end")), F.lit("|frame="), F.col("frame").cast("string")))
@@ -121,10 +123,18 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         found = annotations.feature_ranges(io.read_gff(spark, a.files), a.tag, a.key, F.lit(a.asm) if a.asm else None, a.simplify, a.ss)
         _emit(_tabbed(found), a.out)
     elif c == "dist-seq":
-        fa = io.read_fasta(spark, a.files)
-        sets = minimizers.minimizer_sets(fa.withColumn("seq_id", F.col("genome") if a.merge else F.col("name")), a.k, a.w, mode=a.mode, both_strands=a.both, hasher=a.hasher).withColumnRenamed("seq_id", "name")
-        found = distance.set_distances(sets.distinct(), a.k, zero=a.zero, detail=a.merge, similarity=a.sim)
-        _emit(_tabbed(found), a.out)
+        given = [[r["value"] for r in spark.read.text(f).where("value <> ''").collect()] for f in a.files] if a.list else [[f] for f in a.files]
+
+        def sets(files: list[str]) -> DataFrame:
+            """Each record's minimizers, or each file's; ``mod`` is the mod-minimizer of both strands."""
+            parts = [io.read_fasta(spark, f).select((F.lit(f) if a.merge else F.col("name")).alias("name"), "seq") for f in files]
+            records = functools.reduce(DataFrame.unionByName, parts)
+            mod = a.hasher == "mod"
+            return minimizers.minimizer_sets(records, a.k, a.w, "name", mode="mod" if mod and a.w > 1 else a.mode, both_strands=a.both or mod, hasher=a.hasher)
+
+        # the first file against the second, or against itself
+        first, second = sets(given[0]), sets(given[1]) if len(given) > 1 else None
+        _emit(_tabbed(distance.set_distances(first, a.k, other=second, zero=a.zero, detail=a.merge, similarity=a.sim)), a.out)
     elif c == "dist-vector":
         v = io._lines(spark, a.files).select(F.split("value", "\t").alias("c")).select(F.col("c")[0].alias("vec_id"), F.transform(F.split(F.col("c")[1], ","), lambda x: x.cast("double")).alias("embedding"))  # noqa: SLF001
         _emit(_tabbed(distance.vector_pairs(v, v, a.mode, binary=a.bin)), a.out)
@@ -205,7 +215,7 @@ def parser() -> argparse.ArgumentParser:
     add("dedup", ("-s --seq", on), ("-b --both", on), ("-c --case", on))
     add("sixframe", ("--len", integer | {"default": 1}))
     add("gff-rg", ("--tag", {"default": "gene"}), ("--key", {"default": "ID"}), ("--asm", {}), ("-s --simplify", on), ("--ss", on))
-    add("dist-seq", ("-k", integer | {"default": 7}), ("-w", integer | {"default": 1}), ("--merge", on), ("--zero", on), ("--sim", on), ("--both", on), ("--mode", {"default": "sliding"}), ("--hasher", {"default": "md5"}))
+    add("dist-seq", ("-k", integer | {"default": 7}), ("-w", integer | {"default": 1}), ("--merge", on), ("--zero", on), ("--sim", on), ("--both", on), ("--list", on), ("--mode", {"default": "sliding"}), ("--hasher", {"default": "md5"}))
     add("dist-vector", ("--mode", {"default": "euclid"}), ("--bin", on))
     pair = ("--format", {"choices": ["cluster", "pair"], "default": "cluster"})
     add("clust-cc", pair)

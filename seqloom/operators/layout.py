@@ -20,23 +20,31 @@ def genome_of(name: F.Column, default: str | None = None) -> F.Column:
     return head if default is None else F.when(name.contains("."), head).otherwise(F.lit(default))
 
 
+def short_label(genome: F.Column, chrom: F.Column) -> F.Column:
+    """A chromosome's name without its genome in front."""
+    return F.when(F.startswith(chrom, F.concat(genome, F.lit("."))), F.substring(chrom, F.length(genome) + 2, F.length(chrom))).otherwise(chrom)
+
+
 def inferred_sizes(blocks: DataFrame, default: str | None = None) -> DataFrame:
     """``(genome, chrom, length)`` as far as blocks reach, for want of size files."""
     return blocks.groupBy(F.col("seq_name").alias("chrom")).agg(F.max("end").alias("length")).select(genome_of(F.col("chrom"), default).alias("genome"), "chrom", "length")
 
 
 def ribbon_tracks(sizes: DataFrame, width: float = 1000, height: float = 300) -> DataFrame:
-    """``(genome, chrom, x, w, y, scale)``: each genome a track in name order, its chromosomes side by side, a hundredth of the longest genome apart."""
+    """``(genome, chrom, label, track, x, w, y, scale, th)``: each genome a track in name order, its chromosomes side by side, a hundredth of the longest genome apart; a single
+    genome has two tracks, against itself.  ``th`` is a track's height."""
     per = sizes.groupBy("genome").agg(F.sum("length").alias("t"))
     longest = per.agg(F.max("t").alias("m"))
     track = per.select("genome", (F.row_number().over(Window.orderBy("genome")) - 1).alias("track"))
-    n = track.agg(F.count("*").alias("n"))
+    n = track.agg(F.greatest(F.count("*"), F.lit(2)).alias("n"), (F.count("*") == 1).alias("alone"))
     scale = (F.lit(width) - 200) / F.greatest("m", F.lit(1))
-    order = Window.partitionBy("genome").orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("track").orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)
     rows = sizes.join(track, "genome").crossJoin(F.broadcast(longest)).crossJoin(F.broadcast(n))
+    rows = rows.withColumn("track", F.explode(F.when(F.col("alone"), F.array(F.lit(0), F.lit(1))).otherwise(F.array("track"))))
     x = 100 + F.coalesce(F.sum((F.col("length") + F.col("m") * 0.01) * scale).over(order), F.lit(0.0))
     th = F.lit(height) / F.greatest("n", F.lit(1))
-    return rows.select("genome", "chrom", "track", x.alias("x"), (F.col("length") * scale).alias("w"), (50 + F.col("track") * th + th / 2).alias("y"), scale.alias("scale"))
+    label = short_label(F.col("genome"), F.col("chrom"))
+    return rows.select("genome", "chrom", label.alias("label"), "track", x.alias("x"), (F.col("length") * scale).alias("w"), (50 + F.col("track") * th + th / 2).alias("y"), scale.alias("scale"), th.alias("th"))
 
 
 def two_range_blocks(blocks: DataFrame) -> DataFrame:
@@ -47,15 +55,27 @@ def two_range_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def ribbons(blocks: DataFrame, tracks: DataFrame) -> DataFrame:
-    """``(block_id, x1, x2, y1, x3, x4, y2, colour)``: source and target spans of each block whose sequences are known; opposite strands cross."""
+    """``(block_id, x1, x2, y1, x3, x4, y2, cy1, cy2, colour)``: source and target spans of each block whose sequences are known, and the heights to which its curve bends.
+
+    Opposite strands cross.  A block inside one track leaves and ends below it, in an arc as high as a fifth of its span, 20 at least and four fifths of a track at most; where a
+    genome is drawn against itself, blocks go from its first track to its second.
+    """
     two = two_range_blocks(blocks)
-    for i in (1, 2):
-        two = two.join(tracks.select(F.col("chrom").alias(f"seq_name{i}"), F.col("x").alias(f"tx{i}"), F.col("y").alias(f"ty{i}"), F.col("scale").alias(f"sc{i}")), f"seq_name{i}")
+    # of the two tracks of a single genome, the first one is where blocks begin
+    for i, pick in ((1, F.min), (2, F.max)):
+        own = tracks.groupBy("chrom").agg(pick(F.struct("track", "x", "y", "scale", "th")).alias("t"))
+        two = two.join(own.select(F.col("chrom").alias(f"seq_name{i}"), F.col("t.track").alias(f"tr{i}"), F.col("t.x").alias(f"tx{i}"), F.col("t.y").alias(f"ty{i}"), F.col("t.scale").alias(f"sc{i}"), F.col("t.th").alias(f"th{i}")), f"seq_name{i}")
     at = lambda i, c: F.col(f"tx{i}") + F.col(f"{c}{i}") * F.col(f"sc{i}")
     cross = F.col("strand1") != F.col("strand2")
+    x3, inside = F.when(cross, at(2, "end")).otherwise(at(2, "start")), F.col("tr1") == F.col("tr2")
+    y1 = F.col("ty1") + 10
+    y2 = F.when(inside, y1).otherwise(F.col("ty2"))
+    arc = F.least(F.greatest(F.abs(at(1, "start") - x3) * 0.2, F.lit(20.0)), F.col("th1") * 0.8)
+    bend = F.when(inside, arc).otherwise((y2 - y1) / 2)
     return two.select(
-        "block_id", at(1, "start").alias("x1"), at(1, "end").alias("x2"), (F.col("ty1") + 10).alias("y1"),
-        F.when(cross, at(2, "end")).otherwise(at(2, "start")).alias("x3"), F.when(cross, at(2, "start")).otherwise(at(2, "end")).alias("x4"), F.col("ty2").alias("y2"),
+        "block_id", at(1, "start").alias("x1"), at(1, "end").alias("x2"), y1.alias("y1"),
+        x3.alias("x3"), F.when(cross, at(2, "start")).otherwise(at(2, "end")).alias("x4"), y2.alias("y2"),
+        (y1 + bend).alias("cy1"), F.when(inside, y2 + bend).otherwise(y2 - bend).alias("cy2"),
         F.element_at(F.array(*map(F.lit, PALETTE)), (F.col("block_id") % 7 + 1).cast("int")).alias("colour"),
     )
 
@@ -69,7 +89,7 @@ def circle_sectors(sizes: DataFrame, width: float = 800) -> DataFrame:
     begin = F.radians(F.lit(-90.0)) + F.coalesce(F.sum(F.col("length") * per + F.radians(F.lit(2.0))).over(order), F.lit(0.0))
     placed = rows.withColumn("per", per).withColumn("begin", begin).withColumn("finish", F.col("begin") + F.col("length") * per)
     x, y = polar(F.lit(width / 2 - 50 + 15), (F.col("begin") + F.col("finish")) / 2, width / 2, width / 2)
-    return placed.select("genome", "chrom", "begin", "finish", "per", x.alias("label_x"), y.alias("label_y"))
+    return placed.select("genome", "chrom", short_label(F.col("genome"), F.col("chrom")).alias("label"), "begin", "finish", "per", x.alias("label_x"), y.alias("label_y"))
 
 
 def chords(blocks: DataFrame, sectors: DataFrame, width: float = 800, track: float = 20) -> DataFrame:
@@ -98,16 +118,15 @@ def ribbon_svg(blocks: DataFrame, sizes: DataFrame, width: float = 1000, height:
     tracks = ribbon_tracks(sizes, width, height).cache()
     out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height + 100:g}">']
     for r in ribbons(blocks, tracks).orderBy("block_id").collect():
-        bend = (r.y1 + r.y2) / 2
         out.append(
-            f'<path d="M {r.x1:.2f} {r.y1:.2f} C {r.x1:.2f} {bend:.2f} {r.x3:.2f} {bend:.2f} {r.x3:.2f} {r.y2:.2f} L {r.x4:.2f} {r.y2:.2f} C {r.x4:.2f} {bend:.2f} {r.x2:.2f} {bend:.2f} {r.x2:.2f} {r.y1:.2f} Z" fill="{r.colour}" fill-opacity="0.5"/>'
+            f'<path d="M {r.x1:.2f} {r.y1:.2f} C {r.x1:.2f} {r.cy1:.2f} {r.x3:.2f} {r.cy2:.2f} {r.x3:.2f} {r.y2:.2f} L {r.x4:.2f} {r.y2:.2f} C {r.x4:.2f} {r.cy2:.2f} {r.x2:.2f} {r.cy1:.2f} {r.x2:.2f} {r.y1:.2f} Z" fill="{r.colour}" fill-opacity="0.5"/>'
         )
     scale = 1.0
-    for t in tracks.orderBy("genome", "chrom").collect():
+    for t in tracks.orderBy("track", "chrom").collect():
         scale = t["scale"]
         out.append(f'<rect x="{t.x:.2f}" y="{t.y:.2f}" width="{t.w:.2f}" height="10" fill="#ccc"/>')
         if labels:
-            out.append(f'<text x="{t.x:.2f}" y="{t.y - 4:.2f}" font-size="10">{escape(t.chrom)}</text>')
+            out.append(f'<text x="{t.x:.2f}" y="{t.y - 4:.2f}" font-size="10">{escape(t.label)}</text>')
     n, label = nice_length((width - 200) / scale / 5)
     out.append(f'<line x1="100" x2="{100 + n * scale:.2f}" y1="{height + 80:g}" y2="{height + 80:g}" stroke="black"/><text x="100" y="{height + 95:g}" font-size="10">{label}</text></svg>')
     tracks.unpersist()
@@ -132,6 +151,6 @@ def circle_svg(blocks: DataFrame, sizes: DataFrame, width: float = 800, track: f
         if labels:
             turn = math.degrees((s.begin + s.finish) / 2) % 360
             turn += 180 if 90 < turn < 270 else 0
-            out.append(f'<text x="{s.label_x:.2f}" y="{s.label_y:.2f}" font-size="10" transform="rotate({turn:.1f} {s.label_x:.2f} {s.label_y:.2f})">{escape(s.chrom)}</text>')
+            out.append(f'<text x="{s.label_x:.2f}" y="{s.label_y:.2f}" font-size="10" transform="rotate({turn:.1f} {s.label_x:.2f} {s.label_y:.2f})">{escape(s.label)}</text>')
     sectors.unpersist()
     return "\n".join([*out, "</svg>"])

@@ -25,8 +25,10 @@ def count_bases(records: DataFrame, name: str = "name", seq: str = "seq", bases:
 
 def runs(records: DataFrame, name: str = "name", seq: str = "seq", symbols: str = "a-zN") -> DataFrame:
     """``(name, start, end)``, from 1 and inclusive, of each maximal run of symbols (lower case and N: what is masked)."""
-    parts = records.select(name, F.posexplode(F.regexp_extract_all(seq, F.lit(f"([{symbols}]+|[^{symbols}]+)"), 0)).alias("i", "part"))
-    end = F.sum(F.length("part")).over(Window.partitionBy(name).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    # several records may have one name
+    own = records.select(F.monotonically_increasing_id().alias("_row"), name, seq)
+    parts = own.select("_row", name, F.posexplode(F.regexp_extract_all(seq, F.lit(f"([{symbols}]+|[^{symbols}]+)"), 0)).alias("i", "part"))
+    end = F.sum(F.length("part")).over(Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     placed = parts.withColumn("end", end).withColumn("start", F.col("end") - F.length("part") + 1)
     return placed.where(F.col("part").rlike(f"^[{symbols}]")).select(name, "start", "end")
 

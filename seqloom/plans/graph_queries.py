@@ -222,6 +222,36 @@ def ribbon_paths(spark, sf):
     return found.select("block_id", *[F.round(c, 4).alias(c) for c in ("x1", "x2", "y1", "x3", "x4", "y2")], "colour")
 
 
+def _inside_sql(pattern: str, name: str) -> str:
+    """Blocks whose two sequences are renamed, in tracks of one genome or more, their curves with them."""
+    new = ", ".join(f"{{'n': regexp_replace({r}.n, '{pattern}', '{name}'), 's': {r}.s, 'e': {r}.e, 't': {r}.t, 'q': {r}.q}} AS {r}" for r in "xy")
+    return f"""WITH {_BLOCKS.replace("SELECT block_id, x, y FROM r1", f"SELECT block_id, {new} FROM r1")}, g AS (SELECT genome, sum(length) AS t, row_number() OVER (ORDER BY genome) - 1 AS track FROM c GROUP BY genome), m AS (SELECT max(t) AS m, greatest(count(*), 2) AS n, count(*) = 1 AS alone FROM g),
+k AS (SELECT chrom, track, alone, n, 800.0::DOUBLE / greatest(m, 1) AS sc, 300.0::DOUBLE / n AS th,
+  100 + coalesce(sum((length + m * 0.01::DOUBLE) * (800.0::DOUBLE / greatest(m, 1))) OVER (PARTITION BY genome ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x0 FROM c JOIN g USING (genome), m),
+q AS (SELECT block_id, a.x0 + x.s * a.sc AS x1, b.x0 + CASE WHEN x.t <> y.t THEN y.e ELSE y.s END * b.sc AS x3, a.th, 50 + a.track * a.th + a.th / 2 + 10 AS y1, CASE WHEN a.alone THEN 50 + b.th + b.th / 2 ELSE 50 + b.track * b.th + b.th / 2 END AS yt, NOT a.alone AND a.track = b.track AS inside
+  FROM tw JOIN k a ON a.chrom = x.n JOIN k b ON b.chrom = y.n),
+r AS (SELECT *, CASE WHEN inside THEN y1 ELSE yt END AS y2, CASE WHEN inside THEN least(greatest(abs(x1 - x3) * 0.2, 20), th * 0.8) ELSE (yt - y1) / 2 END AS h FROM q)
+SELECT block_id, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x3, 4) AS x3, round(y2, 4) AS y2, round(y1 + h, 4) AS cy1, round(CASE WHEN inside THEN y2 + h ELSE y2 - h END, 4) AS cy2 FROM r"""
+
+
+def _inside(spark, sf, pattern, name):
+    blocks = t.two_ranges(spark, sf).withColumn("seq_name", F.regexp_replace("seq_name", pattern, name))
+    found = layout.ribbons(blocks, layout.ribbon_tracks(layout.inferred_sizes(blocks)))
+    return found.select("block_id", *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x3", "y2", "cy1", "cy2")])
+
+
+@query(_inside_sql("^B", "A"))
+def ribbon_arcs(spark, sf):
+    """Blocks between three genomes of one set: arcs where both ends are in one track."""
+    return _inside(spark, sf, "^B", "A")
+
+
+@query(_inside_sql("^[AB][0-9]", "S"))
+def ribbon_self(spark, sf):
+    """A genome against itself, in two tracks."""
+    return _inside(spark, sf, "^[AB][0-9]", "S")
+
+
 @query(f"""WITH {_SIZES}, w AS (SELECT sum(length) AS t, count(*) AS n FROM c), p AS (SELECT genome, chrom, length, radians(360.0 - 2.0 * n) / greatest(t, 1) AS per FROM c, w),
 b AS (SELECT *, radians(-90.0) + coalesce(sum(length * per + radians(2.0)) OVER (ORDER BY genome, chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM p)
 SELECT genome, chrom, round(begin, 5) AS begin, round(begin + length * per, 5) AS finish, round(400 + 365 * cos(begin + length * per / 2), 3) AS label_x, round(400 + 365 * sin(begin + length * per / 2), 3) AS label_y FROM b""")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.ranges import format_range, parse_range
 from seqloom.functions.shared import delete, shared_dir, stored
-from seqloom.operators import annotations, intervals, records
+from seqloom.functions.sequence import bloom_size
+from seqloom.operators import annotations, bloom, intervals, records
 from seqloom.operators.merge import group_blocks
 from seqloom.operators.prefix import number_rows
 from seqloom.plans import tables as t
@@ -98,9 +99,9 @@ def fastq_records(spark, sf):
     """Reads written as FASTQ in id order, their qualities full of what begins names, and read back."""
     reads = t.dna(spark, sf).select("name", io.fastq_lines(F.concat(F.lit("d"), F.col("name").cast("string")), F.col("seq"), F.translate("seq", "ACGT", "@+IJ")).alias("line"))
     path = f"{shared_dir(spark)}/fastq/{uuid.uuid4().hex}"
-    reads.repartitionByRange("name").sortWithinPartitions("name").select("line").write.text(path)
-    found = number_rows(io.read_fastq(spark, path), ["file_no", "record_no"], "n", 0)
-    out = stored(found.select("name", F.col("n").alias("record_no"), F.md5("seq").alias("digest"), F.md5("quality").alias("quality")))
+    reads.repartitionByRange("name").sortWithinPartitions("name").select("line").write.text(path, compression="gzip")
+    found = io.read_fastq(spark, path).select("file_no", "record_no", "name", F.md5("seq").alias("digest"), F.md5("quality").alias("quality"))
+    out = stored(number_rows(found, ["file_no", "record_no"], "n", 0).select("name", F.col("n").alias("record_no"), "digest", "quality"))
     delete(spark, path)
     return out
 
@@ -133,6 +134,26 @@ def rec_mask_hard(spark, sf):
     return records.mask(docs, regions, hard=True).select("name", F.md5("seq").alias("digest"))
 
 
+def _masked_sql(text: str, first: str, last: str) -> str:
+    return f"substr({text}, 1, ({first}) - 1) || lower(substr({text}, {first}, ({last}) - ({first}) + 1)) || substr({text}, ({last}) + 1)"
+
+
+@query(f"""WITH a AS (SELECT doc_id, {_masked_sql('text', '(doc_id % 50 + 1)::INT', '(doc_id % 50 + 20)::INT')} AS s FROM documents) SELECT doc_id AS name, md5({_masked_sql('s', '100', '109')}) AS digest FROM a""")
+def rec_mask_runs(spark, sf):
+    """Regions written as JSON run lists, one object a file line, read back and masked."""
+    docs = t.records(spark, sf)
+    path = f"{shared_dir(spark)}/runs/{uuid.uuid4().hex}"
+    first = F.col("name") % 50 + 1
+    runs = F.concat_ws(",", F.concat_ws("-", first.cast("string"), (first + 19).cast("string")), F.lit("100-104"), F.lit("105"), F.lit("106-109"))
+    groups = docs.select((F.col("name") % 16).alias("g"), F.struct(F.col("name").cast("string").alias("k"), runs.alias("v")).alias("e")).groupBy("g").agg(F.map_from_entries(F.collect_list("e")).alias("m"))
+    groups.repartition("g").select(F.to_json("m").alias("line")).write.option("maxRecordsPerFile", 1).text(path)
+    regions = intervals.union(io.read_run_lists(spark, path), "name")
+    masked = records.mask(docs.withColumn("name", F.col("name").cast("string")), regions)
+    out = stored(masked.select(F.col("name").cast("long").alias("name"), F.md5("seq").alias("digest")))
+    delete(spark, path)
+    return out
+
+
 @query(f"""WITH d AS ({t.DNA_SQL}), r AS (SELECT doc_id, CASE WHEN quality = 1 THEN '+' ELSE '-' END AS s, doc_id % 30 + 1 AS b FROM labels)
 SELECT r.doc_id || '(' || s || '):' || b || '-' || (b + 39) AS range, CASE WHEN s = '-' THEN {t.RC_SQL.format('substr(seq, b, 40)')} ELSE substr(seq, b, 40) END AS seq FROM r JOIN d USING (doc_id)""")
 def rec_range(spark, sf):
@@ -216,6 +237,40 @@ def mask_union(spark, sf):
     return intervals.union(t.intervals(spark, sf))
 
 
+_OTHERS = """oi AS (SELECT o_custkey % 100 AS seq_id, o_orderkey AS s, o_orderkey + o_custkey % 7 AS e FROM orders),
+om AS (SELECT *, max(e) OVER (PARTITION BY seq_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM oi),
+og AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM om),
+ot AS (SELECT seq_id, min(s) AS s, max(e) AS e FROM og GROUP BY seq_id, k)"""
+
+
+def _others(spark, sf):
+    return t.load(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("seq_id"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + F.col("o_custkey") % 7).alias("end"))
+
+
+@query(f'WITH {_UNION}, {_OTHERS} SELECT un.seq_id, greatest(un.start, s) AS start, least(un."end", e) AS "end" FROM un JOIN ot ON un.seq_id = ot.seq_id AND s <= un."end" AND e >= un.start')
+def interval_intersection(spark, sf):
+    return intervals.intersection(t.intervals(spark, sf), _others(spark, sf))
+
+
+@query(f"""WITH {_UNION}, {_OTHERS}, gp AS (SELECT seq_id, e + 1 AS a, coalesce(lead(s) OVER (PARTITION BY seq_id ORDER BY s), 1000000000) - 1 AS b FROM ot UNION ALL SELECT seq_id, -1000000000, min(s) - 1 FROM ot GROUP BY seq_id
+  UNION ALL SELECT DISTINCT seq_id, -1000000000, 1000000000 FROM un WHERE seq_id NOT IN (SELECT seq_id FROM ot))
+SELECT un.seq_id, greatest(un.start, a) AS start, least(un."end", b) AS "end" FROM un JOIN gp ON un.seq_id = gp.seq_id AND a <= un."end" AND b >= un.start""")
+def interval_difference(spark, sf):
+    return intervals.difference(t.intervals(spark, sf), _others(spark, sf))
+
+
+_BITS, _HASHES = bloom_size(200, 0.1)
+_PLACES = f"list_transform(range(0, {_HASHES}), lambda i: (({t.HASH_SQL.format('x')} % {_BITS}) + i * ({t.HASH_SQL.format(chr(39).join(['x || ', '#', '']))} % {_BITS})) % {_BITS})"
+
+
+@query(f"""WITH f AS (SELECT DISTINCT unnest({_PLACES}) AS p FROM (SELECT c_name AS x FROM customer WHERE c_nationkey < 5)), l AS (SELECT list(p) AS ps FROM f)
+SELECT x AS name, known FROM (SELECT c_name AS x, c_nationkey < 5 AS known FROM customer), l WHERE list_has_all(ps, {_PLACES})""")
+def bloom_contains(spark, sf):
+    """Customers that a filter of some nations' customers lets through: those, and a few others."""
+    customers = t.load(spark, sf, "customer").select(F.col("c_name").alias("name"), (F.col("c_nationkey") < 5).alias("known"))
+    return bloom.maybe_in(customers, "name", bloom.build(customers.where("known"), "name", 200, 0.1), 200, 0.1)
+
+
 @query(f"WITH {_UNION} SELECT o_orderkey AS pos, o_custkey % 100 AS seq_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM un WHERE un.seq_id = o_custkey % 100 AND o_orderkey BETWEEN un.start AND un.\"end\")")
 def mask_antijoin(spark, sf):
     points = t.load(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 100).alias("seq_id"))

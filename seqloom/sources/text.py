@@ -226,6 +226,27 @@ def read_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return group_blocks(rows.withColumnRenamed("name", "seq_name"), ["file"], ["line_no"], "raw_id")
 
 
+def read_run_lists(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(name, start, end)`` of JSON objects of run lists, ``{"name": "1-100,205"}``; a run of one place is its number alone, ``-`` is the empty list."""
+    files = spark.read.text(paths, wholetext=True).select(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("m"))
+    return parsed_runs(files.select(F.explode("m").alias("name", "runs")), "name", "runs")
+
+
+def parsed_runs(rows: DataFrame, name: str, runs: str) -> DataFrame:
+    """``(name, start, end)`` of a column of run lists; what is no run fails the query."""
+    run = r"^(-?\d+)(?:-(-?\d+))?$"
+    each = rows.where(F.trim(runs) != "-").select(F.col(name).alias("name"), F.explode(F.split(F.regexp_replace(runs, r"\s", ""), ",")).alias("r")).where("r <> ''")
+    checked = F.when(F.col("r").rlike(run), F.col("r")).otherwise(F.raise_error(F.concat(F.lit("not a run: "), "r")).cast("string"))
+    ends = each.select("name", F.regexp_extract(checked, run, 1).cast("long").alias("start"), F.regexp_extract("r", run, 2).alias("e"))
+    return ends.select("name", "start", F.when(F.col("e") == "", F.col("start")).otherwise(F.col("e").try_cast("long")).alias("end"))
+
+
+def run_list_lines(intervals: DataFrame, name: str = "name") -> DataFrame:
+    """``(name, runs)``: disjoint intervals of each name as a run list."""
+    run = F.when(F.col("start") == F.col("end"), F.col("start").cast("string")).otherwise(F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")))
+    return intervals.groupBy(name).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", run.alias("r")))), lambda x: x["r"]), ",").alias("runs"))
+
+
 def read_index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(name, offset, size)`` of an offset index."""
     return spark.read.csv(paths, sep="\t", schema="name string, offset bigint, size bigint")
