@@ -12,10 +12,11 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions.ranges import format_range
+from seqloom.functions.ranges import format_range, parse_region
 from seqloom.functions.shared import stored
 from seqloom.operators import align, annotations, chain, cluster, distance, layout, merge, minimizers, records, synteny
 from seqloom.operators.prefix import number_rows, running_sum
+from seqloom.sources import indexed
 from seqloom.sources import text as io
 
 
@@ -112,8 +113,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             found = records.six_frames(fa, least=a.len).withColumn("name", F.concat(format_range(F.col("name"), F.col("strand"), F.col("start"), F.col("end")), F.lit("|frame="), F.col("frame").cast("string")))
             _emit(_fasta(found.withColumnRenamed("protein", "seq")), a.out)
         else:
-            asked = spark.read.text(a.list).withColumnRenamed("value", "range")
-            _emit(_fasta(records.extract_ranges(fa, asked).withColumnRenamed("range", "name")), a.out)
+            asked = spark.read.text(a.list).withColumnRenamed("value", "range").where("range <> ''")
+            if a.index:
+                fa = indexed.read_indexed(spark, a.files[0], io.read_index(spark, a.index), asked.select(parse_region(F.col("range"))["name"].alias("name")), a.gzi)
+            _emit(_fasta(records.extract_ranges(fa, asked, loose=True).withColumnRenamed("range", "name")), a.out)
     elif c == "interleave":
         _interleave(spark, a)
     elif c == "fq2fa":
@@ -206,7 +209,8 @@ def parser() -> argparse.ArgumentParser:
     add("n50", ("-N --percent", integer | {"default": 50}))
     add("one", ("--name", {"required": True}))
     add("interleave", ("--list", {}), ("--fq", on))
-    for name in ("order", "replace", "range"):
+    add("range", ("--list", {"required": True}), ("--index", {}), ("--gzi", {}))
+    for name in ("order", "replace"):
         add(name, ("--list", {"required": True}))
     add("some", ("--list", {"required": True}), ("-i --invert", on))
     add("mask", ("--list", {"required": True}), ("--hard", on))

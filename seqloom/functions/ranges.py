@@ -16,6 +16,17 @@ def parse_range(text: Column) -> Column:
     )
 
 
+_REGION = r"^(.+?)(?:\(([+-])\))?(?::(\d+)(?:-(\d+))?)?$"
+
+
+def parse_region(text: Column) -> Column:
+    """Struct of name, strand, start and end of what a user asks for: strand ``+`` unless given, start and end null for a whole record, one place without ``-``."""
+    part = lambda i: F.regexp_extract(text, _REGION, i)
+    number = lambda i: F.when(part(i) != "", part(i).try_cast("long"))
+    start = number(3)
+    return F.when(text.rlike(_REGION), F.struct(part(1).alias("name"), F.when(part(2) == "", "+").otherwise(part(2)).alias("strand"), start.alias("start"), F.coalesce(number(4), start).alias("end")))
+
+
 def format_range(name: Column, strand: Column, start: Column, end: Column) -> Column:
     return F.concat(name, F.lit("("), strand, F.lit("):"), start.cast("string"), F.lit("-"), end.cast("string"))
 

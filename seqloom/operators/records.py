@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.ranges import parse_range
+from seqloom.functions.ranges import parse_range, parse_region
 from seqloom.functions.sequence import reverse_complement, simplify_name, translate_frame, upper_ascii
 from seqloom.functions.shared import spread
 from seqloom.operators.prefix import running_sum
@@ -148,10 +148,11 @@ def six_frames(records: DataFrame, name: str = "name", seq: str = "seq", least:
     )
 
 
-def extract_ranges(records: DataFrame, ranges: DataFrame, name: str = "name", seq: str = "seq", text: str = "range") -> DataFrame:
-    """``(range, seq)`` of each range string, the reverse complement on ``-``; places from 1, cut at the record's end."""
-    asked = ranges.select(F.col(text), parse_range(F.col(text)).alias("_r")).where("_r is not null")
+def extract_ranges(records: DataFrame, ranges: DataFrame, name: str = "name", seq: str = "seq", text: str = "range", loose: bool = False) -> DataFrame:
+    """``(range, seq)`` of each range string, the reverse complement on ``-``; places from 1, cut at the record's end.  ``loose`` takes ``name``, ``name:5`` and ``name:5-9`` too."""
+    asked = ranges.select(F.col(text), (parse_region if loose else parse_range)(F.col(text)).alias("_r")).where("_r is not null")
     body = F.substring(F.col(seq), F.col("_r.start").cast("int"), (F.col("_r.end") - F.col("_r.start") + 1).cast("int"))
+    body = F.when(F.col("_r.start").isNull(), F.col(seq)).otherwise(body)
     found = asked.join(records, F.col("_r.name") == F.col(name).cast("string"))
     return found.select(text, F.when(F.col("_r.strand") == "-", reverse_complement(body)).otherwise(body).alias("seq"))
 
