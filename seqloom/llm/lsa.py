@@ -253,6 +253,13 @@ def in_order(masks: dict[bytes, int], other: list[bytes], least: float = 0) -> i
     return row.bit_count()
 
 
+def windows(lo: int, hi: int, n: int) -> Iterator[tuple[int, int]]:
+    """Parts of a region in which a copy of ``n`` words, edited and with a quarter more words between them, lies whole: half as many words again and eight, a quarter of them apart."""
+    size, step = n + n // 2 + 8, max(1, n // 4)
+    for a in range(lo, max(lo, hi - size) + step, step):
+        yield a, min(a + size, hi)
+
+
 def common_subsequence(item: list[bytes], other: list[bytes]) -> int:
     """Length of the longest common subsequence of two lists of words."""
     return in_order(word_masks(item), other)
@@ -369,13 +376,14 @@ class Items:
                 while to + 1 < len(hits) and hits[to + 1][0] - hits[to][0] <= n:
                     to += 1
                 lo, hi = max(0, hits[at][0] - n), min(len(each[doc]), max(h[0] + h[2] for h in hits[at : to + 1]) + n)
-                region = each[doc][lo:hi]
-                share = in_order(words, region, SHARE * n) / n
-                if share >= SHARE:
-                    known = in_order(answer, region) / n_answer
-                    if known >= ANSWER or share >= SURE:
-                        row = (item, lo, hi, max(h[1] for h in hits[at : to + 1]), share, known)
-                        best = row if best is None or row[4] > best[4] else best
+                # hits may follow one another without end where a text has an item's topic: what is compared is no longer than an edited copy
+                for a, b in windows(lo, hi, n) if in_order(words, each[doc][lo:hi], SHARE * n) >= SHARE * n else ():
+                    share = in_order(words, each[doc][a:b], SHARE * n) / n
+                    if share >= SHARE:
+                        known = in_order(answer, each[doc][a:b]) / n_answer
+                        if known >= ANSWER or share >= SURE:
+                            row = (item, a, b, max(h[1] for h in hits[at : to + 1]), share, known)
+                            best = row if best is None or row[4] > best[4] else best
                 at = to + 1
             if best:
                 out[doc].append(best)
@@ -396,7 +404,8 @@ def find_leaks(
 ) -> DataFrame:
     """``(id, item, first_word, end_word, cosine, share, answer_share)``: a row for every row of ``docs`` and every benchmark item that it leaks.
 
-    Of an item's places in a text the one with the largest share counts, the first of several.  Very long texts are searched whole, in one slab each.
+    Of an item's places in a text the one with the largest share counts, the first of several; a place is no longer than an edited copy (``windows``), so a long text that has an item's
+    words in another order leaks nothing.  Very long texts are searched whole, in one slab each.
     Places are words (runs of letters and digits); the cosine is that of the best passage, or of the run that made the candidate.  Null and empty texts and items leak nothing.  Repeated rows of ``docs`` each give their rows; repeated
     items count once; an empty table on either side gives an empty result; other columns are ignored.
     """

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 
-from seqloom.llm.lsa import LatentSpace, common_subsequence, drop_leaks, find_leaks, term_ids, words_of
+from seqloom.llm.lsa import LatentSpace, common_subsequence, drop_leaks, find_leaks, term_ids, windows, words_of
 
 
 def test_common_subsequence():
@@ -99,3 +99,32 @@ def test_short_items(spark):
     others = got - whole - edited
     assert all(common_subsequence(words[1][item], words[0][doc]) >= 0.6 * len(words[1][item]) for doc, item in others)
     assert {len(words[1][item]) for _, item in others} <= {3}
+
+
+def test_long_texts_on_an_items_topic(spark):
+    rng = random.Random(5)
+    items = [(i, made(rng, rng.randint(20, 50)) + ". " + made(rng, 4) + ".") for i in range(36)]
+    docs = [(1000 + i, made(rng, 300)) for i in range(200)]
+    copies = set()
+    for i, text in items:
+        words = text.split()
+        for times in (1, 2, 4, 8, 40):
+            mixed = [w for _ in range(times) for w in rng.sample(words, len(words))]
+            docs.append((2000 + 100 * i + times, " ".join(mixed)))
+            # the same with the item itself in it, one word in ten another
+            own = [made(rng, 1) if rng.random() < 0.1 else w for w in words]
+            at = rng.randrange(len(mixed) + 1)
+            docs.append((9000 + 100 * i + times, " ".join(mixed[:at] + own + mixed[at:])))
+            copies.add((9000 + 100 * i + times, i))
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert copies <= got
+    # of 180 texts with an item's words in any order
+    assert len(got - copies) <= 2
+
+
+def test_windows_hold_edited_copies():
+    for n in (1, 3, 5, 8, 24, 55):
+        for lo, hi in ((0, 4), (3, 3 + n), (10, 10 + 2 * n + 24), (0, 40 * n)):
+            parts = list(windows(lo, hi, n))
+            assert parts[0][0] == lo and parts[-1][1] == hi and all(a < b for a, b in parts)
+            assert all(any(a <= x and min(x + n + n // 4, hi) <= b for a, b in parts) for x in range(lo, hi))
