@@ -165,11 +165,13 @@ def rec_range(spark, sf):
 _AA = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
+_CODONS = ",".join(a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG")
+
+
 def six_frames_sql(least: int) -> str:
     return f"""WITH d AS ({t.DNA_SQL}), s AS (SELECT doc_id, length(seq) AS n, '+' AS strand, seq AS q FROM d UNION ALL SELECT doc_id, length(seq), '-', {t.RC_SQL.format('seq')} FROM d),
 f AS (SELECT doc_id, n, strand, frame, q FROM s, (VALUES (0), (1), (2)) v(frame)),
-p AS (SELECT doc_id, n, strand, frame, CASE WHEN n - frame >= 3 THEN array_to_string(list_transform(range(0, (n - frame) // 3), lambda i: substr('{_AA}',
-  ((instr('TCAG', substr(q, (i * 3 + frame + 1)::INT, 1)) - 1) * 16 + (instr('TCAG', substr(q, (i * 3 + frame + 2)::INT, 1)) - 1) * 4 + instr('TCAG', substr(q, (i * 3 + frame + 3)::INT, 1)))::INT, 1)), '') ELSE '' END AS prot FROM f),
+p AS (SELECT doc_id, n, strand, frame, array_to_string(list_transform(regexp_extract_all(substr(q, frame + 1), '...'), lambda c: substr('{_AA}', ((instr('{_CODONS}', c) + 3) // 4)::INT, 1)), '') AS prot FROM f),
 l AS (SELECT *, string_split(prot, '*') AS parts FROM p), u AS (SELECT doc_id, n, strand, frame, unnest(parts) AS protein, unnest(range(len(parts))) AS i FROM l),
 b AS (SELECT *, coalesce(sum(length(protein) + 1) OVER (PARTITION BY doc_id, strand, frame ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3 + frame + 1 AS b FROM u)
 SELECT doc_id AS name, strand, frame::INT AS frame, (CASE WHEN strand = '+' THEN b ELSE n - (b + length(protein) * 3 - 1) + 1 END)::BIGINT AS start, (CASE WHEN strand = '+' THEN b + length(protein) * 3 - 1 ELSE n - b + 1 END)::BIGINT AS "end", protein FROM b WHERE length(protein) >= {least}"""

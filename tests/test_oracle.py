@@ -11,6 +11,12 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+TWINS = {
+    "graph_transitive_reduction": "test_twins", "mmg_blocks": "test_blocks", "dag_chains": "test_twins", "das_align": "test_twins", "dist_seq_theta": "test_twins", "dist_hv": "test_twins", "pcoa_coords": "test_twins", "clust_mcl": "test_twins",
+    "clust_km": "test_twins",
+}
+
+
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
@@ -28,7 +34,8 @@ def plain(rows):
 def test_query(spark, db, name):
     got = catalog.QUERIES[name](spark, SF)
     if name not in catalog.ORACLES:
-        assert got.columns and got.count() >= 0
+        # these have plain twins in other files
+        assert name in TWINS and got.count() > 0
         return
     want = db.execute(catalog.ORACLES[name])
     columns = sorted(d[0] for d in want.description)
