@@ -67,10 +67,9 @@ def minimizers_pieces(spark, sf):
     """Records written as lines of FASTA, read in pieces of a thousand symbols, and sketched piece by piece."""
     path = f"{shared_dir(spark)}/fasta/{uuid.uuid4().hex}"
     lines = F.regexp_replace("seq", "(.{60})", "$1\n")
-    t.dna(spark, sf).select(io.fasta_lines(F.concat(F.lit("d"), F.col("name").cast("string")), lines).alias("line")).write.text(path)
-    names, pieces = io.read_fasta_pieces(spark, path, K + W - 2, 1000)
-    found = minimizers.sketch(pieces, K, W, both_strands=False, offset="offset")
-    out = stored(found.join(names.select("seq_id", "name"), "seq_id").select("name", F.col("pos").cast("long").alias("pos"), "hash"))
+    t.dna(spark, sf).select(io.fasta_lines(F.concat(F.lit("d"), F.col("name").cast("string")), lines).alias("line")).write.text(path, compression="gzip")
+    _, pieces = io.read_fasta_pieces(spark, path, K + W - 2, 1000)
+    out = stored(minimizers.sketch(pieces, K, W, "name", both_strands=False, offset="offset").select("name", F.col("pos").cast("long").alias("pos"), "hash"))
     delete(spark, path)
     return out
 

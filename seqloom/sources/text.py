@@ -54,38 +54,39 @@ PIECE = 1 << 20
 
 
 def _segments(spark: SparkSession, paths: str | list[str], size: int) -> DataFrame:
-    """``(file_no, start, rec, off, description, seq)``: runs of sequence lines joined, each of some ``size`` symbols, in the split that a task reads.
+    """``(file_no, start, rec, off, head, description, seq)``: runs of sequence lines joined, each of some ``size`` symbols, in the split that a task reads.
 
-    ``rec`` counts the split's headers so far and ``off`` the symbols since the last of them, or since the split's beginning; a header is a row of its own.
+    ``rec`` counts the split's headers so far and ``off`` the symbols since the last of them, or since the split's beginning; ``head`` is that header, if the split has it, and a
+    row of its own, with the ``description``.
     """
     lines = _placed(spark, paths).select("value", "place.file_no", "place.start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rec, off, held, parts = None, 0, 0, 0, []
+        key, rec, off, held, head, parts = None, 0, 0, 0, None, []
         rows: list[tuple] = []
 
         def flush() -> None:
             nonlocal off, held
             whole = "".join(parts)
             for at in range(0, len(whole), size):
-                rows.append((*key, rec, off + at, None, whole[at : at + size]))
+                rows.append((*key, rec, off + at, head, None, whole[at : at + size]))
             off, held = off + len(whole), 0
             parts.clear()
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
             rows.clear()
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["file_no", "start", "rec", "off", "description", "seq"])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["file_no", "start", "rec", "off", "head", "description", "seq"])
 
         for batch in batches:
             for value, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != key:
                     flush()
-                    key, rec, off = own, 0, 0
+                    key, rec, off, head = own, 0, 0, None
                 if value.startswith(">"):
                     flush()
-                    rec, off = rec + 1, 0
-                    rows.append((*key, rec, 0, value[1:].rstrip(), ""))
+                    rec, off, head = rec + 1, 0, (value[1:].split() or [""])[0]
+                    rows.append((*key, rec, 0, head, value[1:].rstrip(), ""))
                 else:
                     parts.append("".join(value.split()))
                     held += len(parts[-1])
@@ -97,39 +98,44 @@ def _segments(spark: SparkSession, paths: str | list[str], size: int) -> DataFra
         if rows:
             yield out()
 
-    return lines.mapInArrow(run, "file_no int, start long, rec long, off long, description string, seq string")
+    return lines.mapInArrow(run, "file_no int, start long, rec long, off long, head string, description string, seq string")
 
 
 def read_fasta_pieces(spark: SparkSession, paths: str | list[str], overlap: int, size: int = PIECE) -> tuple[DataFrame, DataFrame]:
-    """Records ``(seq_id, genome, name, description, length)``, numbered from 1 in file and record order, and their pieces ``(seq_id, offset, seq)``.
+    """Records ``(seq_id, genome, name, description, length)``, numbered from 1 in file and record order, and their pieces ``(seq_id, name, offset, first, last, seq)``.
 
-    A piece begins at a multiple of ``size`` and goes on for ``overlap`` symbols into the next one, so a window of up to ``overlap`` + 1 symbols lies in the piece in which it begins.  No
-    record is ever one row: each task joins the lines of its split, two prefix scans over the splits' summaries (headers so far, symbols since the last one) tell where in
-    which record that is, and a shuffle by record and piece puts pieces together.  What precedes a file's first header is left out.
+    A piece answers for the places from ``first``, a multiple of ``size``, to before ``last``; its ``seq`` begins at ``offset`` and has ``overlap`` symbols more on either side, as far as the record
+    goes, so that every window of up to ``overlap`` + 1 symbols with one of its places lies in it.  No record is ever one row: each task joins the lines of its split, two prefix
+    scans over the splits' summaries (headers so far, symbols since the last one) tell where in which record that is, and a shuffle by record and piece puts pieces together.  What
+    precedes a file's first header is left out.
     """
     raw = stored(_segments(spark, paths, size))
-    ends = raw.groupBy("file_no", "start").agg(F.max("rec").alias("n"), F.max_by(F.col("off") + F.length("seq"), F.struct("rec", "off", F.length("seq"))).alias("tail"))
+    ends = raw.groupBy("file_no", "start").agg(F.max("rec").alias("n"), F.max_by(F.col("off") + F.length("seq"), F.struct("rec", "off", F.length("seq"))).alias("tail"), F.max_by("head", "rec").alias("head"))
     # one row per split
     by_file = Window.partitionBy("file_no").orderBy("start")
     runs = ends.withColumn("g", F.sum((F.col("n") > 0).cast("int")).over(by_file))
     runs = runs.withColumn("since", F.sum("tail").over(Window.partitionBy("file_no", "g").orderBy("start")))
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     known = runs.select(
-        "file_no", "start", earlier(Window.orderBy("file_no", "start")).alias("before"), earlier(by_file).alias("in_file"), F.coalesce(F.lag("since").over(by_file), F.lit(0)).alias("carry")
-    )
+        "file_no", "start", earlier(Window.orderBy("file_no", "start")).alias("before"), earlier(by_file).alias("in_file"), F.coalesce(F.lag("since").over(by_file), F.lit(0)).alias("carry"),
+        F.last("head", ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, -1)).alias("open_head"),
+    )
     at = raw.join(F.broadcast(known), ["file_no", "start"]).where("rec > 0 or in_file > 0")
-    at = at.select("file_no", (F.col("before") + F.col("rec")).alias("seq_id"), (F.col("off") + F.when(F.col("rec") == 0, F.col("carry")).otherwise(0)).alias("offset"), "description", "seq")
+    at = at.select("file_no", (F.col("before") + F.col("rec")).alias("seq_id"), (F.col("off") + F.when(F.col("rec") == 0, F.col("carry")).otherwise(0)).alias("offset"), F.coalesce("head", "open_head").alias("name"), "description", "seq")
     files = _file_numbers(spark, paths).select("file_no", file_stem(F.col("file")).alias("genome"))
     lengths = at.groupBy("seq_id").agg(F.max(F.col("offset") + F.length("seq")).alias("length"))
-    heads = at.where("description is not null").join(F.broadcast(files), "file_no").select("seq_id", "genome", F.regexp_extract("description", r"^\S*", 0).alias("name"), "description")
-    first, last = F.greatest(F.floor((F.col("offset") - overlap) / size), F.lit(0)), F.floor((F.col("offset") + F.length("seq") - 1) / size)
-    dealt = at.where("seq <> ''").select("seq_id", "offset", "seq", F.explode(F.sequence(first, last)).alias("piece"))
-    # what of a segment is in the piece and the overlap behind it
-    begin = F.greatest(F.col("piece") * size, "offset")
+    heads = at.where("description is not null").join(F.broadcast(files), "file_no").select("seq_id", "genome", "name", "description")
+    at = at.where("seq <> ''")
+    first, last = F.greatest(F.floor((F.col("offset") - overlap) / size), F.lit(0)), F.floor((F.col("offset") + F.length("seq") - 1 + overlap) / size)
+    dealt = at.select("seq_id", "name", "offset", "seq", F.explode(F.sequence(first, last)).alias("piece"))
+    # what of a segment is in the piece and its margins
+    begin = F.greatest(F.col("piece") * size - overlap, "offset")
     end = F.least((F.col("piece") + 1) * size + overlap, F.col("offset") + F.length("seq"))
-    cut = dealt.select("seq_id", "piece", begin.alias("at"), F.substring(F.col("seq"), (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int")).alias("part")).where("part <> ''")
-    whole = cut.groupBy("seq_id", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("p"))
-    pieces = whole.select("seq_id", (F.col("piece") * size).alias("offset"), F.array_join("p.part", "").alias("seq"))
+    cut = dealt.select("seq_id", "name", "piece", begin.alias("at"), F.substring(F.col("seq"), (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int")).alias("part")).where("part <> ''")
+    whole = cut.groupBy("seq_id", "name", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("p"))
+    placed = whole.select("seq_id", "name", F.col("p")[0]["at"].alias("offset"), (F.col("piece") * size).alias("first"), F.array_join("p.part", "").alias("seq"))
+    # behind a record's end there is nothing to answer for
+    pieces = placed.withColumn("last", F.least(F.col("first") + size, F.col("offset") + F.length("seq"))).where("last > first").select("seq_id", "name", "offset", "first", "last", "seq")
     return heads.join(lengths, "seq_id"), pieces
 
 

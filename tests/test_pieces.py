@@ -31,9 +31,8 @@ def test_pieces_of_any_cut(spark, tmp_path, small_splits, split, size, overlap):
     small_splits(split)
     names, pieces = io.read_fasta_pieces(spark, [str(tmp_path / "b.fa"), str(tmp_path / "a.fa")], overlap, size)
     assert [(r.seq_id, r.genome, r.name, r.length) for r in names.orderBy("seq_id").collect()] == [(i, g, n, len(s)) for i, (g, n, s) in enumerate(want, 1)]
-    got = sorted((r.seq_id, r.offset, r.seq) for r in pieces.collect())
-    # what only an overlap would have is no piece
-    cut = [(i, o, s[o : o + size + overlap]) for i, (_, _, s) in enumerate(want, 1) for o in range(0, len(s), size)]
+    got = sorted((r.seq_id, r.name, r.offset, r.first, r.last, r.seq) for r in pieces.collect())
+    cut = [(i, n, max(0, o - overlap), o, min(o + size, len(s)), s[max(0, o - overlap) : o + size + overlap]) for i, (_, n, s) in enumerate(want, 1) for o in range(0, len(s), size)]
     assert got == cut
 
 
@@ -60,9 +59,11 @@ def test_a_large_record_is_the_work_of_many_tasks(spark, tmp_path, small_splits)
     with open(tmp_path / "x.fa", "w") as f:
         f.write(">long\n" + "\n".join(seq[k : k + 80] for k in range(0, n, 80)) + "\n")
     small_splits("256k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     k, w = 21, 51
     _, pieces = io.read_fasta_pieces(spark, str(tmp_path / "x.fa"), k + w - 2, 1 << 16)
     sizes = [r.n for r in pieces.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.length("seq")).alias("n")).collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) > 1 and max(sizes) < n * 0.75
     got = minimizers.sketch(pieces, k, w, hasher="xxhash", offset="offset").agg(F.count("*"), F.sum("pos"), F.sum(F.col("hash") % 1000)).first()
     whole = spark.createDataFrame([(1, seq)], "seq_id long, seq string")

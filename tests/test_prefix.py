@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import records
-from seqloom.operators.prefix import number_rows, ranged, running_sum
+from seqloom.operators.prefix import number_rows, ranged, running_sum, with_parts
 from seqloom.sources import text as io
 
 
@@ -92,3 +92,25 @@ def test_ids_in_file_and_record_order(spark, tmp_path):
         assert all(r.display == f"{r.genome}.{r.name}" and r.description.endswith(f" of {r.genome}") and r.seq.startswith("ACGT") for r in got)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("rows", [1, 7])
+def test_parts_of_a_key_in_many_ranges(spark, adaptive, rows):
+    rng = random.Random(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    made = [("hot", i, rng.randrange(6), "x" * 40) for i in range(900)] + [(f"k{i % 40}", i, i, "y") for i in range(200)] + [(None, i, 0, None) for i in range(5)]
+    made = [(k, i, i + e if i % 50 else i + 30, s) for k, i, e, s in made if not (k == "hot" and i % 97 > 80)]
+    rng.shuffle(made)
+    df = spark.createDataFrame(made, "key string, at long, end long, seq string").repartition(5)
+    got = {(r.key, r.at): r._part for r in with_parts(df, ["key"], ["at"], ["at"], lambda before, reached: (F.col("at") - before["at"] > 3) & (F.col("at") > reached), rows, F.col("end")).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ordered = sorted(made, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    want, start, reached, last = {}, 0, None, None
+    for n, (k, at, end, _) in enumerate(ordered):
+        if last is None or last[0] != k:
+            start, reached = n, None
+        elif at - last[1] > 3 and at > reached:
+            start = n
+        want[k, at] = start // rows
+        reached, last = end if reached is None else max(reached, end), (k, at)
+    assert got == want and len({p for (k, _), p in got.items() if k == "hot"}) > 1
