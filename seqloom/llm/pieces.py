@@ -443,7 +443,9 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(id, sample, ids, n_ids, log_prob, inclusion, round_trip)``: a row for each of up to ``k`` distinct segmentations of each row of ``docs``.
 
     ``sample`` counts from 0 by falling perturbed value; ``round_trip`` tells whether decoding gives the text again.  Null and empty texts have one empty
-    segmentation.  Noise is seeded by the hash of the id and the text, so repeated rows have equal samples.  An empty table gives an empty result; other columns are ignored.
+    segmentation.  Noise is seeded by the hash of the id and the text, so repeated rows have equal samples.  Very long texts are segmented whole, in
+    time that grows with their length (much more of it where a text has no spaces).  Segmentations of equal perturbed value keep the order in which the search has met them, which is the same for
+    equal rows.  An empty table gives an empty result; other columns are ignored.
     """
     source = clean_name(docs, id_col, text_col).toDF("id", "text").select("id", "text", F.xxhash64("id", "text").alias("key"))
 

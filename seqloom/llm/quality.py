@@ -143,7 +143,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def classify(docs: DataFrame, model: LogisticModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with the classifier's log-odds as a last column ``logit``; null texts count as empty, long ones are read whole; an empty table stays empty."""
+    """``docs`` with the classifier's log-odds as a last column ``logit``; null texts count as empty, long ones are read whole; equal texts have equal log-odds, repeated rows stay; an empty table stays empty."""
     names = [*docs.columns, "logit"]
     at = docs.columns.index(text_col)
 

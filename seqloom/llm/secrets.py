@@ -240,7 +240,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
 
 
 def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of the base kinds, a digest of the base spans and all spans as text, per row of ``docs``."""
+    """Counts of the base kinds, a digest of the base spans and all spans as text, per row of ``docs``.
+
+    Null, empty and very long texts, repeated rows, spans that start together, empty tables and other columns as in ``scan_secrets``; a null id stays null.
+    """
     from pyspark.sql import functions as F
 
     spans = scan_secrets(docs, id_col, text_col)

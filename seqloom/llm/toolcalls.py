@@ -180,7 +180,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     ``status`` is the first that holds: ``orphan`` (a result without call), ``cycle``, ``invalid`` (see ``errors``), ``unanswered``, ``ok``.  Of several results for one
     call the first by turn, then text, counts, and ``n_results`` tells how many there were.  ``message`` is canonical JSON of id, name, arguments
     and result.  Ordering by ``level``, then ``turn`` and ``call_id``, puts each call after all that it waits for.  Null identifiers match nothing: such calls
-    are ``unanswered`` or ``invalid`` at level 0, such results orphans.  Repeated rows stay; empty tables give empty results; other columns are ignored.
+    are ``unanswered`` or ``invalid`` at level 0, such results orphans.  Very long texts, arguments and results are kept whole.  Repeated rows stay; empty tables give empty results; other columns are ignored.
     """
     schemas = SCHEMAS if schemas is None else schemas
     calls = clean_name(calls, "conv_id", "turn", "call_id", "name", "arguments", "depends_on")
@@ -240,7 +240,7 @@ def _quoted(text: Column) -> Column:
 
 
 def conversation_calls(chats: DataFrame) -> DataFrame:
-    """The linked calls of a table of chat messages, see ``messages_to_calls`` and ``link_tool_calls``."""
+    """The linked calls of a table of chat messages, see ``messages_to_calls`` and ``link_tool_calls``, which say what nulls, ties, repeated rows, very long texts, empty tables and other columns give."""
     return link_tool_calls(*messages_to_calls(chats))
 
 

@@ -72,6 +72,7 @@ def test_empty(spark):
     assert find_leaks(docs.limit(0), items).count() == 0
     assert find_leaks(docs, items.limit(0)).count() == 0
     assert drop_leaks(docs, items.limit(0)).count() == docs.count()
+    assert drop_leaks(docs.limit(0), items).count() == 0
 
 
 def test_short_items(spark):

@@ -54,6 +54,7 @@ def test_edges(spark):
     want = sorted(r.doc_id for r in out.where("keep").collect())
     assert sorted(r.doc_id for r in kept.collect()) == want and {35, 37, 39, 97} <= set(want) and not {34, 36, 38} & set(want)
     assert quality_posteriors(docs.limit(0), labels).count() == 0
+    assert keep_good(docs.limit(0), labels).count() == 0
     assert quality_posteriors(docs, labels.limit(0)).where("keep").count() == docs.count()
 
 

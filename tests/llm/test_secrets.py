@@ -53,6 +53,7 @@ def test_query_rows(spark):
     clean = {r.doc_id: r.text for r in redact(df).collect()}
     assert clean[0] is None and clean[2] == "clean" and clean[3] == "[SECRET]" and clean[4].endswith(" [SECRET]")
     assert secret_digests(df.limit(0)).count() == 0
+    assert redact(df.limit(0)).count() == 0
 
 
 def test_digits_after_cards_and_accounts():
