@@ -78,7 +78,7 @@ def _draw(svg: str, out: str | None) -> None:
 
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
     c = a.command
-    if c in ("size", "count", "masked", "n50", "one", "some", "order", "split-about", "replace", "rc", "filter", "dedup", "mask", "sixframe", "range"):
+    if c in ("size", "count", "masked", "n50", "one", "some", "order", "split-about", "split-name", "replace", "rc", "filter", "dedup", "mask", "sixframe", "range"):
         fa = io.read_fasta(spark, a.files).select("name", "seq")
         if c == "size":
             _emit(_tabbed(records.size(fa)), a.out)
@@ -96,6 +96,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             _emit(_fasta(found), a.out)
         elif c == "split-about":
             records.split_about(fa, a.bases).select(io.fasta_lines(F.col("name"), F.col("seq")).alias("line"), "chunk").write.partitionBy("chunk").text(a.out)
+        elif c == "split-name":
+            records.split_by_name(fa, a.out)
         elif c == "replace":
             mapping = spark.read.csv(a.list, sep="\t", schema="name string, new_name string")
             _emit(_fasta(records.replace_names(fa, mapping)), a.out)
@@ -104,7 +106,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         elif c == "filter":
             _emit(_fasta(records.filter_records(fa, least=a.minsize, most=a.maxsize, unique=a.unique, upper=a.upper, iupac=a.iupac, simplify=a.simplify)), a.out)
         elif c == "dedup":
-            kept = records.dedup(fa, by="seq" if a.seq else "name", both_strands=a.both, ignore_case=a.case)
+            how = {"by": "seq" if a.seq else "name", "both_strands": a.both, "ignore_case": a.case}
+            if a.file:
+                _emit(_tabbed(records.duplicates(fa, **how)), None if a.file == "stdout" else a.file)
+            kept = records.dedup(fa, **how)
             _emit(_fasta(records.some(fa, kept)), a.out)
         elif c == "mask":
             regions = io.read_run_lists(spark, a.list) if a.list.endswith(".json") else spark.read.csv(a.list, sep="\t", schema="name string, start bigint, end bigint")
@@ -153,7 +158,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         else:
             found = cluster.k_medoids(pairs, a.k).withColumnRenamed("medoid", "cluster")
         if a.format == "pair":
-            _emit(_tabbed(found, "cluster", "node"), a.out)
+            _emit(_tabbed(cluster.representative_pairs(found)), a.out)
         else:
             _emit(found.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list("node")), "\t").alias("line"), F.count("*").alias("n")), a.out, order=[F.col("n").desc(), "line"])
     elif c == "mat-phylip":
@@ -215,8 +220,9 @@ def parser() -> argparse.ArgumentParser:
     add("some", ("--list", {"required": True}), ("-i --invert", on))
     add("mask", ("--list", {"required": True}), ("--hard", on))
     add("split-about", ("-c --bases", integer | {"required": True}))
+    add("split-name")
     add("filter", ("-a --minsize", integer | {"default": 0}), ("-z --maxsize", integer), ("-u --unique", on), ("-U --upper", on), ("--iupac", on), ("-s --simplify", on))
-    add("dedup", ("-s --seq", on), ("-b --both", on), ("-c --case", on))
+    add("dedup", ("-s --seq", on), ("-b --both", on), ("-c --case", on), ("-f --file", {}))
     add("sixframe", ("--len", integer | {"default": 1}))
     add("gff-rg", ("--tag", {"default": "gene"}), ("--key", {"default": "ID"}), ("--asm", {}), ("-s --simplify", on), ("--ss", on))
     add("dist-seq", ("-k", integer | {"default": 7}), ("-w", integer | {"default": 1}), ("--merge", on), ("--zero", on), ("--sim", on), ("--both", on), ("--list", on), ("--mode", {"default": "sliding"}), ("--hasher", {"default": "md5"}))

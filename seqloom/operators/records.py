@@ -68,9 +68,10 @@ def split_about(records: DataFrame, about: int, order: str = "name", seq: str =
     return running_sum(sized, [order], "_len", "_reached").withColumn("chunk", F.floor((F.col("_reached") - F.col("_len")) / about)).drop("_len", "_reached")
 
 
-def split_by_name(records: DataFrame, path: str, name: str = "name") -> None:
-    """One folder of files for each record name."""
-    records.write.partitionBy(name).mode("errorifexists").json(path)
+def split_by_name(records: DataFrame, path: str, name: str = "name", seq: str = "seq") -> None:
+    """One folder of FASTA files for each record name."""
+    lines = records.select(F.col(name).alias("name"), F.concat(F.lit(">"), F.col(name).cast("string"), F.lit("\n"), F.col(seq)).alias("value"))
+    lines.write.partitionBy("name").mode("errorifexists").text(path)
 
 
 def replace_names(records: DataFrame, mapping: DataFrame, name: str = "name", new: str = "new_name") -> DataFrame:
@@ -100,20 +101,24 @@ def filter_records(
     return out
 
 
-def dedup(records: DataFrame, name: str = "name", seq: str = "seq", by: str = "seq", both_strands: bool = False, ignore_case: bool = False) -> DataFrame:
-    """``(name, n_copies)`` of the first record of each group of equal names or sequences, either strand if asked."""
+def _copy_key(name: str, seq: str, by: str, both_strands: bool, ignore_case: bool) -> Column:
+    """What copies share, as a digest: that keeps the sequences themselves out of the shuffle."""
     key: Column = F.col(name if by == "name" else seq)
     if ignore_case:
         key = upper_ascii(key)
     if both_strands:
         key = F.least(key, reverse_complement(key))
-    # a digest keeps the sequences themselves out of the shuffle
-    return records.select(F.sha2(key.cast("string"), 256).alias("k"), name).groupBy("k").agg(F.min(name).alias(name), F.count("*").alias("n_copies")).drop("k")
+    return F.sha2(key.cast("string"), 256)
+
+
+def dedup(records: DataFrame, name: str = "name", seq: str = "seq", by: str = "seq", both_strands: bool = False, ignore_case: bool = False) -> DataFrame:
+    """``(name, n_copies)`` of the first record of each group of equal names or sequences, either strand if asked."""
+    return records.select(_copy_key(name, seq, by, both_strands, ignore_case).alias("k"), name).groupBy("k").agg(F.min(name).alias(name), F.count("*").alias("n_copies")).drop("k")
 
 
-def duplicates(records: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
-    """``(kept, dropped)`` pairs, the report of ``dedup``."""
-    keyed = records.select(F.sha2(seq, 256).alias("k"), F.col(name))
+def duplicates(records: DataFrame, name: str = "name", seq: str = "seq", by: str = "seq", both_strands: bool = False, ignore_case: bool = False) -> DataFrame:
+    """``(kept, dropped)`` pairs of records with different names, the report of ``dedup``."""
+    keyed = records.select(_copy_key(name, seq, by, both_strands, ignore_case).alias("k"), F.col(name))
     first = keyed.groupBy("k").agg(F.min(name).alias("kept"))
     return keyed.join(first, "k").where(F.col(name) != F.col("kept")).select("kept", F.col(name).alias("dropped"))
 

@@ -6,6 +6,7 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.functions.sequence import gap_penalty, saturating_subtract, token_score
 from seqloom.operators import bloom, cluster, distance, intervals, layout, records
 from seqloom.sources import text as io
 
@@ -108,3 +109,22 @@ def test_unsettled_clusters_say_so(spark):
 def test_phylip_forms(spark, mode, want):
     matrix = distance.pair_matrix(spark.createDataFrame([("a", "b", 0.5)], "n1 string, n2 string, value double"))
     assert [r.line for r in io.phylip_lines(matrix, mode).orderBy("row_no").collect()] == want
+
+
+def test_small_functions(spark):
+    df = spark.createDataFrame([(0, 5, "a", "a"), (3, 2, "a", "b")], "x int, y int, s string, t string")
+    got = df.orderBy("x").select(saturating_subtract(F.col("x"), F.col("y")), gap_penalty(F.col("x"), -1.0, -5.0), token_score(F.col("s"), F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(0, 0.0, 1.0), (1, -16.0, -0.2)]
+    sets = spark.createDataFrame([("a", "g", 1), ("b", "g", 1), ("b", "g", 2), ("c", "h", 1)], "name string, genome string, hash long")
+    assert rows(distance.merged_sets(sets, "genome"), "name", "hash") == [("g", 1), ("g", 2), ("h", 1)]
+    clusters = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", None)], "node string, cluster string")
+    assert rows(cluster.representative_pairs(clusters), "representative", "node") == [("a", "a"), ("a", "b")]
+
+
+def test_copies_and_files_by_name(spark, tmp_path):
+    df = spark.createDataFrame([("c", "ACGT"), ("a", "acgt"), ("b", "AAC"), ("d", "GTT"), ("a", "TT")], "name string, seq string")
+    assert rows(records.duplicates(df), "kept", "dropped") == []
+    assert rows(records.duplicates(df, ignore_case=True), "kept", "dropped") == [("a", "c")]
+    assert rows(records.duplicates(df, both_strands=True, ignore_case=True), "kept", "dropped") == [("a", "c"), ("b", "d")]
+    records.split_by_name(df, str(tmp_path / "out"))
+    assert rows(io.read_fasta(spark, str(tmp_path / "out" / "name=a")), "name", "seq") == [("a", "TT"), ("a", "acgt")]
