@@ -1,6 +1,9 @@
 import random
 
-from seqloom.llm.neardup import near_dedup
+import numpy as np
+
+from seqloom.llm.neardup import MAX_BITS, close_links, near_dedup, similar_links, sketch
+from seqloom.llm.simhash import shingle_hashes
 
 COLUMNS = "doc_id long, text string"
 
@@ -37,3 +40,34 @@ def test_a_line_often_in_one_copy(spark):
         line = [f"l{rng.randrange(10**9)}" for _ in range(5)]
         pairs.append((" ".join(body + line * 300), " ".join(other + line * 2)))
     assert kept(spark, pairs) == 0
+
+
+def test_pairs_come_from_fingerprint_tries(spark):
+    bins, far = np.arange(1, 257, dtype=np.uint16).tobytes(), (1 << MAX_BITS + 1) - 1
+    row = lambda name, fp, band: (name.encode(), fp, bins, [band])
+    sets = spark.createDataFrame(
+        # one bucket and equal minimum hashes each: a budget apart, one bit more, and opposite; then close ones without a bucket in common
+        [row("a", 0, 1), row("b", far >> 1, 1), row("c", 0, 2), row("d", far, 2), row("e", 5, 3), row("f", ~5, 3), row("g", 7 << 50, 4), row("h", 7 << 49, 5)],
+        "name binary, fp long, bins binary, bands array<long>",
+    )
+    linked = lambda rows: {frozenset((bytes(r.a), bytes(r.b))) for r in rows.collect()}
+    assert linked(similar_links(sets, 0.68)) == {frozenset((b"a", b"b"))}
+    groups = {n: {n} for n in b"abcdefgh"}
+    for one, other in (map(ord, pair) for pair in linked(close_links(sets))):
+        together = groups[one] | groups[other]
+        groups |= dict.fromkeys(together, together)
+    # 0, 0, 5 and the two numbers of three bits; b and d differ in one bit
+    assert {frozenset(g) for g in groups.values()} == {frozenset(b"acegh"), frozenset(b"bd"), frozenset(b"f")}
+
+
+def test_fingerprints_of_similar_sets_are_inside_the_budget():
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    for n in [5, 10, 15, 40, 300]:
+        for _ in range(300):
+            shared, rest = [word() for _ in range(n + 4 - n // 5)], [word() for _ in range(n // 5)]
+            one, other = (sketch(shingle_hashes(" ".join(w).encode(), 5)) for w in (shared, shared + rest))
+            assert (one[1] ^ other[1]).bit_count() <= MAX_BITS
+    # a line that is repeated weighs as much as any other
+    line = " ".join(word() for _ in range(5))
+    assert sketch(shingle_hashes(f"{line} {line} {line}".encode(), 5))[1] == sketch(shingle_hashes(" ".join([line] * 300).encode(), 5))[1]
