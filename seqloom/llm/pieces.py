@@ -2,21 +2,24 @@
 
 A text is a lattice whose edges are vocabulary pieces.  With Gumbel noise on the log-probability of every segmentation, the ``k`` largest perturbed
 values are a sample of ``k`` distinct segmentations.  They are found by best-first (A-star) search from the text's start: a partial segmentation is worth the largest perturbed
-value below it, which is drawn top-down, each node's children given their maximum.  The best open node's best child has its value, so
-a search step is one descent to the end; descents are laid out as arrays over all words of a slab of texts.  All noise is a hash
-of the row's key and the place in the lattice, so a row's samples depend on nothing else.
+value below it, which is drawn top-down, each node's children given their maximum: which child has it, and the maximum of the others together, which are parted only
+when the search comes back to them.  The best open node's best child has its value, so
+a search step is one descent to the end; descents are laid out as arrays over all words of some texts.  All noise is a hash
+of the row's key and the place on the path, so a row's samples depend on nothing else.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import compress, repeat
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +31,16 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Natural logarithm of the probability of a byte piece (bytes stand for characters that have no piece).
 BYTE_SCORE = -14.0
-#: Words that a worker keeps the lattices of.
-KEPT_NODES = 1_000_000
-_SLAB = 1 << 17
+#: Nodes of lattices from which on a worker forgets words.
+KEPT_NODES = 1_500_000
+#: Bytes of texts that are cut into words at once, and characters of those among them that are descended together.
+_SLAB, _PART = 1 << 20, 1 << 17
+#: Characters of new words whose lattices are made together.
+_BATCH = 1 << 14
 _SPACE = "▁"
 _UNIT = re.compile(f"{_SPACE}+[^{_SPACE}\n]*|\n|[^{_SPACE}\n]+")
 _ESCAPED = 1 << 20
+_LAST = 128
 _NEAR = 16
 _UNITS = 2.0**32
 _U = np.uint64
@@ -45,9 +52,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def _uniform(h: np.ndarray) -> np.ndarray:
+    return ((h >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
 def _exponential(h: np.ndarray) -> np.ndarray:
     """Exponential variates; the negative logarithm of one is Gumbel noise."""
-    return -np.log(((h >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53)
+    return -np.log(_uniform(h))
 
 
 _SLOT_BITS = 18
@@ -175,19 +186,41 @@ class Lattices:
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
+        #: By node: its first edge, their number, the share of all but one that has over a half, and whether a later slab has had the word again.
+        self.first, self.count, self.rest, self.asked = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.uint8), np.empty(1 << 16), np.empty(1 << 16, bool)
+        #: By edge: its characters (with ``_LAST`` if the word ends there), its piece, and its probability among the edges of its node.
+        self.span, self.piece, self.share = np.empty(1 << 16, np.uint8), np.empty(1 << 16, np.int32), np.empty(1 << 16)
         self.clear()
 
     def clear(self) -> None:
+        """Forget all words; the tables keep their room."""
         self.start: dict[str, int] = {}
         self.nodes = self.edges = 0
-        self.first, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-        self.to, self.logp, self.piece = np.empty(1 << 16, np.int64), np.empty(1 << 16), np.empty(1 << 16, np.int32)
-        #: One over the probability of an edge among those that leave its node.
-        self.scale = np.empty(1 << 16)
         #: Characters of several bytes without a piece, by what is added to ``_ESCAPED``.
         self.escaped: list[bytes] = []
         self.escape_of: dict[str, tuple[int, float]] = {}
 
+    def thin(self) -> None:
+        """Forget the words that no later slab has had again, or all if too many are left."""
+        words, at = list(self.start), np.fromiter(self.start.values(), np.int64, len(self.start))
+        keep, sizes = self.asked[at], np.diff(np.append(at, self.nodes))
+        kept = int(sizes[keep].sum())
+        if kept > KEPT_NODES // 2:
+            self.clear()
+            return
+        # words lie in the order of their first nodes, edges in the order of their nodes
+        nodes = np.repeat(keep, sizes)
+        edges = np.repeat(nodes, self.count[: self.nodes])
+        for name, mask in (("count", nodes), ("rest", nodes), ("span", edges), ("piece", edges), ("share", edges)):
+            held = getattr(self, name)
+            some = held[: len(mask)][mask]
+            held[: len(some)] = some
+        count = self.count[:kept].astype(np.int64)
+        self.first[:kept] = np.cumsum(count) - count
+        self.asked[:kept] = False
+        self.start = dict(zip(compress(words, keep.tolist()), (np.cumsum(sizes[keep]) - sizes[keep]).tolist(), strict=True))
+        self.nodes, self.edges = kept, int(count.sum())
+
     def _append(self, name: str, at: int, values: np.ndarray) -> None:
         """Put values at the end of a table that doubles when it is full."""
         held = getattr(self, name)
@@ -200,9 +233,16 @@ class Lattices:
     def add(self, words: list[str]) -> np.ndarray:
         """The first nodes of words; lattices are made of those that are new."""
         nodes = np.fromiter(map(self.start.get, words, repeat(-1)), np.int64, len(words))
+        self.asked[nodes[nodes >= 0]] = True
         missing = np.flatnonzero(nodes < 0).tolist()
         if missing:
-            self._make(list(dict.fromkeys([words[i] for i in missing])))
+            new = list(dict.fromkeys([words[i] for i in missing]))
+            ends = np.cumsum([len(w) for w in new])
+            at = 0
+            while at < len(new):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BATCH, side="right")))
+                self._make(new[at:stop])
+                at = stop
             nodes[missing] = [self.start[words[i]] for i in missing]
         return nodes
 
@@ -231,11 +271,11 @@ class Lattices:
                     self.escaped.append(real)
                 self.escape_of[char] = (code, BYTE_SCORE * len(real))
             codes[k], bare_score[k] = self.escape_of[char]
-        begin = np.concatenate((begin, bare))
-        to = np.concatenate((begin[: len(size)] + size, bare + 1))
-        score = np.concatenate((self.vocab.score[ident], bare_score))
-        piece = np.concatenate((ident, codes))
-        # each length's places come in order, so equal places stay ordered by length
+        # backwards, so that a node's longest pieces, the likely ones, come first
+        to = np.concatenate((bare + 1, begin + size))[::-1]
+        begin = np.concatenate((bare, begin))[::-1]
+        score = np.concatenate((bare_score, self.vocab.score[ident]))[::-1]
+        piece = np.concatenate((codes, ident))[::-1]
         order = np.argsort(begin, kind="stable")
         begin, to, score, piece = begin[order], to[order], score[order], piece[order]
         count = np.bincount(begin, minlength=len(text))
@@ -259,18 +299,28 @@ class Lattices:
                 mass[node] = np.log(near[node]) + BYTE_SCORE * left[node]
             else:
                 mass[node[group]] = np.logaddexp.reduceat(score[e] + mass[to[e]], group)
+        # in whole multiples of 2^-32, so that sums over a path are exact whatever lies before it in the slab
+        share = np.exp(np.round((score + mass[to] - mass[begin]) * _UNITS) / _UNITS)
+        # only a share over one half leaves a rest that a difference would get wrong
+        rest = np.zeros(len(text))
+        rest[count > 0] = np.add.reduceat(np.where(share > 0.5, 0.0, share), first[count > 0])
         self._append("first", base, first + edge_base)
         self._append("count", base, count)
-        self._append("to", edge_base, to + base)
-        # whole multiples of 2^-32, so that sums over a path are exact whatever lies before it in the slab
-        logp = np.round((score + mass[to] - mass[begin]) * _UNITS) / _UNITS
-        self._append("logp", edge_base, logp)
-        self._append("scale", edge_base, np.exp(-logp))
+        self._append("rest", base, rest)
+        self._append("asked", base, np.zeros(len(text), bool))
+        self._append("span", edge_base, np.where(left[to] > 0, to - begin, to - begin + _LAST))
         self._append("piece", edge_base, piece)
+        self._append("share", edge_base, share)
         self.nodes += len(text)
         self.edges += len(to)
 
 
+@lru_cache(1)
+def lattices(path: str = MODEL) -> Lattices:
+    """The worker's lattices; they outlive a task."""
+    return Lattices(vocabulary(path))
+
+
 def _real(char: str) -> str:
     """What a lattice character stands for: a line end is kept as NUL; NUL and the space mark as lone surrogates, which no text has."""
     return {"\0": "\n", "\ud800": "\0", "\ud801": _SPACE}.get(char, char)
@@ -287,72 +337,125 @@ def words_of(text: str) -> list[str]:
     return _UNIT.findall(_SPACE + (text.translate(_PROTECT) if _RARE.search(text) else text.replace(" ", _SPACE)))
 
 
-class _Descent:
-    """One descent of each of some texts: path steps in order, and for each its best open sibling by the logarithm of how much later than the text's best it comes."""
-
-    __slots__ = ("begin", "count", "doc", "edge", "first", "least", "open_doc", "open_late", "open_step", "phi", "step_at", "step_unit", "time", "total", "value")
-
-    def take(self, place: int) -> int:
-        """The edge of an open sibling; the next best one of its node takes its place."""
-        step, begin, n = self.open_step[place], self.begin[place], self.count[place]
-        time = self.time[begin : begin + n]
-        own = int(time.argmin())
-        time[own] = np.inf
-        self.open_late[place] = _late(time.min() - self.least[place], self.phi[step])
-        return int(self.first[place]) + own
+def _cut(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``(words, which, sizes)``: the words of texts, mostly once each, the word at each place of the texts end to end, and how many places each text has.
 
-
-def _late(gap: np.ndarray, phi: np.ndarray) -> np.ndarray:
-    return np.log(np.maximum(gap, 1e-300)) - phi
+    What ``words_of`` gives, by Arrow for the texts that can be cut at single characters.
+    """
+    odd = [i for i, t in enumerate(texts) if "  " in t or t[:1] == " " or "\0" in t or "\1" in t or _SPACE in t]
+    plain = [f" {t}" if t else "" for t in texts]
+    for i in odd:
+        plain[i] = ""
+    marked = pc.replace_substring(pc.replace_substring(pa.array(plain, pa.large_string()), " ", f"\1{_SPACE}"), "\n", "\1\n\1")
+    cut = pc.split_pattern(marked, "\1")
+    ends = np.append(0, cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py())
+    coded = cut.flatten().dictionary_encode()
+    # as one string: lists of strings are slower
+    words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())), "\0")[0].as_py().split("\0")
+    which = coded.indices.to_numpy().astype(np.int64)
+    # between two cuts there may be nothing
+    real = which != (words.index("") if "" in words else -1)
+    before = np.append(0, np.cumsum(real))
+    which, ends = which[real], before[ends]
+    sizes = np.diff(ends)
+    if odd:
+        parts = np.split(which, ends[1:-1])
+        for i in odd:
+            own = words_of(texts[i])
+            parts[i], sizes[i] = np.arange(len(words), len(words) + len(own)), len(own)
+            words += own
+        which = np.concatenate(parts)
+    # an empty word has no lattice
+    return ["\n" if w == "" else w for w in words] if "" in words else words, which, sizes
 
 
-def _descend(lat: Lattices, seed: np.ndarray, salt: int, docs: np.ndarray, value: np.ndarray, phi: np.ndarray, occ_doc: np.ndarray, occ_unit: np.ndarray, occ_node: np.ndarray) -> _Descent:
+class _Descent:
+    """One descent of each of some texts: path steps in order, and for each its node's other edges by the logarithm of how much later than the text's best the best of them comes."""
+
+    __slots__ = ("doc", "edge", "late", "noise", "phi", "step_at", "step_unit", "taken", "total", "value")
+
+    def take(self, lat: Lattices, step: int) -> tuple[int, int]:
+        """The best of a step's open edges and the node that it leads to (-1 at a word's end); the best of what is left takes its place."""
+        taken = self.taken.setdefault(step, [int(self.edge[step])])
+        node = int(np.searchsorted(lat.first[: lat.nodes], taken[0], side="right")) - 1
+        first = int(lat.first[node])
+        share = {first + i: x for i, x in enumerate(lat.share[first : first + int(lat.count[node])].tolist()) if first + i not in taken}
+        noise = _uniform(_mix(self.noise[step] + _NOISE * np.arange(2 * len(taken), 2 * len(taken) + 2, dtype=np.uint64))).tolist()
+        place = noise[0] * sum(share.values())
+        for edge, x in share.items():
+            place -= x
+            if place < 0:
+                break
+        taken.append(edge)
+        del share[edge]
+        gap = math.log(max(-math.log(noise[1]), 1e-300)) - math.log(max(sum(share.values()), 1e-300)) - self.phi[step]
+        self.late[step] = np.logaddexp(self.late[step], gap) if share else np.inf
+        span = int(lat.span[edge])
+        return edge, node + span if span < _LAST else -1
+
+    def first_open(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of ``n`` texts the least lateness of its steps and the first step that has it."""
+        least, step = np.full(n, np.inf), np.zeros(n, np.int64)
+        some = np.flatnonzero(np.diff(self.step_at))
+        if len(some):
+            least[some] = np.minimum.reduceat(self.late, self.step_at[some])
+            hit = np.flatnonzero(self.late == np.repeat(least, np.diff(self.step_at)))[::-1]
+            step[self.doc[hit]] = hit
+        return least, step
+
+
+_NOISE, _STEP = _U(0xA0761D6478BD642F), _U(0x8CB92BA72F3D8DD7)
+
+
+def _logs(lat: Lattices, edges: np.ndarray) -> np.ndarray:
+    """Log-probabilities of edges in whole units."""
+    return np.rint(np.log(np.maximum(lat.share[edges], 1e-300)) * _UNITS).astype(np.int64)
+
+
+def _descend(lat: Lattices, seed: np.ndarray, salt: int, value: np.ndarray, phi: np.ndarray, occ_doc: np.ndarray, occ_unit: np.ndarray, occ_node: np.ndarray) -> _Descent:
     """From each word occurrence's node to its word's end.  ``occ_*`` are in text order; ``value`` and ``phi`` are by text."""
-    steps, times, made = [], [], 0
-    active = np.flatnonzero(lat.count[occ_node] > 0)
+    steps = []
+    active = np.flatnonzero(occ_node >= 0)
     node = occ_node[active]
-    salted = _mix(seed[occ_doc] + _U(salt * 0x9E3779B97F4A7C15 % (1 << 64)) + occ_unit.astype(np.uint64) * _U(0xD1B54A32D192ED03))
+    word = _mix(seed[occ_doc] + _U(salt * 0x9E3779B97F4A7C15 % (1 << 64)) + occ_unit.astype(np.uint64) * _U(0xD1B54A32D192ED03))
+    noise = word[active]
     taken = np.zeros(len(occ_doc), np.int64)
     while len(active):
-        n, first = lat.count[node], lat.first[node]
-        at = np.cumsum(n) - n
-        places = np.arange(int(n.sum()))
-        edge = places + np.repeat(first - at, n)
-        here = salted[active] + (node - occ_node[active]).astype(np.uint64) * _U(0x8CB92BA72F3D8DD7) - at.astype(np.uint64) * _U(0xA0761D6478BD642F)
-        # a perturbed log-probability is the negative logarithm of an exponential time over the probability: the largest one comes first
-        time = lat.scale[edge] * _exponential(_mix(np.repeat(here, n) + places.astype(np.uint64) * _U(0xA0761D6478BD642F)))
-        least = np.minimum.reduceat(time, at)
-        hit = np.flatnonzero(time == np.repeat(least, n))
-        if len(hit) > len(at):
-            hit = hit[np.searchsorted(hit, at)]
-        time[hit] = np.inf
-        chosen = edge[hit]
-        steps.append((active, chosen, at + made, n, first, least, np.minimum.reduceat(time, at)))
-        times.append(time)
-        made += len(time)
+        edge = lat.first[node]
+        last = edge + lat.count[node] - 1
+        share = lat.share[edge]
+        # the edge whose share of the unit interval holds a random place
+        place = _uniform(_mix(noise)) - share
+        beyond = np.flatnonzero((place >= 0) & (edge < last))
+        while len(beyond):
+            on = edge[beyond] + 1
+            edge[beyond] = on
+            share[beyond] = own = lat.share[on]
+            here = place[beyond] - own
+            place[beyond] = here
+            beyond = beyond[(here >= 0) & (on < last[beyond])]
+        steps.append((active, edge, np.where(share > 0.5, lat.rest[node], 1 - share)))
         taken[active] += 1
-        node = lat.to[chosen]
-        more = lat.count[node] > 0
-        active, node = active[more], node[more]
+        span = lat.span[edge]
+        more = np.flatnonzero(span < _LAST)
+        active, node, noise = active[more], node[more] + span[more], noise[more] + _STEP
     out = _Descent()
     # the s-th step of a word lies s places behind its first, so paths need no sort
     begin = np.cumsum(taken) - taken
-    out.edge = np.empty(int(taken.sum()), np.int64)
-    for s, (occ, edge, *_) in enumerate(steps):
-        out.edge[begin[occ] + s] = edge
+    out.edge, rest = np.empty(int(taken.sum()), np.int64), np.empty(int(taken.sum()))
+    for s, (occ, edge, other) in enumerate(steps):
+        at = begin[occ] + s
+        out.edge[at], rest[at] = edge, other
+    out.noise = np.repeat(word - begin.astype(np.uint64) * _STEP, taken) + np.arange(len(out.edge), dtype=np.uint64) * _STEP
     out.doc, out.step_unit = np.repeat(occ_doc, taken), np.repeat(occ_unit, taken)
-    sums = np.concatenate(([0], np.cumsum((lat.logp[out.edge] * _UNITS).astype(np.int64))))
+    sums = np.concatenate(([0], np.cumsum(_logs(lat, out.edge))))
     out.step_at = np.searchsorted(out.doc, np.arange(len(seed) + 1))
-    out.phi = phi[out.doc] + (sums[:-1] - sums[out.step_at[out.doc]]) / _UNITS
+    out.phi = (phi - sums[out.step_at[:-1]] / _UNITS)[out.doc] + sums[:-1] / _UNITS
     out.total = phi + (sums[out.step_at[1:]] - sums[out.step_at[:-1]]) / _UNITS
-    none = np.empty(0, np.int64)
-    out.open_step = np.concatenate([begin[x[0]] + s for s, x in enumerate(steps)]) if steps else none
-    out.begin, out.count, out.first, out.least, second = (np.concatenate([x[k] for x in steps]) if steps else none for k in range(2, 7))
-    out.time = np.concatenate(times) if times else np.empty(0)
-    out.open_doc = out.doc[out.open_step]
-    # children given that their maximum is the node's value: a child comes later than the text's best by what it comes later than its best sibling, over the probability of the way to both
-    out.open_late = _late(second - out.least, out.phi[out.open_step])
-    out.value = value
+    # edges are exponential times over their shares, the first one wins: given it, the first of the others comes later by a time over their common share, and over the probability of the way to their node
+    with np.errstate(divide="ignore"):
+        out.late = np.log(np.maximum(_exponential(_mix(out.noise + _NOISE)), 1e-300) / rest) - out.phi
+    out.value, out.taken = value, {}
     return out
 
 
@@ -362,26 +465,36 @@ def sample_segmentations(texts: list[str], keys: np.ndarray, k: int, lat: Lattic
     The log-probability is that of the segmentation among all of the text's.  The inclusion score is the probability that its perturbed value passes that of the
     best one left out (1 if none is), so that sums weighted by probability / inclusion are unbiased.
     """
-    n = len(texts)
-    each = [words_of(t) for t in texts]
     if lat.nodes > KEPT_NODES:
-        lat.clear()
-    flat = [w for words in each for w in words]
-    occ_node = lat.add(flat)
-    sizes = np.fromiter(map(len, each), np.int64, n)
-    occ_doc = np.repeat(np.arange(n), sizes)
-    occ_unit = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[occ_doc]
+        lat.thin()
+    words, which, sizes = _cut(texts)
+    nodes = lat.add(words)[which]
     seed = _mix(keys.astype(np.int64).view(np.uint64) + _U(0x632BE59BD9B4E019))
+    length, place = np.cumsum([len(t) for t in texts]), np.append(0, np.cumsum(sizes))
+    out: list[list[tuple[np.ndarray, float, float]]] = []
+    while len(out) < len(texts):
+        a = len(out)
+        b = max(a + 1, int(np.searchsorted(length, (length[a - 1] if a else 0) + _PART, side="right")))
+        out += _sample(nodes[place[a] : place[b]], sizes[a:b], seed[a:b], k, lat)
+    return out
+
+
+def _sample(occ_node: np.ndarray, sizes: np.ndarray, seed: np.ndarray, k: int, lat: Lattices) -> list[list[tuple[np.ndarray, float, float]]]:
+    """What ``sample_segmentations`` gives, for texts of ``sizes`` words whose first nodes lie end to end."""
+    n = len(sizes)
+    occ_doc = np.repeat(np.arange(n), sizes)
+    first_occ = np.cumsum(sizes) - sizes
+    occ_unit = np.arange(len(occ_node)) - first_occ[occ_doc]
     value, phi = -np.log(_exponential(_mix(seed + _U(1)))), np.zeros(n)
     descents: list[_Descent] = []
     paths: list[list[np.ndarray | None]] = []
     prefix: list[np.ndarray] = []
-    out: list[list[tuple[np.ndarray, float]]] = [[] for _ in texts]
+    out: list[list[tuple[np.ndarray, float]]] = [[] for _ in range(n)]
     live = np.ones(n, bool)
     begin, d_phi, head = occ_node, phi, [np.empty(0, np.int64)] * n
-    use = np.ones(len(flat), bool)
+    use = np.ones(len(occ_node), bool)
     for s in range(k):
-        d = _descend(lat, seed, s + 2, np.arange(n), value, d_phi, occ_doc[use], occ_unit[use], begin[use])
+        d = _descend(lat, seed, s + 2, value, d_phi, occ_doc[use], occ_unit[use], begin[use])
         descents.append(d)
         prefix.append(np.array([len(h) for h in head]))
         here: list[np.ndarray | None] = [None] * n
@@ -392,37 +505,27 @@ def sample_segmentations(texts: list[str], keys: np.ndarray, k: int, lat: Lattic
         # the best open node of each text over all descents
         best, best_of, best_at = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for j, x in enumerate(descents):
-            if not len(x.open_late):
-                continue
-            least = np.full(n, np.inf)
-            np.minimum.at(least, x.open_doc, x.open_late)
-            hit = np.flatnonzero(x.open_late == least[x.open_doc])
-            owner, first = np.unique(x.open_doc[hit], return_index=True)
-            owner, first = owner[np.isfinite(least[owner])], first[np.isfinite(least[owner])]
-            top = np.full(n, -np.inf)
-            top[owner] = -np.logaddexp(-x.value[owner], least[owner])
+            least, step = x.first_open(n)
+            top = -np.logaddexp(-x.value, least)
             better = np.flatnonzero(top > best)
-            best_at[better] = hit[first[np.searchsorted(owner, better)]]
-            best_of[better] = j
-            best[better] = top[better]
+            best_at[better], best_of[better], best[better] = step[better], j, top[better]
         if s == k - 1:
             break
         live = np.isfinite(best)
         value = np.where(live, best, 0.0)
         d_phi = np.zeros(n)
         begin = occ_node.copy()
-        use = np.zeros(len(flat), bool)
+        use = np.zeros(len(occ_node), bool)
         head = [np.empty(0, np.int64)] * n
-        first_occ = np.cumsum(sizes) - sizes
         for i in np.flatnonzero(live).tolist():
-            x, at = descents[best_of[i]], best_at[i]
-            step, edge = x.open_step[at], x.take(at)
-            d_phi[i] = x.phi[step] + lat.logp[edge]
+            x, step = descents[best_of[i]], int(best_at[i])
+            edge, node = x.take(lat, step)
+            d_phi[i] = x.phi[step] + _logs(lat, np.array([edge]))[0] / _UNITS
             within = prefix[best_of[i]][i] + step - x.step_at[i]
             head[i] = np.append(paths[best_of[i]][i][:within], edge)
             unit = first_occ[i] + x.step_unit[step]
             use[unit : first_occ[i] + sizes[i]] = True
-            begin[unit] = lat.to[edge]
+            begin[unit] = node
     return [[(_ids(lat, edges), total, float(-np.expm1(-np.exp(min(total - best[i], 700.0)))) if np.isfinite(best[i]) else 1.0) for edges, total in found] for i, found in enumerate(out)]
 
 
@@ -450,8 +553,7 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = clean_name(docs, id_col, text_col).toDF("id", "text").select("id", "text", F.xxhash64("id", "text").alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model)
-        lat = Lattices(vocab)
+        vocab, lat = vocabulary(model), lattices(model)
         for batch in batches:
             for part in slabs(batch, "text", _SLAB):
                 texts = [t or "" for t in part.column(1).to_pylist()]

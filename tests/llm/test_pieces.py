@@ -103,3 +103,51 @@ def test_query_rows(spark):
     assert [(r.n_ids, r.inclusion) for r in out if r.doc_id in (2, 3)] == [(0, 1.0)] * 2
     assert {r.decoded for r in decode_ids(got).collect()} == {"hello there world", "", "a\nb", "nulls"}
     assert encode_samples(df.limit(0)).count() == 0
+
+
+def test_words_that_recur_stay_known(monkeypatch):
+    """A full memory forgets only the words that came once; samples do not depend on what it holds."""
+    from seqloom.llm import pieces
+
+    monkeypatch.setattr(pieces, "KEPT_NODES", 400)
+    v, rng = vocabulary(), random.Random(8)
+    lat, made = Lattices(v), []
+    make = lat._make
+    monkeypatch.setattr(lat, "_make", lambda new: (made.extend(new), make(new)))
+    for i in range(30):
+        text = "the same words\nagain 漢 " + " ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(10))
+        keys = np.array([i])
+        (got,), (want,) = sample_segmentations([text], keys, 3, lat), sample_segmentations([text], keys, 3, Lattices(v))
+        assert [(a.tolist(), b, c) for a, b, c in got] == [(a.tolist(), b, c) for a, b, c in want]
+    assert lat.nodes < 1000 and made.count("▁same") == made.count("\n") == 1
+    # where too many recur, all go
+    for i in range(3):
+        sample_segmentations(["".join(f" {k}word" for k in range(200))], np.array([i]), 1, lat)
+    assert lat.nodes < 4000
+
+
+def test_third_sample_follows_what_is_left(plain):
+    """The edges of a node that are parted late still have their law."""
+    v = vocabulary()
+    every_one = every(plain, "▁to")
+    total = sum(math.exp(s) for _, s in every_one)
+    p = {ids: math.exp(s) / total for ids, s in every_one}
+    n = 20_000
+    third: dict = {}
+    for f in sample_segmentations(["to"] * n, np.arange(n) + 10**6, 3, Lattices(v)):
+        a = tuple(f[2][0].tolist())
+        third[a] = third.get(a, 0) + 1
+    for ids, q in p.items():
+        want = sum(x * y / (1 - x) * q / (1 - x - y) for a, x in p.items() for b, y in p.items() if len({a, b, ids}) == 3)
+        assert third.get(ids, 0) / n == pytest.approx(want, abs=4 * math.sqrt(want * (1 - want) / n) + 1e-9)
+
+
+def test_texts_cut_by_arrow():
+    from seqloom.llm.pieces import _cut
+
+    rng = random.Random(4)
+    texts = ["", " ", "a", " a", "a ", "a  b", "\n", "\n\n", "a\n b\n", "\0 a", "\1", "a\1 b", "▁ ▁a", "漢字 é\nÉ"] + ["".join(rng.choice("ab \n漢") for _ in range(rng.randrange(30))) for _ in range(300)]
+    for some in (texts, [], [""], ["a b"]):
+        words, which, sizes = _cut(some)
+        ends = np.cumsum(sizes)
+        assert [[words[i] for i in which[e - n : e]] for n, e in zip(sizes, ends, strict=True)] == [words_of(t) for t in some]
