@@ -42,11 +42,35 @@ SLAB = 1 << 22
 CALL_LENGTH = 1 << 15
 
 
-def _odd(words: pa.Array) -> list[int]:
-    """The words beside which a single space may not be where a text can be cut: empty ones, and those with white space at an end."""
-    trimmed = pc.equal(pc.utf8_trim_whitespace(words), words)
-    fine = pc.and_(pc.and_(trimmed, pc.greater(pc.binary_length(words), 0)), pc.invert(pc.match_substring(words, "\u180e")))
-    return np.flatnonzero(~fine.to_numpy(zero_copy_only=False)).tolist()
+#: Marks that end a word after a letter are a token or tokens of their own.
+MARKS = ".,;:!?"
+#: Texts of more bytes go through the library whole.
+LONG = 1 << 28
+
+
+def _odd(words: pa.Array) -> np.ndarray:
+    """The words beside which a single space or line end may not be where a text can be cut: empty ones, and those with white space at an end."""
+    body = pc.if_else(pc.starts_with(words, " "), pc.utf8_slice_codeunits(words, 1), words)
+    fine = pc.and_(pc.and_(pc.equal(pc.utf8_trim_whitespace(body), body), pc.greater(pc.binary_length(body), 0)), pc.invert(pc.match_substring(words, "\u180e")))
+    return ~pc.or_(fine, pc.equal(words, "\n")).to_numpy(zero_copy_only=False)
+
+
+def _stems(words: pa.Array) -> tuple[pa.Array, np.ndarray, list[bytes]]:
+    """Words without the marks behind a last letter of ASCII or Latin-1, the places of those that had some, and these marks."""
+    stems = pc.utf8_rtrim(words, MARKS)
+    size, whole = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (stems, words))
+    some = np.flatnonzero((size < whole) & (size > 0))
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)].astype(np.int64)[some]
+    data = np.frombuffer(words.buffers()[2], np.uint8) if len(some) else np.empty(0, np.uint8)
+    size, whole = size[some], whole[some]
+    last = data[offsets + size - 1]
+    # in UTF-8 the letters from U+00C0 to U+00FF are C3 and a second byte, but for two signs
+    before = np.where(size > 1, data[np.maximum(offsets + size - 2, 0)], 0)
+    letter = (((last | 32) >= ord("a")) & ((last | 32) <= ord("z")) & (last < 128)) | ((before == 0xC3) & (last >= 128) & (last != 0x97) & (last != 0xB7))
+    some, begin, end = some[letter], (offsets + size)[letter].tolist(), (offsets + whole)[letter].tolist()
+    cut = np.zeros(len(words), bool)
+    cut[some] = True
+    return pc.if_else(pa.array(cut), stems, words), some, [data[x:y].tobytes() for x, y in zip(begin, end, strict=True)]
 
 
 def _listed(words: pa.Array) -> list[str]:
@@ -58,8 +82,8 @@ def _listed(words: pa.Array) -> list[str]:
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, by the tokenizers library.
 
-    No token of this vocabulary reaches over a single space between two other characters, except by beginning with it.  So texts are cut there, each distinct
-    word goes through the library once, many in one call, and its ids are remembered for the texts that follow.
+    No token of this vocabulary reaches over a single space between two other characters, except by beginning with it, nor over a single line end, nor from a
+    letter into the marks behind it.  So texts are cut there, each distinct word goes through the library once, many in one call, and its ids are remembered for the texts that follow.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY) -> None:
@@ -71,14 +95,15 @@ class Encoder:
         self.begins = np.zeros(max(names.values()) + 1, bool)
         # the byte-level alphabet writes a space so
         self.begins[[i for name, i in names.items() if name.startswith("\u0120")]] = True
+        self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """The ids of each word with a space before it.  Only its first one begins with a space."""
+    def _joined(self, words: list[str], between: str) -> list[bytes]:
+        """The ids of each word: all begin with a space, as only their first ids do (``between`` is empty), or none does and line ends go between them."""
         out, at = [], 0
         while at < len(words):
             first, size = at, 0
@@ -86,52 +111,89 @@ class Encoder:
                 size += len(words[at]) + 1
                 at += 1
             part = words[first:at]
-            (ids,) = self._ids([" " + " ".join(part)])
-            starts = (np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")]) * 4).tolist()
+            (ids,) = self._ids([between.join(part)])
+            found = np.frombuffer(ids, "<u4")
+            if between:
+                cuts = np.flatnonzero(found == self.line_end) * 4
+                starts, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(ids)]
+            else:
+                starts = (np.flatnonzero(self.begins[found]) * 4).tolist()
+                ends = [*starts[1:], len(ids)]
             if len(starts) == len(part):
-                out += [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+                out += [ids[a:b] for a, b in zip(starts, ends, strict=True)]
             else:
-                out += self._ids([" " + w for w in part])
+                out += self._ids(part)
         return out
 
     def _remember(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words with a space before each, known ones from memory."""
+        """The ids of distinct words, a space before them included, known ones from memory."""
         if len(self.recent) > MEMORY_WORDS:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
-        new = [w for w in words if w not in recent]
-        recent.update({w: older[w] for w in new if w in older})
-        new = [w for w in new if w not in recent]
-        recent.update(zip(new, self._spaced(new), strict=True))
-        out = list(map(recent.__getitem__, words))
-        # long words are rare and would fill the memory
-        for w in new:
-            if len(w) > MEMORY_LENGTH:
-                del recent[w]
+        out = list(map(recent.get, words))
+        absent = [i for i, ids in enumerate(out) if ids is None]
+        for i in absent:
+            out[i] = older.get(words[i])
+        recent.update({words[i]: out[i] for i in absent if out[i] is not None})
+        new = [i for i in absent if out[i] is None]
+        for part, between in (([i for i in new if words[i][0] == " "], ""), ([i for i in new if words[i][0] != " "], "\n")):
+            names = [words[i] for i in part]
+            for i, word, ids in zip(part, names, self._joined(names, between), strict=True):
+                out[i] = ids
+                # long words are rare and would fill the memory
+                if len(word) <= MEMORY_LENGTH:
+                    recent[word] = ids
         return out
 
+    def _marks(self, marks: list[bytes]) -> list[bytes]:
+        """The ids of marks that end words; a slab has few different ones."""
+        kinds = list(dict.fromkeys(marks))
+        ids = dict(zip(kinds, self._ids([m.decode() for m in kinds]), strict=True))
+        return [ids[m] for m in marks]
+
     def _slowly(self, text: str) -> bytes:
         """A text with runs of white space."""
         first, *words = _PARTS.split(text)
         return b"".join(self._ids([first]) + self._ids([" " + w for w in words]))
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text; a null is empty.  Words are told apart by Arrow, so Python sees each once a call."""
-        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    def flat(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, with ``end`` behind each, and how many each text has; a null is empty.  Words are told apart by Arrow, so Python sees each once a call."""
+        texts = pc.fill_null(texts, "")
+        apart = pc.or_(pc.match_substring(texts, "\1"), pc.greater(pc.binary_length(texts), LONG)).to_numpy(zero_copy_only=False).copy()
+        plain = pc.if_else(pa.array(apart), "", texts) if apart.any() else texts
+        plain = pc.replace_substring(plain, " ", "\1 ")
+        plain = pc.replace_substring(plain, "\n", "\1\n\1")
+        cut = pc.split_pattern(plain, "\1")
         ends = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
-        words, at, odd = _listed(coded.dictionary), coded.indices.to_numpy().copy(), _odd(coded.dictionary)
-        apart = np.zeros(len(texts), bool)
-        if odd:
-            apart[np.searchsorted(ends, np.flatnonzero(np.isin(at, odd)), side="right") - 1] = True
-        # the first word of a text has no space before it
-        heads = ["" if a else words[i] for a, i in zip(apart, at[ends[:-1]].tolist(), strict=True)]
-        at[ends[:-1]] = len(words) + np.arange(len(texts))
-        for i in odd:
-            words[i] = "-"
-        pool = self._remember(words) + self._ids(heads)
-        parts = list(map(pool.__getitem__, at.tolist()))
-        return [self._slowly(texts[i].as_py() or "") if apart[i] else b"".join(parts[a:b]) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        # the texts are in several forms by now; only what is used on stays
+        del plain, cut, coded
+        odd = _odd(words)
+        if odd.any():
+            apart[np.searchsorted(ends, np.flatnonzero(odd[at]), side="right") - 1] = True
+            words = pc.if_else(pa.array(odd), "-", words)
+        stems, some, marks = _stems(words)
+        stems = stems.dictionary_encode()
+        pool = list(map(self._remember(_listed(stems.dictionary) if len(words) else []).__getitem__, stems.indices.to_numpy().tolist()))
+        for i, ids in zip(some.tolist(), self._marks(marks), strict=True):
+            pool[i] += ids
+        slow = [self._slowly(texts[i].as_py()) for i in np.flatnonzero(apart).tolist()]
+        # behind each text's words its ids if it was not cut, and the end
+        sizes = np.diff(ends)
+        at = at[np.repeat(~apart, sizes)]
+        closed = np.cumsum(np.where(apart, 0, sizes))
+        more = np.full(len(texts) + len(slow), len(pool))
+        more[np.flatnonzero(apart) + np.arange(len(slow))] = len(pool) + 1 + np.arange(len(slow))
+        got = pa.array([*pool, end, *slow], pa.large_binary()).take(pa.array(np.insert(at, np.repeat(closed, 1 + apart), more)))
+        upto = np.frombuffer(got.buffers()[1], np.int64)[np.append(0, closed + np.cumsum(1 + apart))] // 4 if len(texts) else np.zeros(1, np.int64)
+        return np.frombuffer(got.buffers()[2], "<u4")[: upto[-1]] if upto[-1] else np.empty(0, "<u4"), np.diff(upto)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a null is empty."""
+        ids, sizes = self.flat(texts)
+        ends = np.cumsum(sizes)
+        return [ids[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
 @lru_cache(1)
@@ -167,15 +229,13 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     ranged = placed.repartitionByRange("doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, shard, at = encoder(vocabulary).encode, np.array([end], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        flat, last, shard, at = encoder(vocabulary).flat, np.array([end], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slabs(batch, "text", SLAB):
-                rows = encode(part.column(1))
-                sizes = np.array([len(r) // 4 + 1 for r in rows], np.int64)
+                ids, sizes = flat(part.column(1), last)
                 ends = np.cumsum(sizes)
-                ids = np.frombuffer(last.join([*rows, b""]), "<i4")
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
-                yield pa.record_batch([pa.array(np.full(len(rows), shard, np.int32)), part.column(0), pa.array(at + ends - sizes), pa.array(sizes), lists], ["shard", "doc_id", "at", "n_tokens", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.view("<i4")))
+                yield pa.record_batch([pa.array(np.full(part.num_rows, shard, np.int32)), part.column(0), pa.array(at + ends - sizes), pa.array(sizes), lists], ["shard", "doc_id", "at", "n_tokens", "ids"])
                 at += int(ends[-1])
 
     kind = ranged.schema["doc_id"].dataType.simpleString()

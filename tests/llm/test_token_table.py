@@ -130,3 +130,25 @@ def test_spans_of_ids(spark, stored, begin, end):
     for start, ids in got:
         assert start == at and ids
         at += len(ids)
+
+
+def test_marks_and_line_ends_part_words(monkeypatch):
+    """Words are met again whatever marks or line ends stand behind them; texts that can't be cut so are as they were."""
+    from seqloom.llm import token_table
+
+    e, seen = Encoder(), []
+    ids = e._ids
+    monkeypatch.setattr(e, "_ids", lambda texts: (seen.extend(texts), ids(texts))[1])
+    e.encode(pa.array(["one\none two, one alone"]))
+    seen.clear()
+    text = "one two. one two! alone; one, two?!\none two"
+    assert np.frombuffer(e.encode(pa.array([text]))[0], "<u4").tolist() == plain(text)[:-1]
+    assert not [t for t in seen if any(c.isalpha() for c in t)]
+    rng = random.Random(21)
+    ends = ["é,", "×,", "÷.", "ÿ;", "À!", "漢,", "ж.", "٣,", "x1,", "it's.", "'s,", "...", ",a.", "a.b", "<|endoftext|>a.", "<|endoftext|>.", "a\r", "\1", "a\1.", "ª,", "ß?!", "\n", "\r\n", "\x0b", "", " "]
+    texts = ["\n", "a\n", "\na", "a\n\nb", "a \nb", "a\n b", "\n\n", "a.\nb", "a\r\nb", None, "a\n'll b", "\n's"] + ["".join(rng.choice(ends) + rng.choice([" ", "\n", ""]) for _ in range(rng.randrange(1, 8))) for _ in range(600)]
+    assert [np.frombuffer(g, "<u4").tolist() for g in e.encode(pa.array(texts))] == [plain(t)[:-1] for t in texts]
+    monkeypatch.setattr(token_table, "LONG", 5)
+    assert [np.frombuffer(g, "<u4").tolist() for g in e.encode(pa.array(texts)[3:200])] == [plain(t)[:-1] for t in texts[3:200]]
+    got, sizes = e.flat(pa.array([], pa.string()), b"\2\0\0\0")
+    assert not len(got) and not len(sizes)
