@@ -55,7 +55,7 @@ def _odd(words: pa.Array) -> np.ndarray:
     return ~pc.or_(fine, pc.equal(words, "\n")).to_numpy(zero_copy_only=False)
 
 
-def _stems(words: pa.Array) -> tuple[pa.Array, np.ndarray, list[bytes]]:
+def _stems(words: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
     """Words without the marks behind a last letter of ASCII or Latin-1, the places of those that had some, and these marks."""
     stems = pc.utf8_rtrim(words, MARKS)
     size, whole = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (stems, words))
@@ -67,16 +67,62 @@ def _stems(words: pa.Array) -> tuple[pa.Array, np.ndarray, list[bytes]]:
     # in UTF-8 the letters from U+00C0 to U+00FF are C3 and a second byte, but for two signs
     before = np.where(size > 1, data[np.maximum(offsets + size - 2, 0)], 0)
     letter = (((last | 32) >= ord("a")) & ((last | 32) <= ord("z")) & (last < 128)) | ((before == 0xC3) & (last >= 128) & (last != 0x97) & (last != 0xB7))
-    some, begin, end = some[letter], (offsets + size)[letter].tolist(), (offsets + whole)[letter].tolist()
+    some, spans = some[letter], np.stack(((offsets + size)[letter], (offsets + whole)[letter]), 1).astype(np.int32)
     cut = np.zeros(len(words), bool)
     cut[some] = True
-    return pc.if_else(pa.array(cut), stems, words), some, [data[x:y].tobytes() for x, y in zip(begin, end, strict=True)]
+    # marks and what lies between them, by turns
+    turns = pa.StringArray.from_buffers(max(0, spans.size - 1), pa.py_buffer(spans.ravel()), words.buffers()[2] or pa.py_buffer(b"")) if len(some) else pa.array([], pa.string())
+    return pc.if_else(pa.array(cut), stems, words), some, turns.take(pa.array(np.arange(0, len(turns), 2)))
 
 
-def _listed(words: pa.Array) -> list[str]:
-    """An Arrow array as a list, by way of one string."""
-    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\0")[0].as_py().split("\0")
-    return joined if len(joined) == len(words) else words.to_pylist()
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ids end to end as one binary value for each end."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends * 4).astype(np.int64)), pa.py_buffer(ids)])
+
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of all texts, cut before single spaces and on both sides of line ends, as views of the texts; where each text's words end, and which texts have white space that isn't single."""
+    begin = np.frombuffer(texts.buffers()[1] or bytes(4), np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2] or pa.py_buffer(b"")
+    data = np.frombuffer(held, np.uint8)[begin[0] : begin[-1]]
+    line = data == ord("\n")
+    white = line | (data == ord(" "))
+    first, last = begin[:-1] - begin[0], begin[1:] - begin[0]
+    # white space beside white space, both in one text
+    double = np.flatnonzero(white[1:] & white[:-1]) + 1
+    owner = np.searchsorted(last, double, side="right")
+    apart = np.zeros(len(texts), bool)
+    apart[owner[first[owner] < double]] = True
+    full = first < last
+    apart[full] |= white[first[full]] | white[last[full] - 1]
+    # a word begins at each space or line end, behind each line end and with each text
+    white[1:] |= line[:-1]
+    white[first[full]] = True
+    at = np.flatnonzero(white)
+    offsets = np.append(at, len(data)).astype(np.int32) + begin[0]
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), held), np.searchsorted(at, last), apart
+
+
+class Memory:
+    """Words and their ids, as Arrow arrays that batches of words are looked up in."""
+
+    def __init__(self) -> None:
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __contains__(self, word: str) -> bool:
+        return pc.index(self.words, word).as_py() >= 0
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 for words that aren't here."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, words: pa.Array, ids: pa.Array) -> None:
+        # long words are rare and would fill the memory
+        short = pc.less_equal(pc.utf8_length(words), MEMORY_LENGTH)
+        self.words, self.ids = pa.concat_arrays([self.words, words.filter(short)]), pa.concat_arrays([self.ids, ids.filter(short)])
 
 
 class Encoder:
@@ -96,60 +142,53 @@ class Encoder:
         # the byte-level alphabet writes a space so
         self.begins[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.recent, self.older = Memory(), Memory()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, words: list[str], between: str) -> list[bytes]:
+    def _joined(self, words: pa.Array, between: str) -> pa.Array:
         """The ids of each word: all begin with a space, as only their first ids do (``between`` is empty), or none does and line ends go between them."""
-        out, at = [], 0
+        sizes = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + len(between))
+        out, at = [pa.array([], pa.large_binary())], 0
         while at < len(words):
-            first, size = at, 0
-            while at < len(words) and size < CALL_LENGTH:
-                size += len(words[at]) + 1
-                at += 1
-            part = words[first:at]
-            (ids,) = self._ids([between.join(part)])
+            upto = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CALL_LENGTH)) + 1
+            part = words[at:upto]
+            at += len(part)
+            (ids,) = self._ids([pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), between)[0].as_py()])
             found = np.frombuffer(ids, "<u4")
-            if between:
-                cuts = np.flatnonzero(found == self.line_end) * 4
-                starts, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(ids)]
-            else:
-                starts = (np.flatnonzero(self.begins[found]) * 4).tolist()
-                ends = [*starts[1:], len(ids)]
+            own = found != self.line_end if between else np.ones(len(found), bool)
+            starts = np.append(0, np.cumsum(own)[~own]) if between else np.flatnonzero(self.begins[found])
             if len(starts) == len(part):
-                out += [ids[a:b] for a, b in zip(starts, ends, strict=True)]
+                out.append(_lists(found[own], np.append(starts[1:], own.sum())))
             else:
-                out += self._ids(part)
-        return out
+                out.append(pa.array(self._ids(part.to_pylist()), pa.large_binary()))
+        return pa.concat_arrays(out)
 
-    def _remember(self, words: list[str]) -> list[bytes]:
+    def _remember(self, words: pa.Array) -> pa.Array:
         """The ids of distinct words, a space before them included, known ones from memory."""
         if len(self.recent) > MEMORY_WORDS:
-            self.recent, self.older = {}, self.recent
-        recent, older = self.recent, self.older
-        out = list(map(recent.get, words))
-        absent = [i for i, ids in enumerate(out) if ids is None]
-        for i in absent:
-            out[i] = older.get(words[i])
-        recent.update({words[i]: out[i] for i in absent if out[i] is not None})
-        new = [i for i in absent if out[i] is None]
-        for part, between in (([i for i in new if words[i][0] == " "], ""), ([i for i in new if words[i][0] != " "], "\n")):
-            names = [words[i] for i in part]
-            for i, word, ids in zip(part, names, self._joined(names, between), strict=True):
-                out[i] = ids
-                # long words are rare and would fill the memory
-                if len(word) <= MEMORY_LENGTH:
-                    recent[word] = ids
-        return out
-
-    def _marks(self, marks: list[bytes]) -> list[bytes]:
-        """The ids of marks that end words; a slab has few different ones."""
-        kinds = list(dict.fromkeys(marks))
-        ids = dict(zip(kinds, self._ids([m.decode() for m in kinds]), strict=True))
-        return [ids[m] for m in marks]
+            self.recent, self.older = Memory(), self.recent
+        known, place = [self.recent.ids], self.recent.find(words)
+        base = len(self.recent)
+
+        def add(where: np.ndarray, ids: pa.Array, names: pa.Array) -> None:
+            nonlocal base
+            place[where] = base + np.arange(len(where))
+            base += len(where)
+            known.append(ids)
+            self.recent.add(names, ids)
+
+        absent = np.flatnonzero(place < 0)
+        names = words.take(pa.array(absent))
+        before = self.older.find(names)
+        some = np.flatnonzero(before >= 0)
+        add(absent[some], self.older.ids.take(pa.array(before[some])), names.take(pa.array(some)))
+        for spaced in (True, False):
+            new = np.flatnonzero((before < 0) & (pc.starts_with(names, " ").to_numpy(zero_copy_only=False) == spaced))
+            part = names.take(pa.array(new))
+            add(absent[new], self._joined(part, "" if spaced else "\n"), part)
+        return pa.concat_arrays(known).take(pa.array(place))
 
     def _slowly(self, text: str) -> bytes:
         """A text with runs of white space."""
@@ -159,33 +198,33 @@ class Encoder:
     def flat(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, with ``end`` behind each, and how many each text has; a null is empty.  Words are told apart by Arrow, so Python sees each once a call."""
         texts = pc.fill_null(texts, "")
-        apart = pc.or_(pc.match_substring(texts, "\1"), pc.greater(pc.binary_length(texts), LONG)).to_numpy(zero_copy_only=False).copy()
-        plain = pc.if_else(pa.array(apart), "", texts) if apart.any() else texts
-        plain = pc.replace_substring(plain, " ", "\1 ")
-        plain = pc.replace_substring(plain, "\n", "\1\n\1")
-        cut = pc.split_pattern(plain, "\1")
-        ends = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
-        coded = cut.flatten().dictionary_encode()
+        apart = pc.greater(pc.binary_length(texts), LONG).to_numpy(zero_copy_only=False).copy()
+        cut, ends, double = _cut(pc.if_else(pa.array(apart), "", texts) if apart.any() else texts)
+        apart |= double
+        coded = cut.dictionary_encode()
         words, at = coded.dictionary, coded.indices.to_numpy()
-        # the texts are in several forms by now; only what is used on stays
-        del plain, cut, coded
         odd = _odd(words)
         if odd.any():
-            apart[np.searchsorted(ends, np.flatnonzero(odd[at]), side="right") - 1] = True
+            apart[np.searchsorted(ends, np.flatnonzero(odd[at]), side="right")] = True
             words = pc.if_else(pa.array(odd), "-", words)
         stems, some, marks = _stems(words)
         stems = stems.dictionary_encode()
-        pool = list(map(self._remember(_listed(stems.dictionary) if len(words) else []).__getitem__, stems.indices.to_numpy().tolist()))
-        for i, ids in zip(some.tolist(), self._marks(marks), strict=True):
-            pool[i] += ids
+        # a word's ids are those of its stem and of the marks behind it; a slab has few different marks
+        marks = marks.dictionary_encode()
+        parts = pa.concat_arrays([self._remember(stems.dictionary), pa.array([b"", *self._ids(marks.dictionary.to_pylist())], pa.large_binary())])
+        both = np.full((len(words), 2), len(stems.dictionary))
+        both[:, 0] = stems.indices.to_numpy()
+        both[some, 1] += 1 + marks.indices.to_numpy()
+        pool = parts.take(pa.array(both.ravel()))
+        pool = _lists(np.frombuffer(pool.buffers()[2] or b"", "<u4"), np.frombuffer(pool.buffers()[1], np.int64)[2 : 2 * len(words) + 1 : 2] // 4)
         slow = [self._slowly(texts[i].as_py()) for i in np.flatnonzero(apart).tolist()]
         # behind each text's words its ids if it was not cut, and the end
-        sizes = np.diff(ends)
+        sizes = np.diff(ends, prepend=0)
         at = at[np.repeat(~apart, sizes)]
         closed = np.cumsum(np.where(apart, 0, sizes))
         more = np.full(len(texts) + len(slow), len(pool))
         more[np.flatnonzero(apart) + np.arange(len(slow))] = len(pool) + 1 + np.arange(len(slow))
-        got = pa.array([*pool, end, *slow], pa.large_binary()).take(pa.array(np.insert(at, np.repeat(closed, 1 + apart), more)))
+        got = pa.concat_arrays([pool, pa.array([end, *slow], pa.large_binary())]).take(pa.array(np.insert(at, np.repeat(closed, 1 + apart), more)))
         upto = np.frombuffer(got.buffers()[1], np.int64)[np.append(0, closed + np.cumsum(1 + apart))] // 4 if len(texts) else np.zeros(1, np.int64)
         return np.frombuffer(got.buffers()[2], "<u4")[: upto[-1]] if upto[-1] else np.empty(0, "<u4"), np.diff(upto)
 

@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 from pathlib import Path
 
@@ -152,3 +153,31 @@ def test_marks_and_line_ends_part_words(monkeypatch):
     assert [np.frombuffer(g, "<u4").tolist() for g in e.encode(pa.array(texts)[3:200])] == [plain(t)[:-1] for t in texts[3:200]]
     got, sizes = e.flat(pa.array([], pa.string()), b"\2\0\0\0")
     assert not len(got) and not len(sizes)
+
+
+def test_known_words_cost_no_calls_of_their_own(monkeypatch):
+    """What Python does for words that are known does not grow with their number, whatever marks stand behind them; control characters don't keep a text whole."""
+    e, calls = Encoder(), []
+
+    def count(n):
+        text = pa.array([" ".join(f"w{chr(97 + i % 26)}{'abcdefghij'[i // 26 % 10]}{'klmnopqrst'[i // 260]}," for i in range(n))])
+        first = e.encode(text)
+        calls.clear()
+        sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+        try:
+            again = e.encode(text)
+        finally:
+            sys.setprofile(None)
+        assert again == first and np.frombuffer(first[0], "<u4").tolist() == plain(text[0].as_py())[:-1]
+        return len(calls)
+
+    assert count(2600) < count(200) + 100
+    seen, ids = [], e._ids
+    monkeypatch.setattr(e, "_ids", lambda texts: (seen.extend(texts), ids(texts))[1])
+    e.encode(pa.array(["one two\1 three\1\nfour"]))
+    seen.clear()
+    text = "one two\1 three\1\nfour two\1"
+    # a batch's slice, with a null and empty texts beside
+    got = e.encode(pa.array(["x  y", "", None, text, "", "one\n"])[1:5])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain(t)[:-1] for t in ["", None, text, ""]]
+    assert text not in seen and not [t for t in seen if "one" in t]
