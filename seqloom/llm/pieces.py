@@ -11,6 +11,7 @@ of the row's key and the place on the path, so a row's samples depend on nothing
 from __future__ import annotations
 
 import math
+import mmap
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,10 +32,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Natural logarithm of the probability of a byte piece (bytes stand for characters that have no piece).
 BYTE_SCORE = -14.0
-#: Nodes of lattices from which on a worker forgets words.
-KEPT_NODES = 1_500_000
+#: Nodes of lattices from which on a task forgets words; a node takes some 60 bytes.
+KEPT_NODES = 600_000
 #: Bytes of texts that are cut into words at once, and characters of those among them that are descended together.
-_SLAB, _PART = 1 << 20, 1 << 17
+_SLAB, _PART = 1 << 19, 1 << 17
 #: Characters of new words whose lattices are made together.
 _BATCH = 1 << 14
 _SPACE = "▁"
@@ -181,15 +182,20 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _room(n: int, kind: type) -> np.ndarray:
+    """A table of ``n`` numbers in pages of its own: those that are not written yet take no memory, and all go back to the system with the table."""
+    return np.frombuffer(mmap.mmap(-1, n * np.dtype(kind).itemsize, flags=mmap.MAP_PRIVATE | mmap.MAP_ANONYMOUS), kind)
+
+
 class Lattices:
     """The lattices of distinct words, kept over slabs: nodes are places in words, edges are grouped by the node that they leave."""
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
         #: By node: its first edge, their number, the share of all but one that has over a half, and whether a later slab has had the word again.
-        self.first, self.count, self.rest, self.asked = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.uint8), np.empty(1 << 16), np.empty(1 << 16, bool)
+        self.first, self.count, self.rest, self.asked = _room(1 << 16, np.int64), _room(1 << 16, np.uint8), _room(1 << 16, np.float64), _room(1 << 16, np.bool_)
         #: By edge: its characters (with ``_LAST`` if the word ends there), its piece, and its probability among the edges of its node.
-        self.span, self.piece, self.share = np.empty(1 << 16, np.uint8), np.empty(1 << 16, np.int32), np.empty(1 << 16)
+        self.span, self.piece, self.share = _room(1 << 16, np.uint8), _room(1 << 16, np.int32), _room(1 << 16, np.float64)
         self.clear()
 
     def clear(self) -> None:
@@ -225,7 +231,7 @@ class Lattices:
         """Put values at the end of a table that doubles when it is full."""
         held = getattr(self, name)
         if at + len(values) > len(held):
-            wider = np.empty(max(2 * len(held), at + len(values)), held.dtype)
+            wider = _room(max(2 * len(held), at + len(values)), held.dtype)
             wider[:at] = held[:at]
             setattr(self, name, held := wider)
         held[at : at + len(values)] = values
@@ -315,12 +321,6 @@ class Lattices:
         self.edges += len(to)
 
 
-@lru_cache(1)
-def lattices(path: str = MODEL) -> Lattices:
-    """The worker's lattices; they outlive a task."""
-    return Lattices(vocabulary(path))
-
-
 def _real(char: str) -> str:
     """What a lattice character stands for: a line end is kept as NUL; NUL and the space mark as lone surrogates, which no text has."""
     return {"\0": "\n", "\ud800": "\0", "\ud801": _SPACE}.get(char, char)
@@ -553,7 +553,9 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = clean_name(docs, id_col, text_col).toDF("id", "text").select("id", "text", F.xxhash64("id", "text").alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, lat = vocabulary(model), lattices(model)
+        vocab = vocabulary(model)
+        # they end with the task: the worker lives on, for other stages too
+        lat = Lattices(vocab)
         for batch in batches:
             for part in slabs(batch, "text", _SLAB):
                 texts = [t or "" for t in part.column(1).to_pylist()]

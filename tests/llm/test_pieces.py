@@ -151,3 +151,58 @@ def test_texts_cut_by_arrow():
         words, which, sizes = _cut(some)
         ends = np.cumsum(sizes)
         assert [[words[i] for i in which[e - n : e]] for n, e in zip(sizes, ends, strict=True)] == [words_of(t) for t in some]
+
+
+def test_lattices_end_with_their_task(spark, monkeypatch):
+    """Nothing of a task's words stays in the worker."""
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    from seqloom.llm import pieces
+
+    made, runs = [], []
+    begin, mapped = Lattices.__init__, pieces.map_arrow
+    monkeypatch.setattr(Lattices, "__init__", lambda self, vocab: (made.append(weakref.ref(self)), begin(self, vocab))[1])
+    monkeypatch.setattr(pieces, "map_arrow", lambda df, fn, schema: (runs.append(fn), mapped(df, fn, schema))[1])
+    encode_samples(spark.createDataFrame([(1, "some words")], "doc_id long, text string"))
+    batch = pa.record_batch([pa.array([1]), pa.array(["some words"]), pa.array([7])], ["id", "text", "key"])
+    for _ in range(2):
+        assert sum(b.num_rows for b in runs[0](iter([batch, batch]))) == 4
+        gc.collect()
+        assert made and not any(ref() for ref in made)
+    assert len(made) == 2
+
+
+_MEMORY = """
+import gc, random, re
+import numpy as np
+from seqloom.llm.pieces import Lattices, _SLAB, sample_segmentations, vocabulary
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+rng, v = random.Random(5), vocabulary()
+words = lambda n: "".join(" " + "".join(rng.choices("etaoinshrdlu", k=8)) for _ in range(n // 9))
+sample_segmentations([words(50000)], np.array([0]), 2, Lattices(v))
+floor, most, lat = held(), 0, Lattices(v)
+for i in range((5 << 20) // _SLAB):
+    sample_segmentations([words(4096) for _ in range(_SLAB >> 12)], np.arange(_SLAB >> 12), 2, lat)
+    most = max(most, held())
+del lat
+gc.collect()
+print(most - floor, held() - floor)
+"""
+
+
+def test_memory_of_words_that_come_once():
+    """Lattices of 5 MB of words that never come again are kept in part only, and what they took goes back to the system."""
+    import os
+    import subprocess
+    import sys
+
+    if not os.path.exists("/proc/self/smaps_rollup"):
+        pytest.skip("memory can't be read here")
+    most, after = map(float, subprocess.run([sys.executable, "-c", _MEMORY], check=True, capture_output=True, text=True).stdout.split())
+    assert most < 115 and after < 30, (most, after)
